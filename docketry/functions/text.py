@@ -99,7 +99,7 @@ def extract_claims(c: Column) -> Column:
     """Cut a numbered claims section into its claims."""
     # The first part is what stands before the first number.
     parts = F.filter(F.split(clean_text(c), CLAIM_NUMBER), lambda x, i: i > 0)
-    kept = F.filter(F.transform(parts, F.trim), lambda x: F.length(x) > MIN_EXTRACTED_CLAIM)
+    kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) > MIN_EXTRACTED_CLAIM)
     # Already decomposed and without tags, so only the later steps can still change it.
     cleaned = F.transform(kept, lambda x: _tidy(F.regexp_replace(x, REFERENCE_MARK, "")))
     return F.filter(cleaned, lambda x: x != "")

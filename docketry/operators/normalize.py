@@ -111,20 +111,11 @@ def enhance(records: DataFrame) -> DataFrame:
 
     The field is read off the texts as they came in, so it is settled first.
     """
-    # Only rows without a field or a mapped code pay for the keyword counts.
-    by_code = classify.classify_ipc(F.col("classification_codes"))
-    given = F.nullif(F.col("technology_field"), F.lit(UNKNOWN_FIELD))
-    settled = F.coalesce(given, F.nullif(by_code, F.lit(UNKNOWN_FIELD)))
     content = classify.classified_content(F.col("title"), F.col("abstract"), F.col("claims"))
-    staged = records.withColumn("_field", settled).withColumn(
-        "_content", F.when(F.col("_field").isNull(), content)
-    )
-    classified = staged.withColumn(
-        "technology_field",
-        F.coalesce(F.col("_field"), classify.classify_content(F.col("_content"))),
-    ).drop("_field", "_content")
+    field = classify.resolve_field(F.col("technology_field"), F.col("classification_codes"), content)
     claims = F.filter(text.clean_each(F.col("claims")), lambda x: F.length(x) > MIN_CLAIM)
-    return classified.withColumns({
+    return records.withColumns({
+        "technology_field": field,
         "title": text.clean_text(F.col("title")),
         "abstract": text.clean_text(F.col("abstract")),
         "description": text.clean_text(F.col("description")),

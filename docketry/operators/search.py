@@ -6,7 +6,6 @@ from collections.abc import Iterator, Sequence
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,12 +253,7 @@ def search_batch(
 def text_queries(spark: SparkSession, queries: Sequence[tuple[str, str, str | None]], embedder) -> DataFrame:
     """A query frame out of (id, text, technology field or None)."""
     vectors = embedder.encode([q[1] for q in queries])
-    frame = pd.DataFrame({
-        "query_id": [q[0] for q in queries],
-        "search_query": [q[1] for q in queries],
-        "technology_field": [q[2] for q in queries],
-        "vector": [v.astype("float32") for v in vectors],
-    })
+    rows = [(*q, v.tolist()) for q, v in zip(queries, vectors)]
     return spark.createDataFrame(
-        frame, "query_id string, search_query string, technology_field string, vector array<float>"
+        rows, "query_id string, search_query string, technology_field string, vector array<float>"
     )

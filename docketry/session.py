@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -26,3 +26,20 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_folder(spark)}/docketry/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Deal rows evenly over the session's shuffle partitions.
+
+    For rows that come out of few tasks, as those of one unsplittable file, before work
+    that costs much more per row than moving it.
+    """
+    wanted = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(wanted)
+
+
+def spread_if_narrow(frame: DataFrame) -> DataFrame:
+    """Spread a scan of fewer partitions than the session has cores; leave a wide one."""
+    if frame.rdd.getNumPartitions() < frame.sparkSession.sparkContext.defaultParallelism:
+        return spread(frame)
+    return frame

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators.normalize import REASON, accepted, enhance, normalize, rejected
 from docketry.schema import RECORD_FIELDS
+from docketry.session import spread
 from docketry.sources.markup import extract_xml
 from docketry.sources.scan import SOURCE, scan_csv, scan_json, scan_xml
 
@@ -23,22 +24,30 @@ class Loaded(NamedTuple):
     rejects: DataFrame
 
 
-def _enhanced(normalized: DataFrame) -> Loaded:
+def _loaded(raw: DataFrame, on_unknown: str) -> Loaded:
+    normalized = normalize(raw, on_unknown, keep=(SOURCE,))
     return Loaded(enhance(accepted(normalized).drop(SOURCE)), rejected(normalized))
 
 
-def read_csv(spark: SparkSession, path: str | list[str], on_unknown: str = "reject", **options) -> Loaded:
-    return _enhanced(normalize(scan_csv(spark, path, **options), on_unknown, keep=(SOURCE,)))
+def read_csv(
+    spark: SparkSession, path: str | list[str], on_unknown: str = "reject", multi_line: bool = True, **options
+) -> Loaded:
+    raw = scan_csv(spark, path, multi_line=multi_line, **options)
+    # A file that may hold line breaks in cells is read by one task, however large.
+    return _loaded(spread(raw) if multi_line else raw, on_unknown)
 
 
-def read_json(spark: SparkSession, path: str | list[str], on_unknown: str = "reject", **options) -> Loaded:
-    raw = scan_json(spark, path, on_unknown=on_unknown, **options)
-    return _enhanced(normalize(raw, on_unknown, keep=(SOURCE,)))
+def read_json(
+    spark: SparkSession, path: str | list[str], on_unknown: str = "reject", lines: bool = False, **options
+) -> Loaded:
+    raw = scan_json(spark, path, lines=lines, on_unknown=on_unknown, **options)
+    return _loaded(raw if lines else spread(raw), on_unknown)
 
 
-def read_xml(spark: SparkSession, path: str | list[str], **options) -> Loaded:
+def read_xml(spark: SparkSession, path: str | list[str], row_tag: str | None = None, **options) -> Loaded:
     """XML fields are cleaned as they are extracted and get no further treatment."""
-    found = extract_xml(scan_xml(spark, path, **options), keep=(SOURCE,))
+    raw = scan_xml(spark, path, row_tag=row_tag, **options)
+    found = extract_xml(raw if row_tag else spread(raw), keep=(SOURCE,))
     return Loaded(accepted(found).drop(SOURCE), rejected(found))
 
 

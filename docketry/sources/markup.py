@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docketry.functions import classify, text
 from docketry.operators.normalize import REASON
@@ -60,9 +60,9 @@ def _assignee(node: ET.Element) -> str | None:
     return node.findtext(".//name") if organisation is None else organisation.text
 
 
-def _xml_parts(xml: str) -> dict:
+def _xml_parts(xml: str | None) -> dict:
     try:
-        root = ET.fromstring(xml)
+        root = ET.fromstring(xml or "")
     except ET.ParseError:
         return {"parsed": False}
     codes = [x.text.strip() for x in root.findall(".//classification-ipc/main-classification") if x.text]
@@ -84,10 +84,9 @@ def _xml_parts(xml: str) -> dict:
     }
 
 
-@F.pandas_udf(_XML_PARTS)
-def _xml_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for xml in batches:
-        yield pd.DataFrame([_xml_parts(x) for x in xml], columns=_XML_PARTS.names)
+@F.arrow_udf(_XML_PARTS)
+def _xml_udf(xml: pa.Array) -> pa.Array:
+    return pa.array(map(_xml_parts, xml.to_pylist()), to_arrow_type(_XML_PARTS))
 
 
 def _record(fields: dict[str, Column]) -> list[Column]:
@@ -201,7 +200,7 @@ class _Page(HTMLParser):
             self.found[part].append(data)
 
 
-def _html_parts(html: str) -> dict:
+def _html_parts(html: str | None) -> dict:
     page = _Page()
     page.feed(html or "")
     page.close()
@@ -209,10 +208,9 @@ def _html_parts(html: str) -> dict:
     return parts | {"plain": "".join(page.plain)}
 
 
-@F.pandas_udf(_HTML_PARTS)
-def _html_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for html in batches:
-        yield pd.DataFrame([_html_parts(x) for x in html], columns=_HTML_PARTS.names)
+@F.arrow_udf(_HTML_PARTS)
+def _html_udf(html: pa.Array) -> pa.Array:
+    return pa.array(map(_html_parts, html.to_pylist()), to_arrow_type(_HTML_PARTS))
 
 
 # The shapes a publication number may take, tried in this order.
