@@ -23,12 +23,12 @@ WHITESPACE = (
 )
 
 TAG = r"<[^>]+>"
-SPECIAL = r"[^\p{L}\p{N}_\s.,\-()/:]"
+# White space and all characters that are not kept.
+GAP = r"[^\p{L}\p{N}_.,\-()/:]+"
 CLAIM_NUMBER = r"\s*\p{Nd}+\.\s*"
 REFERENCE_MARK = r"\[\p{Nd}+\]|\(\p{Nd}+\)"
 PERSON_TITLE = r"(?U)\b(Dr\.|Prof\.|Mr\.|Ms\.|Mrs\.|Jr\.|Sr\.|PhD|MD)\b"
 IPC_SHAPE = r"^[A-H]\p{Nd}{2}[A-Z]\p{Nd}+/\p{Nd}+"
-NON_ASCII = r"[^\x00-\x7F]"
 
 MIN_EXTRACTED_CLAIM = 20
 MIN_CODE = 3
@@ -45,8 +45,10 @@ def _decompose_lists(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, flat, mask=pc.is_null(values))
 
 
-_decompose_udf = F.arrow_udf(_decompose, T.StringType())
-_decompose_lists_udf = F.arrow_udf(_decompose_lists, T.ArrayType(T.StringType()))
+# Declared non-deterministic only to keep Spark from copying a cleaned text, with all
+# its expressions, into each later use of the column.
+_decompose_udf = F.arrow_udf(_decompose, T.StringType()).asNondeterministic()
+_decompose_lists_udf = F.arrow_udf(_decompose_lists, T.ArrayType(T.StringType())).asNondeterministic()
 
 
 def strip(c: Column) -> Column:
@@ -55,7 +57,8 @@ def strip(c: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, TAG, "")
+    # Most texts have no tag, and looking for one character is cheap.
+    return F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, TAG, "")).otherwise(c)
 
 
 def expand_abbreviations(c: Column) -> Column:
@@ -66,17 +69,21 @@ def expand_abbreviations(c: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     """Drop special characters, keep one blank between words."""
-    spaced = F.regexp_replace(F.regexp_replace(c, r"\s+", " "), SPECIAL, " ")
-    return F.regexp_replace(F.trim(spaced), r"\s+", " ")
+    return F.trim(F.regexp_replace(c, GAP, " "))
+
+
+def _has_foreign(c: Column) -> Column:
+    """True where a text has characters beyond ASCII: they take more than one byte."""
+    return F.octet_length(c) != F.length(c)
 
 
 def decompose(c: Column) -> Column:
     """Unicode NFKD."""
-    return F.coalesce(_decompose_udf(F.when(c.rlike(NON_ASCII), c)), c)
+    return F.coalesce(_decompose_udf(F.when(_has_foreign(c), c)), c)
 
 
 def _decompose_each(c: Column) -> Column:
-    foreign = F.exists(c, lambda x: x.rlike(NON_ASCII))
+    foreign = F.exists(c, _has_foreign)
     return F.coalesce(_decompose_lists_udf(F.when(foreign, c)), c)
 
 

@@ -65,7 +65,9 @@ def cosine_to(vector: Column, query: Sequence[float]) -> Column:
         out[rows] = cosine_matrix(matrix, fixed)[:, 0]
         return pa.array(out, from_pandas=True)
 
-    return F.arrow_udf(score, T.DoubleType())(vector)
+    # Declared non-deterministic only to keep a filter on the score from being pushed
+    # down, which would compute every score twice.
+    return F.arrow_udf(score, T.DoubleType()).asNondeterministic()(vector)
 
 
 def cosine(a: Column, b: Column) -> Column:

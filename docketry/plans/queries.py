@@ -25,11 +25,12 @@ from docketry.plans.tables import (
     records,
     stored_points,
     table,
+    texts,
     write_xml,
     xml_layout,
 )
 from docketry.schema import LIST_FIELDS, RECORD_FIELDS, RECORD_SCHEMA, SAVED_QUERIES
-from docketry.session import fresh_folder
+from docketry.session import fresh_folder, spread_if_narrow
 from docketry.sources.load import read_csv, read_directory, read_json, read_xml
 from docketry.sources.markup import extract_html, extract_xml
 from docketry.sources.profile import file_profile, quality_report
@@ -90,7 +91,7 @@ def src_json_lines(spark, sf):
 @query
 def src_json(spark, sf):
     """Every record inside a document of its own, in one of the accepted shapes."""
-    source = records(spark, sf).withColumn("technology_field", F.lit("Unknown"))
+    source = spread_if_narrow(records(spark, sf)).withColumn("technology_field", F.lit("Unknown"))
     one = F.to_json(F.struct(*RECORD_FIELDS))
     shapes = [
         F.concat(F.lit("["), one, F.lit(', 5, "text"]')),
@@ -107,14 +108,14 @@ def src_json(spark, sf):
 @query
 def src_xml(spark, sf):
     path = fresh_folder(spark, "xml")
-    write_xml(records(spark, sf), path)
+    write_xml(spread_if_narrow(records(spark, sf)), path)
     found = read_xml(spark, path, row_tag="patent-document").records
     return _flat(found, "patent_id", "title", "filing_date", "publication_date", "country", "technology_field")
 
 
 @query
 def xml_fields(spark, sf):
-    layout = xml_layout(records(spark, sf))
+    layout = xml_layout(spread_if_narrow(records(spark, sf)))
     xml = layout.select(F.to_xml(F.struct(*layout.columns), {"rowTag": "patent-document"}).alias("xml"))
     return _flat(
         accepted(extract_xml(xml)),
@@ -125,7 +126,7 @@ def xml_fields(spark, sf):
 
 @query
 def html_fields(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = spread_if_narrow(table(spark, sf, "pages"))
     return extract_html(pages, keep=("page_id",)).select("page_id", "title", "patent_id")
 
 
@@ -144,7 +145,7 @@ def html_blocks(spark, sf):
         F.lit('</div><section class="details">'), escaped(F.col("description")),
         F.lit('</section><div class="abstract">not this</div><div class="claims">'), numbered, F.lit("</div></body></html>"),
     )
-    pages = records(spark, sf).select("doc_id", html.alias("html"))
+    pages = spread_if_narrow(records(spark, sf)).select("doc_id", html.alias("html"))
     found = extract_html(pages, keep=("doc_id",))
     return _flat(found, "doc_id", "patent_id", "title", "abstract", "description", "claims", "inventors", "assignees")
 
@@ -270,7 +271,7 @@ def collection_changes(spark, sf):
     """Index, add a second version of the labelled records, delete the toxic ones."""
     kept = Collection(spark, fresh_folder(spark, "collection"), HashingEmbedder(EMBEDDING_DIM))
     source = records(spark, sf)
-    kept.upsert(source.select(*RECORD_FIELDS))
+    kept.upsert(spread_if_narrow(source.select(*RECORD_FIELDS)))
     kept.compact()
     labelled = source.filter(F.col("quality").isNotNull()).select(*RECORD_FIELDS)
     kept.upsert(labelled.withColumn("title", F.concat("title", F.lit(" (again)"))))
@@ -415,7 +416,7 @@ def search_vectors(spark, sf):
 @query
 def embed_hash(spark, sf):
     """Words of the whole documents, as the non-zero entries of their vectors."""
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     vectors = d.select("doc_id", HashingEmbedder().column(F.col("text")).alias("v"))
     return vectors.select("doc_id", F.posexplode("v").alias("dim", "weight")).filter("weight > 0").select(
         "doc_id", "dim", F.col("weight").cast("int").alias("weight")
@@ -559,8 +560,8 @@ def country_names(spark, sf):
 
 def _texts(spark, sf) -> DataFrame:
     """All documents and all pages."""
-    d = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
-    p = table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
+    d = texts(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    p = spread_if_narrow(table(spark, sf, "pages")).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
     return d.unionByName(p)
 
 
@@ -580,7 +581,7 @@ _REGISTRY.update({
 def extract_claims(spark, sf):
     """Documents with their lines numbered as claims."""
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x, F.lit(" [2] (3)")))
-    d = table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", numbered).alias("section"))
+    d = texts(spark, sf).select("doc_id", F.concat_ws(" ", numbered).alias("section"))
     return d.select("doc_id", F.concat_ws("|", text.extract_claims(F.col("section"))).alias("claims"))
 
 
@@ -627,7 +628,7 @@ def format_date(spark, sf):
 
 
 def _content(spark, sf) -> DataFrame:
-    r = records(spark, sf)
+    r = spread_if_narrow(records(spark, sf))
     content = classify.classified_content(F.col("title"), F.col("abstract"), F.col("claims"))
     return r.select("patent_id", "technology_field", "classification_codes", content.alias("content"))
 

@@ -9,7 +9,7 @@ from docketry.functions import classify, record, text
 from docketry.functions.vectors import HashingEmbedder
 from docketry.operators.normalize import embed
 from docketry.schema import OPTIONAL_FIELDS, RECORD_FIELDS
-from docketry.session import fresh_folder
+from docketry.session import fresh_folder, spread_if_narrow
 from docketry.sources.write import write_csv
 
 # One code per remainder of the document number; the last has no mapped section.
@@ -61,14 +61,20 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", *[fields[c].alias(c) for c in RECORD_FIELDS], "quality", "toxic")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """`documents` for work on its texts: one large row group would make one task."""
+    return spread_if_narrow(table(spark, sf, "documents"))
+
+
 def plain_records(spark: SparkSession, sf: str) -> DataFrame:
     """As records, with the field still to be settled."""
-    return records(spark, sf).select(*RECORD_FIELDS).withColumn("technology_field", F.lit("Unknown"))
+    found = spread_if_narrow(records(spark, sf).select(*RECORD_FIELDS))
+    return found.withColumn("technology_field", F.lit("Unknown"))
 
 
 def hashed_points(spark: SparkSession, sf: str) -> DataFrame:
     """All records with the vector of their own text."""
-    return embed(records(spark, sf).select(*RECORD_FIELDS), HashingEmbedder())
+    return embed(spread_if_narrow(records(spark, sf).select(*RECORD_FIELDS)), HashingEmbedder())
 
 
 def stored_points(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docketry.operators.normalize import accepted, enhance, normalize
 from docketry.plans.collection import Collection
 from docketry.schema import LIST_FIELDS, RECORD_FIELDS
+from docketry.session import spread
 
 _CELLS = T.StructType([T.StructField(c, T.StringType()) for c in RECORD_FIELDS])
 _TYPED = T.StructType([
@@ -38,7 +39,8 @@ def stream_records(
             .options(ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
             .csv(path)
         )
-        raw = raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in raw.columns])
+        # Each file of a micro-batch is read by one task, however large.
+        raw = spread(raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in raw.columns]))
     elif format in ("json", "parquet"):
         raw = reader.schema(_TYPED).format(format).load(path)
     else:
