@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.functions.filters import ExactFilter
+from docketry.functions.filters import ExactFilter, any_of
 from docketry.functions.vectors import VECTOR, HashingEmbedder
 from docketry.operators import search as S
 from docketry.operators import stats
@@ -46,6 +46,7 @@ FETCH_BY_KEY = 1000
 # An export of more rows than this is cut without gathering it in one task.
 SORTED_EXPORT = 100_000
 _PREFIX = 4
+_SHORT_LIST = 10
 
 
 def _by_prefix(points: DataFrame, partitions: int) -> DataFrame:
@@ -55,6 +56,13 @@ def _by_prefix(points: DataFrame, partitions: int) -> DataFrame:
     return points.repartitionById(partitions, part).sortWithinPartitions("point_id")
 
 
+def _id_in(ids: list[str]) -> Column:
+    """In several short lists, as only those are compared value by value with the
+    statistics of a Parquet row group."""
+    chunks = [ids[i : i + _SHORT_LIST] for i in range(0, len(ids), _SHORT_LIST)]
+    return any_of([F.col("point_id").isin(c) for c in chunks]) if chunks else F.lit(False)
+
+
 class Collection:
     def __init__(self, spark: SparkSession, path: str, embedder=None):
         self.spark = spark
@@ -217,7 +225,7 @@ class Collection:
             return found.select(*columns, "point_id", S.SCORE, "search_query", "rank")
         hits = S.search(points, vector, limit, where, min_score).select("point_id", S.SCORE, "rank").collect()
         best = self.spark.createDataFrame(hits, f"point_id string, {S.SCORE} double, rank int")
-        rows = points.filter(F.col("point_id").isin([h.point_id for h in hits]))
+        rows = points.filter(_id_in(sorted(h.point_id for h in hits)))
         return rows.join(F.broadcast(best), "point_id").select(
             *columns, "point_id", S.SCORE, F.lit(query).alias("search_query"), "rank"
         )

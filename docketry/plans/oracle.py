@@ -294,6 +294,11 @@ ARRIVALS = """arrivals AS (
 CURRENT = "patent_id, title, status, point_id"
 
 XML_TITLE = clean("title")
+# Titles may end inside an entity, which then lacks its semicolon.
+HTML_TITLE = (
+    "replace(replace(replace(regexp_extract(html, '(?is)<(h1|title)[^>]*>(.*?)</(h1|title)>', 2), "
+    "'&amp;', '&'), '&amp', '&'), '&quot;', chr(34))"
+)
 XML_SECTION = f"array_to_string(list_transform(claims, lambda e, i: i || '. ' || e), {NL})"
 
 
@@ -307,7 +312,7 @@ def _batch_queries() -> str:
 
 
 BATCH_HITS = (
-    "SELECT query_id, point_id, rank, round(score, 6) AS score FROM "
+    "SELECT query_id, point_id, rank, score FROM "
     + ranked("scores", 5, "score >= 0", "PARTITION BY query_id")
 )
 
@@ -355,7 +360,7 @@ def all_oracles() -> dict[str, str]:
           {joined(claims_of(XML_SECTION))} AS claims, {joined(keep(each(clean, "inventors"), "e <> ''"))} AS inventors,
           {joined(keep(each(clean, "assignees"), "e <> ''"))} AS assignees, {xml_filed},
           {joined("classification_codes")} AS classification_codes, technology_field, country, 'Published' AS status FROM rec"""),
-        "html_fields": f"""SELECT page_id, {clean("replace(replace(regexp_extract(html, '(?is)<(h1|title)[^>]*>(.*?)</(h1|title)>', 2), '&amp;', '&'), '&quot;', chr(34))")} AS title,
+        "html_fields": f"""SELECT page_id, {clean(HTML_TITLE)} AS title,
           coalesce(nullif(upper(regexp_extract(html, '(?i)US[0-9]{{7,}}[A-Z]?[0-9]*')), ''), 'UNKNOWN') AS patent_id FROM pages""",
         "html_blocks": with_(BASE, f"""SELECT doc_id, (doc_id + 1000)::varchar AS patent_id, {clean("title")} AS title, {clean("abstract")} AS abstract,
           {clean("description")} AS description, {joined(claims_of("array_to_string(list_transform(claims, lambda e, i: i || '. ' || e), '')"))} AS claims,
@@ -423,11 +428,11 @@ def all_oracles() -> dict[str, str]:
             "filing_date <> '' AND filing_date BETWEEN '2020-03-01' AND '2023-12-31'",
             f"len({keep('classification_codes', '''contains(e, '00')''')}) > 0", "status IN ('Granted', 'Pending')",
         ])),
-        "filter_min_score": with_(text_search(BASE, "rec", Q.ENGLISH), "SELECT patent_id, round(score, 6) AS score FROM all_scores WHERE score >= 0.4"),
+        "filter_min_score": with_(text_search(BASE, "rec", Q.ENGLISH), "SELECT patent_id, score FROM all_scores WHERE score >= 0.4"),
         "lookup_by_id": with_(f"{BASE}, {STORED}", f"SELECT patent_id, point_id, title, {joined('assignees')} AS assignees FROM stored WHERE patent_id = '{Q.SIMILAR_TO}'"),
         "search_vectors": f"""WITH one AS (SELECT embedding::double[] AS qv, label AS ql FROM embeddings WHERE vec_id = 0),
           near AS (SELECT cast(vec_id AS varchar) AS point_id, label, round(list_cosine_similarity(embedding::double[], qv), 9) AS score FROM embeddings, one WHERE label = ql)
-          SELECT point_id, label, rank, round(score, 6) AS score FROM {ranked("near", 10, "score >= 0")}""",
+          SELECT point_id, label, rank, score FROM {ranked("near", 10, "score >= 0")}""",
         "embed_hash": with_(hashed("h", "documents", "doc_id", "text"), "SELECT doc_id, dim::int AS dim, n::int AS weight FROM h"),
         "embed_tfidf_weights": with_(f"{BASE}, " + hashed("h", "rec", "patent_id", COMBINED), """,
           total AS (SELECT count(*) AS rows FROM documents),
@@ -435,18 +440,18 @@ def all_oracles() -> dict[str, str]:
           w AS (SELECT patent_id, dim, n * ln((rows + 1.0) / (df + 1.0)) AS x FROM h JOIN seen USING (dim), total),
           u AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY patent_id)) AS v FROM w)
           SELECT patent_id, dim::int AS dim, round(v::float::double, 4) AS weight FROM u WHERE x > 0""".lstrip()),
-        "cosine_pairs": """SELECT a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) AS score
+        "cosine_pairs": """SELECT a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) AS score
           FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
-        "search_filtered": with_(text_search(BASE, "rec", Q.ENGLISH), f"""SELECT patent_id, technology_field, {lit(Q.ENGLISH)} AS search_query, rank, round(score, 6) AS score
+        "search_filtered": with_(text_search(BASE, "rec", Q.ENGLISH), f"""SELECT patent_id, technology_field, {lit(Q.ENGLISH)} AS search_query, rank, score
           FROM {ranked("all_scores", 10, f"score >= 0 AND technology_field = '{Q.SEARCH_FIELD}' AND country = 'EN' AND filing_date >= '2020-02-01'")}"""),
-        "search_semantic": with_(text_search(BASE, "rec", Q.FRENCH), f"""SELECT patent_id, country, {lit(Q.FRENCH)} AS search_query, rank, round(score, 6) AS score
+        "search_semantic": with_(text_search(BASE, "rec", Q.FRENCH), f"""SELECT patent_id, country, {lit(Q.FRENCH)} AS search_query, rank, score
           FROM {ranked("all_scores", 25, "score >= 0.2")}"""),
-        "similar_records": with_(nearest(), f"""SELECT patent_id, '{Q.SIMILAR_TO}' AS reference_patent_id, rank, round(score, 6) AS score
+        "similar_records": with_(nearest(), f"""SELECT patent_id, '{Q.SIMILAR_TO}' AS reference_patent_id, rank, score
           FROM {ranked("near", 11, "score >= 0.2")} WHERE patent_id <> '{Q.SIMILAR_TO}' ORDER BY rank LIMIT 10"""),
-        "search_by_cells": with_(nearest(), f"SELECT patent_id, rank, round(score, 6) AS score FROM {ranked('near', 10, 'score >= 0')}"),
+        "search_by_cells": with_(nearest(), f"SELECT patent_id, rank, score FROM {ranked('near', 10, 'score >= 0')}"),
         "search_batch": with_(_batch_queries(), BATCH_HITS),
         "search_batch_blocks": with_(_batch_queries(), BATCH_HITS),
-        "search_saved": with_(_saved(), "SELECT query_id, point_id, rank, round(score, 6) AS score FROM " + ranked("every", 10, "score >= 0", "PARTITION BY query_id")),
+        "search_saved": with_(_saved(), "SELECT query_id, point_id, rank, score FROM " + ranked("every", 10, "score >= 0", "PARTITION BY query_id")),
         "result_preview": with_(text_search(BASE, "rec", Q.ENGLISH), f"""SELECT rank, title, patent_id, printf('%.3f', score) AS score, technology_field,
           array_to_string(assignees, ', ') AS assignees, filing_date,
           CASE WHEN length(abstract) > 200 THEN substr(abstract, 1, 200) || '...' ELSE abstract END AS abstract
@@ -478,6 +483,6 @@ def all_oracles() -> dict[str, str]:
         "resolve_field": with_(BASE, f"""SELECT patent_id, CASE WHEN patent_id LIKE '%0' THEN 'Optics' WHEN technology_field <> 'Unknown' THEN technology_field ELSE {by_keywords("content")} END AS field
           FROM (SELECT patent_id, technology_field, lower(concat(title, ' ', abstract, ' ', array_to_string(claims[:3], ' '))) AS content FROM rec)"""),
         "stream_upsert": with_(_indexed(), "SELECT point_id, patent_id, title, technology_field FROM pts"),
-        "batch_index": with_(text_search(_indexed(), "pts", Q.ENGLISH), f"SELECT point_id, patent_id, title, rank, round(score, 6) AS score FROM {ranked('all_scores', 30, 'score >= 0')}"),
+        "batch_index": with_(text_search(_indexed(), "pts", Q.ENGLISH), f"SELECT point_id, patent_id, title, rank, score FROM {ranked('all_scores', 30, 'score >= 0')}"),
     }
     return sql

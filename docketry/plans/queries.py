@@ -35,9 +35,9 @@ from docketry.sources.load import read_csv, read_directory, read_json, read_xml
 from docketry.sources.markup import extract_html, extract_xml
 from docketry.sources.profile import file_profile, quality_report
 from docketry.sources.sample import sample_record
-from docketry.sources.scan import SOURCE, json_records, scan_csv
+from docketry.sources.scan import ORDER, SOURCE, json_records, scan_csv
 from docketry.sources.write import write_csv, write_json
-from docketry.streaming.loads import stream_records, upsert_stream, write_records
+from docketry.streaming.loads import stream_raw, stream_records, upsert_stream, write_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,7 +102,7 @@ def src_json(spark, sf):
     ]
     shape = F.element_at(F.array(*shapes), (F.col("doc_id") % len(shapes) + 1).cast("int"))
     raw = json_records(source.select(shape.alias("value"), F.lit("").alias(SOURCE)))
-    return _flat(enhance(accepted(normalize(raw, keep=(SOURCE,)))), *_MAIN)
+    return _flat(enhance(accepted(normalize(raw, keep=(SOURCE, ORDER)))), *_MAIN)
 
 
 @query
@@ -171,7 +171,7 @@ def src_csv_strict(spark, sf):
         path, header=True, sep="\x01", quote="", escapeQuotes=False,
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
-    rows = accepted(normalize(scan_csv(spark, path, strict=True), keep=(SOURCE,)))
+    rows = accepted(normalize(scan_csv(spark, path, strict=True), keep=(SOURCE, ORDER)))
     return rows.select("patent_id", "title", "country", "status")
 
 
@@ -207,7 +207,7 @@ def sample_records(spark, sf):
 def roundtrip_csv(spark, sf):
     path = fresh_folder(spark, "csv")
     write_csv(records(spark, sf), path)
-    return _flat(accepted(normalize(scan_csv(spark, path), keep=(SOURCE,))), *_MAIN)
+    return _flat(accepted(normalize(scan_csv(spark, path), keep=(SOURCE, ORDER))), *_MAIN)
 
 
 @query
@@ -400,7 +400,7 @@ def lookup_by_id(spark, sf):
 
 
 def _scored(frame: DataFrame, *columns: str) -> DataFrame:
-    return frame.select(*columns, F.round(S.SCORE, 6).alias("score"))
+    return frame.select(*columns, F.col(S.SCORE).alias("score"))
 
 
 @query
@@ -437,7 +437,7 @@ def cosine_pairs(spark, sf):
     e = table(spark, sf, "embeddings")
     after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     both = e.join(after, "vec_id")
-    return both.select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("score"))
+    return both.select("vec_id", cosine(F.col("embedding"), F.col("other")).alias("score"))
 
 
 SEARCH_FILTER = P.ExactFilter(technology_field=SEARCH_FIELD, countries=["EN"], date_range=("2020-02-01", None))
@@ -659,7 +659,7 @@ def stream_load(spark, sf):
 @query
 def stream_upsert(spark, sf):
     kept = Collection(spark, fresh_folder(spark, "collection"), HashingEmbedder(EMBEDDING_DIM))
-    arriving = stream_records(spark, csv_folder(spark, sf), max_files=2)
+    arriving = stream_raw(spark, csv_folder(spark, sf), max_files=2)
     upsert_stream(arriving, kept, fresh_folder(spark, "progress"), "load").awaitTermination()
     return kept.points().select("point_id", "patent_id", "title", "technology_field")
 

@@ -12,20 +12,21 @@ from docketry.operators.normalize import REASON, accepted, enhance, normalize, r
 from docketry.schema import RECORD_FIELDS
 from docketry.session import spread
 from docketry.sources.markup import extract_xml
-from docketry.sources.scan import SOURCE, scan_csv, scan_json, scan_xml
+from docketry.sources.scan import ORDER, SOURCE, scan_csv, scan_json, scan_xml
 
 SUPPORTED = {"csv": "csv", "json": "json", "xml": "xml", "rdf": "xml"}
 
 
 class Loaded(NamedTuple):
-    """Records ready for a collection, and the rows set aside with `reject_reason`."""
+    """Records ready for a collection, with `seq` in reading order, and the rows set aside
+    with `reject_reason`."""
 
     records: DataFrame
     rejects: DataFrame
 
 
 def _loaded(raw: DataFrame, on_unknown: str) -> Loaded:
-    normalized = normalize(raw, on_unknown, keep=(SOURCE,))
+    normalized = normalize(raw, on_unknown, keep=(SOURCE, ORDER))
     return Loaded(enhance(accepted(normalized).drop(SOURCE)), rejected(normalized))
 
 
@@ -47,7 +48,7 @@ def read_json(
 def read_xml(spark: SparkSession, path: str | list[str], row_tag: str | None = None, **options) -> Loaded:
     """XML fields are cleaned as they are extracted and get no further treatment."""
     raw = scan_xml(spark, path, row_tag=row_tag, **options)
-    found = extract_xml(raw if row_tag else spread(raw), keep=(SOURCE,))
+    found = extract_xml(raw if row_tag else spread(raw), keep=(SOURCE, ORDER))
     return Loaded(accepted(found).drop(SOURCE), rejected(found))
 
 
@@ -84,7 +85,8 @@ def read_directory(spark: SparkSession, path: str, pattern: str = "*", on_unknow
     )
     if not parts:
         nothing = spark.createDataFrame([], ", ".join(f"{c} string" for c in RECORD_FIELDS))
-        return Loaded(normalize(nothing).drop(REASON), unsupported)
+        empty = normalize(nothing).drop(REASON).withColumn(ORDER, F.lit(0).cast("long"))
+        return Loaded(empty, unsupported)
     return Loaded(
         reduce(DataFrame.unionByName, [p.records for p in parts]),
         reduce(DataFrame.unionByName, [p.rejects.select(SOURCE, REASON) for p in parts]).unionByName(unsupported),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.operators.normalize import REASON
 from docketry.schema import RECOMMENDED_FIELDS, REQUIRED_FIELDS
 from docketry.sources.load import SUPPORTED, list_files
-from docketry.sources.scan import SOURCE, json_elements, scan_csv
+from docketry.sources.scan import ORDER, SOURCE, json_elements, scan_csv
 
 
 def file_profile(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -22,7 +23,7 @@ def file_profile(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
         at = f"{path}/*.{suffix}"
         if suffix == "csv":
             rows = scan_csv(spark, at, glob=pattern)
-            names = [c for c in rows.columns if c not in (SOURCE, "reject_reason")]
+            names = [c for c in rows.columns if c not in (SOURCE, ORDER, REASON)]
             columns = F.array(*[F.lit(c) for c in names])
             part = rows.groupBy(SOURCE).agg(F.count("*").alias("records")).withColumn("columns", columns)
         else:

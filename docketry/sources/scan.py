@@ -1,7 +1,7 @@
 """Files to raw frames: one row per stored record, before any defaults.
 
 A raw frame has record columns (all of the file's own columns for CSV), `source_file`,
-and `reject_reason` where the reader itself found the row unusable.
+`seq` in reading order, and `reject_reason` where the reader found the row unusable.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from docketry.operators.normalize import REASON
 from docketry.schema import LIST_FIELDS, RECORD_FIELDS
 
 SOURCE = "source_file"
+# Place of a row among those read, so that the last of two equal records is known.
+ORDER = "seq"
 _BAD_ROW = "_bad_row"
 _WRAPPERS = ("patents", "data", "results")
 XML_ROW_TAGS = ("patent-document", "patent")
@@ -24,6 +26,10 @@ def _file() -> Column:
     return F.col("_metadata.file_path").alias(SOURCE)
 
 
+def in_order(raw: DataFrame) -> DataFrame:
+    return raw.withColumn(ORDER, F.monotonically_increasing_id())
+
+
 def scan_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -66,11 +72,11 @@ def scan_csv(
         spare = ", ".join(f"c{i} string" for i in range(len(columns) + 1))
         again = F.from_csv(_BAD_ROW, spare, {"escape": '"', "multiLine": "true"})
         wrong_width = again[f"c{len(columns)}"].isNotNull()
-    return rows.select(
+    return in_order(rows.select(
         *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns],
         F.when(wrong_width, "width").alias(REASON),
         _file(),
-    )
+    ))
 
 
 def _variant_list(v: Column, name: str) -> Column:
@@ -112,7 +118,7 @@ def _fields(elements: DataFrame, on_unknown: str) -> DataFrame:
     reason = F.when(keys.isNull(), "not an object")
     if on_unknown == "reject":
         reason = reason.when(F.size(unknown) > 0, F.concat(F.lit("unknown:"), F.concat_ws(",", unknown)))
-    return elements.select(
+    return in_order(elements).select(
         *[
             _variant_list(v, c).alias(c)
             if c in LIST_FIELDS
@@ -121,6 +127,7 @@ def _fields(elements: DataFrame, on_unknown: str) -> DataFrame:
         ],
         reason.alias(REASON),
         SOURCE,
+        ORDER,
     )
 
 
@@ -174,7 +181,7 @@ def scan_xml(
         pieces = reader.option("lineSep", closing).text(path)
         opening = rf"(?s)<{row_tag}(?:\s[^>]*)?>.*"
         body = F.regexp_extract(F.concat("value", F.lit(closing)), opening, 0)
-        return pieces.select(body.alias("xml"), _file()).filter(F.col("xml") != "")
+        return in_order(pieces.select(body.alias("xml"), _file()).filter(F.col("xml") != ""))
     value = F.col("value")
     documents = F.when(
         F.contains(value, F.lit("<?xml")),
@@ -184,4 +191,4 @@ def scan_xml(
     for tag in reversed(XML_ROW_TAGS):
         elements = _elements(value, tag)
         found = F.when(F.size(elements) > 0, elements).otherwise(found)
-    return reader.text(path, wholetext=True).select(F.explode(found).alias("xml"), _file())
+    return in_order(reader.text(path, wholetext=True).select(F.explode(found).alias("xml"), _file()))

@@ -11,6 +11,7 @@ from docketry.operators.normalize import accepted, enhance, normalize
 from docketry.plans.collection import Collection
 from docketry.schema import LIST_FIELDS, RECORD_FIELDS
 from docketry.session import spread
+from docketry.sources.scan import ORDER, in_order
 
 _CELLS = T.StructType([T.StructField(c, T.StringType()) for c in RECORD_FIELDS])
 _TYPED = T.StructType([
@@ -18,17 +19,17 @@ _TYPED = T.StructType([
 ])
 
 
-def stream_records(
+def stream_raw(
     spark: SparkSession,
     path: str,
     format: str = "csv",
     max_files: int = 1000,
     columns: list[str] | None = None,
 ) -> DataFrame:
-    """Records of a folder that files keep arriving in: csv, json (a record per line) or parquet.
+    """Rows of a folder that files keep arriving in: csv, json (a record per line) or parquet.
 
-    The same steps as the batch readers. `columns` gives the header of the CSV files
-    when it is not the whole record layout. `max_files` bounds one micro-batch.
+    `columns` gives the header of the CSV files when it is not the whole record layout.
+    `max_files` bounds one micro-batch.
     """
     reader = spark.readStream.option("maxFilesPerTrigger", max_files)
     if format == "csv":
@@ -39,13 +40,20 @@ def stream_records(
             .options(ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
             .csv(path)
         )
-        # Each file of a micro-batch is read by one task, however large.
-        raw = spread(raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in raw.columns]))
-    elif format in ("json", "parquet"):
-        raw = reader.schema(_TYPED).format(format).load(path)
-    else:
-        raise ValueError("format is csv, json or parquet")
-    return enhance(accepted(normalize(raw)))
+        return raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in raw.columns])
+    if format in ("json", "parquet"):
+        return reader.schema(_TYPED).format(format).load(path)
+    raise ValueError("format is csv, json or parquet")
+
+
+def _records(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same steps as the batch readers; a file read by one task is spread first."""
+    return enhance(accepted(normalize(spread(raw), keep=keep)))
+
+
+def stream_records(spark: SparkSession, path: str, format: str = "csv", max_files: int = 1000, columns: list[str] | None = None) -> DataFrame:
+    """The records of such a folder, as a stream."""
+    return _records(stream_raw(spark, path, format, max_files, columns))
 
 
 def write_records(records: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -54,17 +62,28 @@ def write_records(records: DataFrame, path: str, checkpoint: str, available_now:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def upsert_stream(records: DataFrame, collection: Collection, checkpoint: str, name: str, available_now: bool = True) -> StreamingQuery:
-    """Feed a stream of records into a collection, micro-batch by micro-batch.
+def upsert_stream(
+    raw: DataFrame,
+    collection: Collection,
+    checkpoint: str,
+    name: str,
+    available_now: bool = True,
+    compact_every: int = 100,
+) -> StreamingQuery:
+    """Feed a raw stream into a collection, micro-batch by micro-batch.
 
     A micro-batch that is run again after a failure finds its own commit under the
-    stream's `name` and is left out. A later batch wins over an earlier one.
+    stream's `name` and is left out. A later row of a batch wins over an earlier one, and
+    a later batch over an earlier one. The changes are folded into the snapshot after
+    every `compact_every` batches, which bounds what a reader has to merge.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         label = f"{name}/{batch_id}"
         if not collection.has_batch(label):
-            collection.upsert(batch, batch=label)
+            collection.upsert(_records(in_order(batch), keep=(ORDER,)), batch=label)
+        if (batch_id + 1) % compact_every == 0:
+            collection.compact()
 
-    writer = records.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = raw.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -25,7 +25,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _cell(x):
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else round(x, 6)
+        return "nan" if math.isnan(x) else round(x, 9)
     return x
 
 
