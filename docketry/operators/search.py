@@ -242,7 +242,9 @@ def search_batch(
     fit = matrix_bytes // (8 * max(dim, 1))
     # Read one row more than fits: the size is known before anything is shipped.
     rows = queries.filter(F.size("vector") == dim).limit(fit + 1).collect()
-    if len(rows) <= fit:
+    if not rows:
+        hits = points.sparkSession.createDataFrame([], _HITS)
+    elif len(rows) <= fit:
         hits = _hits_by_matrix(points, rows, dim, limit, min_score)
     else:
         hits = _hits_by_blocks(points, queries.filter(F.size("vector") == dim), limit, min_score, block_rows)

@@ -369,9 +369,9 @@ def all_oracles() -> dict[str, str]:
           UNION ALL SELECT patent_id, {XML_TITLE}, {clean("abstract")}, technology_field, country, 'Published' FROM rec WHERE quality IS NULL"""),
         "src_csv_strict": with_(BASE, f"""SELECT patent_id, {strip("title")} AS title, country, '' AS status FROM rec
           WHERE country <> 'ES' AND coalesce(toxic, 0) <> 1"""),
-        "profile_files": """SELECT * FROM (VALUES ('csv', true, (SELECT count(*) FROM documents JOIN labels USING (doc_id))),
+        "file_profile": """SELECT * FROM (VALUES ('csv', true, (SELECT count(*) FROM documents JOIN labels USING (doc_id))),
           ('txt', false, NULL), ('xml', true, NULL)) t(suffix, supported, records)""",
-        "quality": f"""WITH {TURNS},
+        "quality_report": f"""WITH {TURNS},
           a AS (SELECT count(*) AS n, count(*) FILTER (patent_id IS NULL) AS no_id, count(*) FILTER (coalesce(title, '') = '') AS no_title,
             count(patent_id) - count(DISTINCT patent_id) AS dup FROM turns)
           SELECT * FROM (
@@ -400,7 +400,7 @@ def all_oracles() -> dict[str, str]:
             patent_id AS patent_number
           FROM (SELECT 'D' || doc_id AS patent_id, {strip(f"split_part(text, {NL}, 1)")} AS title, text AS abstract, source, lang,
             CASE WHEN doc_id % 2 = 0 THEN 'g06N3/00|A61B5/00' ELSE '' END AS classification_codes FROM documents WHERE lang <> 'es')""",
-        "load_outcomes": f"""WITH {TURNS} SELECT CASE WHEN coalesce(patent_id, '') = '' THEN 'required:patent_id'
+        "load_counts": f"""WITH {TURNS} SELECT CASE WHEN coalesce(patent_id, '') = '' THEN 'required:patent_id'
             WHEN coalesce(title, '') = '' THEN 'required:title' ELSE 'accepted' END AS outcome, count(*) AS rows FROM turns GROUP BY 1""",
         "combined_text": with_(BASE, f"SELECT patent_id, {COMBINED} AS content FROM rec"),
         "searchable_text": with_(BASE, f"SELECT patent_id, {text_of('rec', 'Technology')}) AS content FROM rec"),
@@ -434,7 +434,7 @@ def all_oracles() -> dict[str, str]:
           near AS (SELECT cast(vec_id AS varchar) AS point_id, label, round(list_cosine_similarity(embedding::double[], qv), 9) AS score FROM embeddings, one WHERE label = ql)
           SELECT point_id, label, rank, score FROM {ranked("near", 10, "score >= 0")}""",
         "embed_hash": with_(hashed("h", "documents", "doc_id", "text"), "SELECT doc_id, dim::int AS dim, n::int AS weight FROM h"),
-        "embed_tfidf_weights": with_(f"{BASE}, " + hashed("h", "rec", "patent_id", COMBINED), """,
+        "embed_tfidf": with_(f"{BASE}, " + hashed("h", "rec", "patent_id", COMBINED), """,
           total AS (SELECT count(*) AS rows FROM documents),
           seen AS (SELECT dim, count(*) AS df FROM h GROUP BY dim),
           w AS (SELECT patent_id, dim, n * ln((rows + 1.0) / (df + 1.0)) AS x FROM h JOIN seen USING (dim), total),
@@ -448,7 +448,7 @@ def all_oracles() -> dict[str, str]:
           FROM {ranked("all_scores", 25, "score >= 0.2")}"""),
         "similar_records": with_(nearest(), f"""SELECT patent_id, '{Q.SIMILAR_TO}' AS reference_patent_id, rank, score
           FROM {ranked("near", 11, "score >= 0.2")} WHERE patent_id <> '{Q.SIMILAR_TO}' ORDER BY rank LIMIT 10"""),
-        "search_by_cells": with_(nearest(), f"SELECT patent_id, rank, score FROM {ranked('near', 10, 'score >= 0')}"),
+        "search_ivf": with_(nearest(), f"SELECT patent_id, rank, score FROM {ranked('near', 10, 'score >= 0')}"),
         "search_batch": with_(_batch_queries(), BATCH_HITS),
         "search_batch_blocks": with_(_batch_queries(), BATCH_HITS),
         "search_saved": with_(_saved(), "SELECT query_id, point_id, rank, score FROM " + ranked("every", 10, "score >= 0", "PARTITION BY query_id")),

@@ -54,7 +54,8 @@ _REGISTRY: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    _REGISTRY[f.__name__] = f
+    """Register under the function's name; a final `_` only keeps it from an import."""
+    _REGISTRY[f.__name__.rstrip("_")] = f
     return f
 
 
@@ -176,7 +177,7 @@ def src_csv_strict(spark, sf):
 
 
 @query
-def profile_files(spark, sf):
+def file_profile_(spark, sf):
     files = file_profile(spark, mixed_folder(spark, sf))
     return files.groupBy("suffix", "supported").agg(F.sum("records").alias("records"))
 
@@ -191,7 +192,7 @@ def _turns(spark, sf) -> DataFrame:
 
 
 @query
-def quality(spark, sf):
+def quality_report_(spark, sf):
     return quality_report(_turns(spark, sf))
 
 
@@ -299,7 +300,7 @@ def normalize_records(spark, sf):
 
 
 @query
-def load_outcomes(spark, sf):
+def load_counts(spark, sf):
     return stats.load_counts(normalize(_turns(spark, sf)))
 
 
@@ -424,7 +425,7 @@ def embed_hash(spark, sf):
 
 
 @query
-def embed_tfidf_weights(spark, sf):
+def embed_tfidf_(spark, sf):
     points = hashed_points(spark, sf).select("patent_id", "vector")
     return embed_tfidf(points).select("patent_id", F.posexplode("vector").alias("dim", "w")).filter("w > 0").select(
         "patent_id", "dim", F.round(F.col("w").cast("double"), 4).alias("weight")
@@ -492,7 +493,7 @@ def search_saved(spark, sf):
 
 
 @query
-def search_by_cells(spark, sf):
+def search_ivf(spark, sf):
     """The nearest points by the cell index, which must be those of a full scan."""
     points = stored_points(spark, sf).select("point_id", "patent_id", "vector")
     path = fresh_folder(spark, "cells")
