@@ -23,6 +23,7 @@ from docketry.plans.tables import (
     mixed_folder,
     plain_records,
     records,
+    spread_records,
     stored_points,
     table,
     texts,
@@ -92,7 +93,7 @@ def src_json_lines(spark, sf):
 @query
 def src_json(spark, sf):
     """Every record inside a document of its own, in one of the accepted shapes."""
-    source = spread_if_narrow(records(spark, sf)).withColumn("technology_field", F.lit("Unknown"))
+    source = spread_records(spark, sf).withColumn("technology_field", F.lit("Unknown"))
     one = F.to_json(F.struct(*RECORD_FIELDS))
     shapes = [
         F.concat(F.lit("["), one, F.lit(', 5, "text"]')),
@@ -109,14 +110,14 @@ def src_json(spark, sf):
 @query
 def src_xml(spark, sf):
     path = fresh_folder(spark, "xml")
-    write_xml(spread_if_narrow(records(spark, sf)), path)
+    write_xml(spread_records(spark, sf), path)
     found = read_xml(spark, path, row_tag="patent-document").records
     return _flat(found, "patent_id", "title", "filing_date", "publication_date", "country", "technology_field")
 
 
 @query
 def xml_fields(spark, sf):
-    layout = xml_layout(spread_if_narrow(records(spark, sf)))
+    layout = xml_layout(spread_records(spark, sf))
     xml = layout.select(F.to_xml(F.struct(*layout.columns), {"rowTag": "patent-document"}).alias("xml"))
     return _flat(
         accepted(extract_xml(xml)),
@@ -146,7 +147,7 @@ def html_blocks(spark, sf):
         F.lit('</div><section class="details">'), escaped(F.col("description")),
         F.lit('</section><div class="abstract">not this</div><div class="claims">'), numbered, F.lit("</div></body></html>"),
     )
-    pages = spread_if_narrow(records(spark, sf)).select("doc_id", html.alias("html"))
+    pages = spread_records(spark, sf).select("doc_id", html.alias("html"))
     found = extract_html(pages, keep=("doc_id",))
     return _flat(found, "doc_id", "patent_id", "title", "abstract", "description", "claims", "inventors", "assignees")
 
@@ -271,8 +272,8 @@ def delete_by_id(spark, sf):
 def collection_changes(spark, sf):
     """Index, add a second version of the labelled records, delete the toxic ones."""
     kept = Collection(spark, fresh_folder(spark, "collection"), HashingEmbedder(EMBEDDING_DIM))
-    source = records(spark, sf)
-    kept.upsert(spread_if_narrow(source.select(*RECORD_FIELDS)))
+    source = spread_records(spark, sf)
+    kept.upsert(source.select(*RECORD_FIELDS))
     kept.compact()
     labelled = source.filter(F.col("quality").isNotNull()).select(*RECORD_FIELDS)
     kept.upsert(labelled.withColumn("title", F.concat("title", F.lit(" (again)"))))
@@ -629,7 +630,7 @@ def format_date(spark, sf):
 
 
 def _content(spark, sf) -> DataFrame:
-    r = spread_if_narrow(records(spark, sf))
+    r = spread_records(spark, sf)
     content = classify.classified_content(F.col("title"), F.col("abstract"), F.col("claims"))
     return r.select("patent_id", "technology_field", "classification_codes", content.alias("content"))
 

@@ -25,12 +25,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def records(spark: SparkSession, sf: str) -> DataFrame:
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """`documents` for work on its texts: one large row group would make one task."""
+    return spread_if_narrow(table(spark, sf, "documents"))
+
+
+def records(spark: SparkSession, sf: str, documents: DataFrame | None = None) -> DataFrame:
     """`documents` (with `labels`) as records, numbered by `doc_id`.
 
     The technology field is the one of the classification code.
     """
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    d = (documents or table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id", "left")
     n = F.col("doc_id")
     lines = F.filter(F.split("text", "\n"), lambda x, i: i > 0)
     claims = F.filter(F.transform(lines, text.strip), lambda x: x != "")
@@ -61,20 +66,19 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", *[fields[c].alias(c) for c in RECORD_FIELDS], "quality", "toxic")
 
 
-def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """`documents` for work on its texts: one large row group would make one task."""
-    return spread_if_narrow(table(spark, sf, "documents"))
+def spread_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The records, dealt over all cores while a row still holds its text once."""
+    return records(spark, sf, texts(spark, sf))
 
 
 def plain_records(spark: SparkSession, sf: str) -> DataFrame:
     """As records, with the field still to be settled."""
-    found = spread_if_narrow(records(spark, sf).select(*RECORD_FIELDS))
-    return found.withColumn("technology_field", F.lit("Unknown"))
+    return spread_records(spark, sf).select(*RECORD_FIELDS).withColumn("technology_field", F.lit("Unknown"))
 
 
 def hashed_points(spark: SparkSession, sf: str) -> DataFrame:
     """All records with the vector of their own text."""
-    return embed(spread_if_narrow(records(spark, sf).select(*RECORD_FIELDS)), HashingEmbedder())
+    return embed(spread_records(spark, sf).select(*RECORD_FIELDS), HashingEmbedder())
 
 
 def stored_points(spark: SparkSession, sf: str) -> DataFrame:

@@ -38,8 +38,12 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(wanted)
 
 
-def spread_if_narrow(frame: DataFrame) -> DataFrame:
-    """Spread a scan of fewer partitions than the session has cores; leave a wide one."""
-    if frame.rdd.getNumPartitions() < frame.sparkSession.sparkContext.defaultParallelism:
-        return spread(frame)
-    return frame
+def spread_if_narrow(scan: DataFrame) -> DataFrame:
+    """Spread a plain table scan of fewer partitions than the session has cores.
+
+    Only for scans: their partitions are known without running anything, while those of
+    a frame with joins are not.
+    """
+    if scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism:
+        return spread(scan)
+    return scan

@@ -162,6 +162,16 @@ def _elements(value: Column, tag: str) -> Column:
     return F.regexp_extract_all(value, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>"), F.lit(0))
 
 
+def cut_xml(reader, path: str | list[str], row_tag: str) -> DataFrame:
+    """The elements of a name, found by a batch or stream reader that ends its lines at
+    their closing tag."""
+    closing = f"</{row_tag}>"
+    opening = rf"(?s)<{row_tag}(?:\s[^>]*)?>.*"
+    body = F.regexp_extract(F.concat("value", F.lit(closing)), opening, 0)
+    pieces = reader.option("lineSep", closing).text(path)
+    return pieces.select(body.alias("xml"), _file()).filter(F.col("xml") != "")
+
+
 def scan_xml(
     spark: SparkSession,
     path: str | list[str],
@@ -177,11 +187,7 @@ def scan_xml(
     """
     reader = spark.read.option("pathGlobFilter", glob).option("encoding", encoding)
     if row_tag:
-        closing = f"</{row_tag}>"
-        pieces = reader.option("lineSep", closing).text(path)
-        opening = rf"(?s)<{row_tag}(?:\s[^>]*)?>.*"
-        body = F.regexp_extract(F.concat("value", F.lit(closing)), opening, 0)
-        return in_order(pieces.select(body.alias("xml"), _file()).filter(F.col("xml") != ""))
+        return in_order(cut_xml(reader, path, row_tag))
     value = F.col("value")
     documents = F.when(
         F.contains(value, F.lit("<?xml")),

@@ -11,7 +11,8 @@ from docketry.operators.normalize import accepted, enhance, normalize
 from docketry.plans.collection import Collection
 from docketry.schema import LIST_FIELDS, RECORD_FIELDS
 from docketry.session import spread
-from docketry.sources.scan import ORDER, in_order
+from docketry.sources.markup import extract_xml
+from docketry.sources.scan import ORDER, XML_ROW_TAGS, cut_xml, in_order
 
 _CELLS = T.StructType([T.StructField(c, T.StringType()) for c in RECORD_FIELDS])
 _TYPED = T.StructType([
@@ -26,7 +27,8 @@ def stream_raw(
     max_files: int = 1000,
     columns: list[str] | None = None,
 ) -> DataFrame:
-    """Rows of a folder that files keep arriving in: csv, json (a record per line) or parquet.
+    """Rows of a folder that files keep arriving in: csv, json (a record per line), xml
+    (`patent-document` elements) or parquet.
 
     `columns` gives the header of the CSV files when it is not the whole record layout.
     `max_files` bounds one micro-batch.
@@ -43,11 +45,15 @@ def stream_raw(
         return raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in raw.columns])
     if format in ("json", "parquet"):
         return reader.schema(_TYPED).format(format).load(path)
-    raise ValueError("format is csv, json or parquet")
+    if format == "xml":
+        return cut_xml(reader, path, XML_ROW_TAGS[0]).select("xml")
+    raise ValueError("format is csv, json, xml or parquet")
 
 
 def _records(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The same steps as the batch readers; a file read by one task is spread first."""
+    if "xml" in raw.columns:
+        return accepted(extract_xml(raw, keep=keep))
     return enhance(accepted(normalize(spread(raw), keep=keep)))
 
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from docketry import Collection, ExactFilter, HashingEmbedder
 from docketry.plans.collection import first_points
+from docketry.plans.tables import write_xml
 from docketry.sources.sample import sample_records
 from docketry.sources.write import write_csv
 from docketry.streaming.loads import stream_raw, stream_records, upsert_stream, write_records
@@ -112,6 +113,16 @@ def test_stats_and_export(spark, kept, tmp_path):
         assert sorted(r.point_id for r in cut.collect()) == sorted(r.point_id for r in first_points(kept.points(), n).collect())
 
 
+def test_xml_stream(spark, tmp_path):
+    source = sample_records(spark, 12).withColumn("claims", F.array(F.lit("One claim that is long enough"))).repartition(3)
+    write_xml(source, str(tmp_path / "in"))
+    found = stream_records(spark, str(tmp_path / "in"), "xml", max_files=1)
+    write_records(found, str(tmp_path / "out"), str(tmp_path / "p")).awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert stored.select("patent_id").distinct().count() == 12
+    assert stored.select("claims").distinct().collect() == [(["One claim that is long enough"],)]
+
+
 def test_stream(spark, tmp_path):
     records = sample_records(spark, 60).repartition(6)
     write_csv(records, str(tmp_path / "in"))
