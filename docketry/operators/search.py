@@ -237,17 +237,18 @@ def search_batch(
     """
     if "technology_field" not in points.columns:
         points = points.withColumn("technology_field", F.lit(None).cast("string"))
-    queries = _with_field(queries).filter(F.col("vector").isNotNull())
+    queries = _with_field(queries)
     dim = _dimension(queries)
+    queries = queries.filter(F.size("vector") == dim)
     fit = matrix_bytes // (8 * max(dim, 1))
     # Read one row more than fits: the size is known before anything is shipped.
-    rows = queries.filter(F.size("vector") == dim).limit(fit + 1).collect()
+    rows = queries.limit(fit + 1).collect()
     if not rows:
         hits = points.sparkSession.createDataFrame([], _HITS)
     elif len(rows) <= fit:
         hits = _hits_by_matrix(points, rows, dim, limit, min_score)
     else:
-        hits = _hits_by_blocks(points, queries.filter(F.size("vector") == dim), limit, min_score, block_rows)
+        hits = _hits_by_blocks(points, queries, limit, min_score, block_rows)
     per_query = Window.partitionBy("query_id").orderBy(*_order())
     return hits.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= limit)
 

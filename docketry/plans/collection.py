@@ -228,7 +228,7 @@ class Collection:
         rows = points.filter(_id_in(sorted(h.point_id for h in hits)))
         return rows.join(F.broadcast(best), "point_id").select(
             *columns, "point_id", S.SCORE, F.lit(query).alias("search_query"), "rank"
-        )
+        ).orderBy("rank")
 
     def semantic_search(self, query: str, limit: int = S.LIMIT, min_score: float = S.SEMANTIC_MIN_SCORE) -> DataFrame:
         return self.search(query, limit, min_score=min_score)

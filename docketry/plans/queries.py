@@ -415,21 +415,30 @@ def search_vectors(spark, sf):
     return _scored(S.search(vectors, first.vector, where=F.col("label") == first.label), "point_id", "label", "rank")
 
 
+def _entries(frame: DataFrame, key: str, weight: Callable[[Column], Column]) -> DataFrame:
+    """The non-zero entries of the vectors in `v`.
+
+    An outer inline, since a plain one makes Spark filter on the vectors first, and so
+    compute them twice.
+    """
+    pairs = F.transform("v", lambda x, i: F.struct(i.alias("dim"), weight(x).alias("weight"), (x > 0).alias("used")))
+    used = F.filter(pairs, lambda p: p["used"])
+    return frame.select(key, F.inline_outer(used)).filter("used").drop("used")
+
+
 @query
 def embed_hash(spark, sf):
     """Words of the whole documents, as the non-zero entries of their vectors."""
     d = texts(spark, sf)
     vectors = d.select("doc_id", HashingEmbedder().column(F.col("text")).alias("v"))
-    return vectors.select("doc_id", F.posexplode("v").alias("dim", "weight")).filter("weight > 0").select(
-        "doc_id", "dim", F.col("weight").cast("int").alias("weight")
-    )
+    return _entries(vectors, "doc_id", lambda x: x.cast("int"))
 
 
 @query
 def embed_tfidf_(spark, sf):
     points = hashed_points(spark, sf).select("patent_id", "vector")
-    return embed_tfidf(points).select("patent_id", F.posexplode("vector").alias("dim", "w")).filter("w > 0").select(
-        "patent_id", "dim", F.round(F.col("w").cast("double"), 4).alias("weight")
+    return _entries(
+        embed_tfidf(points).withColumnRenamed("vector", "v"), "patent_id", lambda x: F.round(x.cast("double"), 4)
     )
 
 
@@ -653,7 +662,7 @@ def resolve_field(spark, sf):
 @query
 def stream_load(spark, sf):
     checkpoint, out = fresh_folder(spark, "progress"), fresh_folder(spark, "streamed")
-    arriving = stream_records(spark, csv_folder(spark, sf), max_files=2)
+    arriving = stream_records(spark, csv_folder(spark, sf))
     write_records(arriving, out, checkpoint).awaitTermination()
     return _flat(spark.read.schema(RECORD_SCHEMA).parquet(out), *_MAIN)
 
@@ -661,7 +670,7 @@ def stream_load(spark, sf):
 @query
 def stream_upsert(spark, sf):
     kept = Collection(spark, fresh_folder(spark, "collection"), HashingEmbedder(EMBEDDING_DIM))
-    arriving = stream_raw(spark, csv_folder(spark, sf), max_files=2)
+    arriving = stream_raw(spark, csv_folder(spark, sf))
     upsert_stream(arriving, kept, fresh_folder(spark, "progress"), "load").awaitTermination()
     return kept.points().select("point_id", "patent_id", "title", "technology_field")
 

@@ -90,7 +90,7 @@ def stored_points(spark: SparkSession, sf: str) -> DataFrame:
 
 def csv_folder(spark: SparkSession, sf: str) -> str:
     path = fresh_folder(spark, "csv")
-    write_csv(plain_records(spark, sf), path)
+    write_csv(records(spark, sf).withColumn("technology_field", F.lit("Unknown")), path)
     return path
 
 

@@ -28,22 +28,20 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/docketry/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Deal rows evenly over the session's shuffle partitions.
+def spread(frame: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal rows evenly, over the session's shuffle partitions unless told otherwise.
 
     For rows that come out of few tasks, as those of one unsplittable file, before work
     that costs much more per row than moving it.
     """
-    wanted = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return frame.repartition(wanted)
+    return frame.repartition(partitions or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread_if_narrow(scan: DataFrame) -> DataFrame:
-    """Spread a plain table scan of fewer partitions than the session has cores.
+    """Spread a plain table scan of fewer partitions than the session has cores over them.
 
     Only for scans: their partitions are known without running anything, while those of
     a frame with joins are not.
     """
-    if scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism:
-        return spread(scan)
-    return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return spread(scan, cores) if scan.rdd.getNumPartitions() < cores else scan
