@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from docketry.plans.oracle import all_oracles
+from docketry.plans.queries import all_queries
 from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -13,9 +15,9 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_sql(spark, con, name):
-    _, problems = differences(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF)
+    _, problems = differences(spark, con, all_queries()[name], all_oracles()[name], SF)
     assert not problems, "\n".join(problems)
 
 
@@ -26,4 +28,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert all_queries().keys() == all_oracles().keys()
+    assert all_queries().keys() <= entry.queries().keys()
