@@ -89,5 +89,19 @@ WITH cut AS (
 SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM split"""
 
 
+def top_k_sql() -> str:
+    return """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, max(list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v) GROUP BY ALL
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM pairs
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op1_chat_formatting": chat_sql(), "op3_license_scan": license_sql(), "op9_url_filter": url_sql()}
+    return {"op1_chat_formatting": chat_sql(), "op3_license_scan": license_sql(), "op9_url_filter": url_sql(), "op10_exact_top_k": top_k_sql()}

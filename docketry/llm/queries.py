@@ -14,6 +14,8 @@ from docketry.llm.chat import Template, format_conversations
 from docketry.llm.encoding import digest_column
 from docketry.llm.licenses import scan_licenses, word_weights
 from docketry.llm.packing import pack
+from docketry.llm.polytope import nearest
+from docketry.llm.topk import top_k
 from docketry.llm.urls import ALLOW, BLOCK, RULES, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +79,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(docs, word_weights(docs))
 
 
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), k=10)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), with_ids=False)
 
@@ -85,6 +91,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULES))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"), k=20)
+
+
 def llm_queries() -> dict[str, Query]:
-    found = [op1_chat_formatting, op2_bpe_codec, op3_license_scan, op7_packing, op9_url_filter]
+    found = [op1_chat_formatting, op2_bpe_codec, op3_license_scan, op4_cross_polytope, op7_packing, op9_url_filter, op10_exact_top_k]
     return {f.__name__: f for f in found}
