@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.llm import langid, toxicity
 from docketry.llm.chat import Template, format_conversations
 from docketry.llm.encoding import digest_column
 from docketry.llm.licenses import scan_licenses, word_weights
@@ -83,6 +84,23 @@ def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), k=10)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.toxicity_column(F.col("text"), model, docs).alias("found"))
+    return scored.select(
+        "doc_id", toxicity.in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "found.score", "found.predicted",
+        F.col("found.evidence.doc_id").alias("evidence"),
+    )
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    found = docs.select("doc_id", langid.language_column(F.col("text"), model, docs).alias("found"))
+    return found.select("doc_id", toxicity.in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "found.lang_pred", "found.score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), with_ids=False)
 
@@ -96,5 +114,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    found = [op1_chat_formatting, op2_bpe_codec, op3_license_scan, op4_cross_polytope, op7_packing, op9_url_filter, op10_exact_top_k]
+    found = [op1_chat_formatting, op2_bpe_codec, op3_license_scan, op4_cross_polytope, op6_toxicity, op8_language_id, op7_packing, op9_url_filter, op10_exact_top_k]
     return {f.__name__: f for f in found}
