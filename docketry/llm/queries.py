@@ -14,6 +14,7 @@ from docketry.llm import langid, toxicity
 from docketry.llm.chat import Template, format_conversations
 from docketry.llm.encoding import digest_column
 from docketry.llm.licenses import scan_licenses, word_weights
+from docketry.llm.neardup import near_duplicates
 from docketry.llm.packing import pack
 from docketry.llm.polytope import nearest
 from docketry.llm.topk import top_k
@@ -84,6 +85,10 @@ def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), k=10)
 
 
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -114,5 +119,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    found = [op1_chat_formatting, op2_bpe_codec, op3_license_scan, op4_cross_polytope, op6_toxicity, op8_language_id, op7_packing, op9_url_filter, op10_exact_top_k]
+    found = [op1_chat_formatting, op2_bpe_codec, op3_license_scan, op4_cross_polytope, op5_chosen_path, op6_toxicity, op8_language_id, op7_packing, op9_url_filter, op10_exact_top_k]
     return {f.__name__: f for f in found}
