@@ -3,23 +3,28 @@
 Texts with equal shingle sets form a class; classes are what is joined. Every class has
 PLACES minwise hashes. A tree node picks BRANCHES of the places by a hash of its path and
 sends each of its classes to the children named by place and hash, so two classes of
-similarity s stay together in a child with probability s, and are kept apart only if all
+similarity s stay together in a child with probability s, and are parted only if all
 branches part them. TREES independent trees make up the recall: at s = 0.75 a pair is
-missed with probability below (1 - s) ** BRANCHES per level and tree, 2e-7 in all.
+parted with probability 0.016 in the first level of a tree and 0.018 over all levels, so
+that one pair in 10**7 is missed.
 
 Nodes are compared as follows, so that no group of copies is ever written out as pairs:
 1. In each first-level node all classes are paired with its smallest one only. Pairs whose
-   hashes agree enough are checked on full sets and linked, and components taken. Groups of
-   thousands of near copies are one component after that.
-2. Nodes that still hold several components are compared inside, if SMALL or smaller, for
-   pairs of different components; larger ones branch on, and are compared where a branch
-   has become small, or where their pairs of different components are few.
-3. Nodes that are large at the deepest level are compared block by block.
-Links found then are checked on full sets and join components once more.
+   hashes agree enough are checked on full sets and linked, and components taken.
+2. Nodes that still hold several components: one of SMALL classes or fewer is compared
+   inside, by hashes, the others against its largest component and each other; what agrees
+   enough is checked on full sets. A larger one branches on.
+3. Tight nodes, of many alike but mostly unlinked classes, would branch without end and
+   yield pairs by the square. They are told by the share of pairs that their children keep
+   together, or by the pairs found. They are compared on full sets, block by block, as
+   matrix products, and give the links of a spanning forest only. So are nodes of one huge
+   component with few others, and what is large at the deepest level.
+Components are then taken once more.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +38,12 @@ from docketry.llm.blocks import meet
 from docketry.llm.components import components, saved
 
 WORDS, PERCENT = 5, 75
-PLACES, TREES, BRANCHES, DEPTH, SMALL = 128, 4, 3, 12, 256
+PLACES, TREES, BRANCHES, DEPTH, SMALL = 128, 4, 3, 12, 512
+#: A node is tight if its classes' mean similarity is this, or it has so many pairs per class.
+TIGHT_SIMILARITY, TIGHT_PAIRS = 0.3, 8
 #: Agreeing hashes from which a pair is checked; at 75 % similarity fewer happen once in 10**7.
 AGREE = 70
-BLOCK_ROWS = 2048
+BLOCK_ROWS, COLUMNS = 1024, 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -183,11 +190,10 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Those pairs whose full shingle sets are similar enough."""
-    pairs = saved(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = saved(classes.select("key", "doc_id").join(needed, "key"), "needed")
+def full_sets(keys: DataFrame, classes: DataFrame, documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(key, items): the whole shingle sets of the given classes, from the texts."""
+    wanted = classes.select("key", "doc_id").join(keys.select("key").distinct(), "key")
+    wanted = saved(wanted.select("doc_id", F.col("key").alias("wanted")), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,12 +206,15 @@ def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, doc_id
                 })
 
     texts = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    wanted = wanted.select("doc_id", F.col("key").alias("wanted"))
-    found = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id)).select("wanted", "text").mapInArrow(
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("wanted", "text").mapInArrow(
         sets, "wanted binary, key binary, items binary"
     )
     # An id may stand for several texts; equal ones of a class need one set.
-    found = saved(found.filter("wanted = key").groupBy("key").agg(F.min("items").alias("items")), "sets")
+    return saved(found.filter("wanted = key").groupBy("key").agg(F.min("items").alias("items")), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs whose full shingle sets are similar enough."""
 
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
@@ -215,18 +224,25 @@ def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, doc_id
             out.append(100 * common >= PERCENT * (len(x) + len(y) - common))
         return pa.array(out, pa.bool_())
 
-    side = lambda n: found.select(F.col("key").alias(n), F.col("items").alias(f"{n}_items"))
+    side = lambda n: sets.select(F.col("key").alias(n), F.col("items").alias(f"{n}_items"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.filter(F.arrow_udf(similar, "boolean")("a_items", "b_items")).select("a", "b")
 
 
-def _marked(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes' rows (path, key) with each class's component; only nodes of several components,
-    with their size and their largest component's."""
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+
+
+def _marked(nodes: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+    """Rows (path, key, root, size, others, main) of the nodes that hold several components
+    and `least` classes or more. `main` is the largest component, `others` what is not in it."""
     rows = nodes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     parts = rows.groupBy("path", "root").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy("path").agg(F.sum("n").alias("size"), F.max("n").alias("largest"), F.count("*").alias("roots"))
-    return rows.join(sizes.filter("roots > 1 AND size > 2").select("path", "size", "largest"), "path")
+    sizes = parts.groupBy("path").agg(
+        F.sum("n").alias("size"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most")
+    ).filter((F.col("roots") > 1) & (F.col("size") >= least))
+    sizes = sizes.select("path", "size", (F.col("size") - F.col("most.n")).alias("others"), F.col("most.root").alias("main"))
+    return rows.join(sizes, "path")
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,12 +262,15 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     sizes = nodes.groupBy("path").agg(F.count("*").alias("size"), F.min("key").alias("smallest")).filter("size > 1")
     nodes = saved(nodes.join(sizes, "path"), "nodes")
     star = nodes.filter(F.col("key") != F.col("smallest")).select(F.col("smallest").alias("a"), F.col("key").alias("b")).distinct()
-    links = saved(confirmed(_agreeing(star, classes), classes, documents, doc_id, text), "links")
+    star = saved(_agreeing(star, classes), "pairs")
+    links = saved(confirmed(star, full_sets(ends_of(star), classes, documents, doc_id, text)), "links")
     roots = saved(components(links), "roots")
 
-    more = _inside(nodes.select("path", "key"), classes, roots)
-    new = confirmed(more, classes, documents, doc_id, text)
-    roots = saved(components(links.unionByName(new)), "roots")
+    pairs, tight = _inside(nodes.select("path", "key"), classes, roots)
+    needed = ends_of(pairs).unionByName(tight.select("key"))
+    sets = full_sets(needed, classes, documents, doc_id, text)
+    links = links.unionByName(confirmed(pairs, sets)).unionByName(_in_blocks(tight, sets))
+    roots = saved(components(links), "roots")
 
     least = (
         classes.join(roots.withColumnRenamed("node", "key"), "key", "left")
@@ -266,24 +285,27 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     )
 
 
-def _few(rows: DataFrame):
-    """Whether a node's pairs of different components are about as few as in a small node."""
-    return (F.col("size") <= SMALL) | ((F.col("size") - F.col("largest")) * 4 <= SMALL)
-
-
-def _inside(nodes: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components with agreeing hashes, from all nodes of all depths."""
-    found = None
+def _inside(nodes: DataFrame, classes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From the nodes of all depths: pairs of different components with agreeing hashes, and
+    the rows of tight nodes."""
+    signatures = classes.select("key", "signature")
+    pairs, tight = [], []
     for depth in range(1, DEPTH + 1):
-        marked = saved(_marked(nodes, roots).join(classes.select("key", "signature"), "key"), "marked")
-        small = marked.filter(_few(marked))
-        pairs = saved(_compared(small), "pairs")
-        found = pairs if found is None else found.unionByName(pairs)
-        large = marked.filter(~_few(marked))
+        # Nodes of two are done in the first level, where each meets the smallest.
+        marked = saved(_marked(nodes, roots, 3 if depth == 1 else 2), "marked")
+        found = saved(_compared(marked.filter(F.col("size") <= SMALL).join(signatures, "key")), "pairs")
+        pairs.append(found.filter("a IS NOT NULL").select("a", "b"))
+        crowded = found.filter("a IS NULL").select("path").distinct()
+        tight.append(marked.join(crowded, "path", "left_semi"))
+        large = marked.filter(F.col("size") > SMALL)
         if large.isEmpty():
-            return found.distinct()
+            break
+        few = F.col("others") * 4 <= SMALL
+        tight.append(large.filter(few))
+        large = large.filter(~few)
         if depth == DEPTH:
-            return found.unionByName(_in_blocks(large)).distinct()
+            tight.append(large)
+            break
 
         def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -291,9 +313,21 @@ def _inside(nodes: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
                     continue
                 path = batch.column(0).to_numpy(zero_copy_only=False).view("uint64")
                 for child in _descend(path, _picked(path), _matrix(batch.column(2))):
-                    yield pa.RecordBatch.from_pydict({"path": child.view("int64"), "key": batch.column(1)})
+                    yield pa.RecordBatch.from_pydict({"parent": batch.column(0), "path": child.view("int64"), "key": batch.column(1)})
 
-        nodes = large.select("path", "key", "signature").mapInArrow(branch, "path bigint, key binary")
+        children = saved(
+            large.join(signatures, "key").select("path", "key", "signature").mapInArrow(branch, "parent bigint, path bigint, key binary"),
+            "children",
+        )
+        # The chance that two classes of a node agree in a place is their mean similarity.
+        kept = children.groupBy("parent", "path").agg(F.count("*").alias("n")).groupBy("parent").agg(
+            (F.sum(F.col("n") * F.col("n")) * BRANCHES / (F.sum("n") * F.sum("n"))).alias("similarity")
+        )
+        close = saved(kept.filter(F.col("similarity") >= TIGHT_SIMILARITY).select("parent"), "close")
+        tight.append(large.join(close.withColumnRenamed("parent", "path"), "path", "left_semi"))
+        nodes = children.join(close, "parent", "left_anti").select("path", "key")
+    together = lambda frames: functools.reduce(DataFrame.unionByName, frames)
+    return saved(together(pairs).distinct(), "pairs"), saved(together(tight), "tight")
 
 
 PAIR = "a binary, b binary"
@@ -319,9 +353,8 @@ def _pair_table(pairs: set) -> pa.Table:
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    """Exhaustive comparison inside nodes. Of a large component with few others around it,
-    only pairs with the others are looked at; its rows pass one block at a time."""
-    dealt = rows.repartition("path").sortWithinPartitions("path")
+    """(path, a, b): pairs inside nodes of SMALL classes or fewer; nulls name a tight node."""
+    dealt = rows.select("path", "key", "root", "main", "signature").repartition("path").sortWithinPartitions("path")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -333,44 +366,85 @@ def _compared(rows: DataFrame) -> DataFrame:
                 if i == j:
                     continue
                 if held and path[i] != last:
-                    yield from _node(held)
+                    yield _node(held)
                     held = []
                 held.append(batch.slice(i, j - i))
                 last = path[i]
         if held:
-            yield from _node(held)
+            yield _node(held)
 
-    return dealt.select("path", "key", "root", "signature").mapInArrow(compare, PAIR).distinct()
+    return dealt.mapInArrow(compare, "path bigint, a binary, b binary")
 
 
-def _node(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _node(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     rows = pa.Table.from_batches(parts)
-    keys, roots = rows.column("key").to_pylist(), rows.column("root").to_pylist()
+    path = rows.column("path")[0].as_py()
+    keys, roots, main = (rows.column(n).to_pylist() for n in ("key", "root", "main"))
     signature = _matrix(rows.column("signature").combine_chunks())
-    counts: dict = {}
-    for r in roots:
-        counts[r] = counts.get(r, 0) + 1
-    main = max(counts, key=lambda r: (counts[r], r))
-    rest = [i for i, r in enumerate(roots) if r != main]
+    rest = [i for i, r in enumerate(roots) if r != main[0]]
     found = _pairs([keys[i] for i in rest], keys, [roots[i] for i in rest], roots, signature[rest], signature)
-    if found:
-        yield from _pair_table(found).to_batches()
-
-
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Pairs inside nodes that stayed large to the deepest level, block against block."""
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("bigint")
-    rows = rows.select("path", "key", "root", "signature", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    keep = [F.col("path").alias("key"), F.col("key").alias("name"), "root", "signature"]
-    left = rows.select(*keep, F.col("own").alias("point_block"), every.alias("query_block")).filter("point_block <= query_block")
-    right = rows.select(*keep, every.alias("point_block"), F.col("own").alias("query_block")).filter("point_block <= query_block")
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
+    if len(found) > TIGHT_PAIRS * len(keys):
+        found = {(None, None)}
+    a, b = zip(*sorted(found)) if found else ((), ())
+    return pa.RecordBatch.from_pydict({
+        "path": pa.array([path] * len(a), pa.int64()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()),
+    })
+
+
+def _in_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links inside tight nodes: what is outside of a node's main component against all of the
+    node, on full sets. A pair of blocks gives at most a spanning forest's links."""
+    rows = rows.select("path", "key", "root", "main", "size", "others").join(sets, "key")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("bigint")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("key"), blocks(n))
+    keep = [F.col("path").alias("key"), F.col("key").alias("name"), F.col("root").alias("root"), F.col("items").alias("items")]
+    all_ = rows.select(*keep, own("size").alias("point_block"), every("others").alias("query_block"))
+    others = rows.filter("root <> main").select(*keep, every("size").alias("point_block"), own("others").alias("query_block"))
+
+    def compare(points: pa.Table, queries: pa.Table) -> pa.Table:
+        if not len(points) or not len(queries):
             return _pair_table(set())
-        lists = [(t.column("name").to_pylist(), t.column("root").to_pylist(), _matrix(t.column("signature").combine_chunks())) for t in (a, b)]
-        (k, r, s), (k2, r2, s2) = lists
-        return _pair_table(_pairs(k, k2, r, r2, s, s2))
+        return _pair_table(_forest(points, queries))
+
+    return meet(all_, others, compare, PAIR)
+
+
+def _forest(points: pa.Table, queries: pa.Table) -> set:
+    """Links between different components of two blocks, none that others imply."""
+    names = [t.column("name").to_pylist() for t in (points, queries)]
+    roots = [t.column("root").to_pylist() for t in (points, queries)]
+    items = [[np.frombuffer(x, "uint64") for x in t.column("items").to_pylist()] for t in (points, queries)]
+    sizes = [np.array([len(x) for x in side], "int64") for side in items]
+    flat = np.concatenate([*items[0], *items[1]])
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    # An item that only one set has is in no intersection.
+    shared = np.cumsum(times > 1) - 1
+    column = np.where(times[code] > 1, shared[code], -1)
+    cut = sizes[0].sum()
+    sides = [(np.repeat(np.arange(len(s)), s), c) for s, c in zip(sizes, (column[:cut], column[cut:]))]
+    common = np.zeros((len(names[1]), len(names[0])), "float32")
+    for low in range(0, int(shared[-1]) + 1 if len(shared) else 0, COLUMNS):
+        matrices = []
+        for (row, c), s in zip(sides, sizes):
+            here = (c >= low) & (c < low + COLUMNS)
+            matrix = np.zeros((len(s), COLUMNS), "float32")
+            matrix[row[here], c[here] - low] = 1
+            matrices.append(matrix)
+        common += matrices[1] @ matrices[0].T
+    whole = common.astype("int64")
+    alike = 100 * whole >= PERCENT * (sizes[1][:, None] + sizes[0][None, :] - whole)
+    parent: dict = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
 
-    return meet(left, right, compare, PAIR)
+    out = set()
+    for q, p in zip(*np.nonzero(alike)):
+        a, b = root(roots[1][q]), root(roots[0][p])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.add((min(names[1][q], names[0][p]), max(names[1][q], names[0][p])))
+    return out
