@@ -176,6 +176,8 @@ class Encoder:
     def merge_all(self, words: list[bytes]) -> list[bytes]:
         """`merge` for many words of a window or less at once: each round applies to every
         word the first of its merges. Gives each word's ids as 32-bit integers."""
+        if not words:
+            return []
         sizes = np.fromiter(map(len, words), "int64", len(words))
         last = np.zeros(sizes.sum(), "int64")
         last[np.cumsum(sizes) - 1] = 1
@@ -207,8 +209,6 @@ class Encoder:
                 after = np.minimum(i + 1, len(ids) - 1)
                 pair = (after > i) & (word[after] == word[i])
                 rank[i] = np.where(pair, self._ranks(ids[i], ids[after]), none)
-        if not done_ids:
-            return []
         word, ids = np.concatenate(done_word), np.concatenate(done_ids)
         raw = ids[np.argsort(word, kind="stable")].astype("<u4").tobytes()
         ends = np.cumsum(np.bincount(word, minlength=len(words)) * 4).tolist()
@@ -271,7 +271,7 @@ class Encoder:
         known = self._known
         out = [known.get(w) for w in words]
         unseen = [i for i, ids in enumerate(out) if ids is None]
-        short = {w: w.encode() for i in unseen if len(w := words[i]) <= SHORT}
+        short = {w: w.encode() for i in unseen if 0 < len(w := words[i]) <= SHORT}
         fresh = dict(zip(short, self.merge_all([*short.values()])))
         for i in unseen:
             w = words[i]
