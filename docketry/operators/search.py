@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +18,10 @@ SCORE = "similarity_score"
 LIMIT = 10
 SEMANTIC_MIN_SCORE = 0.5
 SIMILAR_LIMIT = 5
-# A query matrix up to this size goes to every task; a larger one is cut into blocks.
+# Bytes of one query matrix, which goes to every task; there are as many as it takes.
 QUERY_MATRIX_BYTES = 16 << 20
-# Rows of one block of a blocked search; bounds the memory of a task.
-BLOCK_ROWS = 50_000
+# Parts in which the hits of one query are merged before they meet.
+MERGE_PARTS = 32
 # Scores held in memory at one time.
 _CELLS_AT_ONCE = 4_000_000
 _ANY, _OTHER = -1, -2
@@ -162,9 +161,24 @@ def _with_field(queries: DataFrame) -> DataFrame:
     return queries.select(F.col("query_id").cast("string").alias("query_id"), "vector", field.alias("technology_field"))
 
 
-def _dimension(queries: DataFrame) -> int:
-    first = queries.select(F.size("vector").alias("n")).filter("n > 0").first()
-    return first.n if first else 0
+def _matrices(queries: DataFrame, matrix_bytes: int) -> Iterator[tuple[int, list]]:
+    """(vector size, query rows): all queries, those of one size in lots of bounded bytes.
+
+    The lots are read one after the other; a query without a vector fails the search.
+    """
+    sized = queries.withColumn("_size", F.coalesce(F.size("vector"), F.lit(0)))
+    sizes = sorted(r[0] for r in sized.select("_size").distinct().collect())
+    if sizes and sizes[0] <= 0:
+        raise ValueError("every query needs a vector")
+    for size in sizes:
+        most, lot = max(1, matrix_bytes // (8 * size)), []
+        for row in sized.filter(F.col("_size") == size).drop("_size").toLocalIterator():
+            lot.append(row)
+            if len(lot) == most:
+                yield size, lot
+                lot = []
+        if lot:
+            yield size, lot
 
 
 def _hits_by_matrix(points: DataFrame, rows: list, dim: int, limit: int, min_score: float) -> DataFrame:
@@ -182,73 +196,35 @@ def _hits_by_matrix(points: DataFrame, rows: list, dim: int, limit: int, min_sco
     return points.select("point_id", "vector", "technology_field").mapInArrow(scan, _HITS)
 
 
-def _hits_by_blocks(points: DataFrame, queries: DataFrame, limit: int, min_score: float, block_rows: int) -> DataFrame:
-    """Every block of points meets every block of queries in a task of its own.
-
-    Rows are dealt to blocks by a hash of their unique key, so no block is heavier than
-    the others, whatever the data looks like.
-    """
-    point_blocks = max(1, ceil(points.count() / block_rows))
-    query_blocks = max(1, ceil(queries.count() / block_rows))
-
-    def deal(key: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-    def all_blocks(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    left = points.select(
-        "point_id", "vector", "technology_field",
-        deal("point_id", point_blocks).alias("pb"), all_blocks(query_blocks).alias("qb"),
-    )
-    right = queries.select(
-        "query_id", "vector", "technology_field",
-        all_blocks(point_blocks).alias("pb"), deal("query_id", query_blocks).alias("qb"),
-    )
-
-    def meet(p: pa.Table, q: pa.Table) -> pa.Table:
-        best = None
-        if q.num_rows and p.num_rows:
-            vectors = q.column("vector").combine_chunks()
-            matrix = np.asarray(vectors.flatten(), dtype="float64").reshape(q.num_rows, -1)
-            best = _Best(
-                q.column("query_id").to_pylist(), matrix, q.column("technology_field").to_pylist(), limit, min_score
-            )
-            for b in p.select(["point_id", "vector", "technology_field"]).to_batches():
-                best.add(b.column(0), b.column(1), b.column(2))
-        return pa.Table.from_batches([best.batch()] if best else [], schema=_NO_HITS)
-
-    return left.groupBy("pb", "qb").cogroup(right.groupBy("pb", "qb")).applyInArrow(meet, _HITS)
-
-
 def search_batch(
     points: DataFrame,
     queries: DataFrame,
     limit: int = LIMIT,
     min_score: float = 0.0,
     matrix_bytes: int = QUERY_MATRIX_BYTES,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The best `limit` points of each query: query_id, point_id, score, rank.
 
     `queries` has `query_id`, `vector` and, optionally, `technology_field`: only points of
-    that field are searched, all of them where it is null. Each task keeps the best rows
-    per query, so what is shuffled is `limit` rows per query and task.
+    that field are searched, all of them where it is null. A query meets the points whose
+    vectors have its own size; one without a vector fails the search. Queries are cut into
+    matrices of `matrix_bytes`; the points are passed over once per matrix and never
+    shuffled. Each task keeps the best rows per query, so what is shuffled is `limit` rows
+    per query and task, which are merged in two steps.
     """
     if "technology_field" not in points.columns:
         points = points.withColumn("technology_field", F.lit(None).cast("string"))
-    queries = _with_field(queries)
-    dim = _dimension(queries)
-    queries = queries.filter(F.size("vector") == dim)
-    fit = matrix_bytes // (8 * max(dim, 1))
-    # Read one row more than fits: the size is known before anything is shipped.
-    rows = queries.limit(fit + 1).collect()
-    if not rows:
+    hits = None
+    for dim, rows in _matrices(_with_field(queries), matrix_bytes):
+        fields = {r.technology_field for r in rows}
+        meant = points if None in fields else points.filter(F.col("technology_field").isin(*fields))
+        found = _hits_by_matrix(meant, rows, dim, limit, min_score)
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
         hits = points.sparkSession.createDataFrame([], _HITS)
-    elif len(rows) <= fit:
-        hits = _hits_by_matrix(points, rows, dim, limit, min_score)
-    else:
-        hits = _hits_by_blocks(points, queries, limit, min_score, block_rows)
+    # A query with hits from very many tasks is cut down by parts first.
+    part = Window.partitionBy("query_id", F.pmod(F.xxhash64("point_id"), F.lit(MERGE_PARTS))).orderBy(*_order())
+    hits = hits.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= limit).drop("rank")
     per_query = Window.partitionBy("query_id").orderBy(*_order())
     return hits.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= limit)
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.functions.filters import ExactFilter, any_of
+from docketry.functions.filters import ExactFilter, RecordFilter, any_of
 from docketry.functions.vectors import VECTOR, HashingEmbedder
 from docketry.operators import search as S
 from docketry.operators import stats
@@ -43,8 +43,6 @@ _COMMIT_SCHEMA = (
 )
 # Searches for up to this many points fetch the other columns by point id afterwards.
 FETCH_BY_KEY = 1000
-# An export of more rows than this is cut without gathering it in one task.
-SORTED_EXPORT = 100_000
 _PREFIX = 4
 _SHORT_LIST = 10
 
@@ -207,7 +205,7 @@ class Collection:
         self,
         query: str,
         limit: int = S.LIMIT,
-        filters: ExactFilter | Column | None = None,
+        filters: ExactFilter | RecordFilter | Column | None = None,
         min_score: float = 0.0,
         columns: Sequence[str] = RECORD_SCHEMA.names,
     ) -> DataFrame:
@@ -217,12 +215,14 @@ class Collection:
         other columns of the few hits are then read by point id, which skips all files
         and row groups of the snapshot that hold none of them.
         """
-        where = filters.to_column() if isinstance(filters, ExactFilter) else filters
+        where = filters.to_column() if isinstance(filters, (ExactFilter, RecordFilter)) else filters
+        if isinstance(filters, RecordFilter):
+            min_score = max(min_score, filters.min_score)
         points = self.points()
         vector = self._vector(query)
         if limit > FETCH_BY_KEY:
             found = S.search(points, vector, limit, where, min_score, query)
-            return found.select(*columns, "point_id", S.SCORE, "search_query", "rank")
+            return found.select(*columns, "point_id", S.SCORE, "search_query", "rank").orderBy("rank")
         hits = S.search(points, vector, limit, where, min_score).select("point_id", S.SCORE, "rank").collect()
         best = self.spark.createDataFrame(hits, f"point_id string, {S.SCORE} double, rank int")
         rows = points.filter(_id_in(sorted(h.point_id for h in hits)))
@@ -254,28 +254,25 @@ class Collection:
         WRITERS[format](first_points(self.points(), limit), path)
 
 
-def first_points(points: DataFrame, limit: int | None = None, sorted_up_to: int = SORTED_EXPORT) -> DataFrame:
-    """All points, or the first `limit` of them by point id, without vectors.
+def first_points(points: DataFrame, limit: int | None = None) -> DataFrame:
+    """All points, or the first `limit` of them, by point id and without vectors.
 
-    A large limit is not sorted into one task: points are counted per leading digits of
-    their id, whole ranges below the cut are kept, and only the range that the cut falls
-    into is sorted.
+    A limit of any size is cut without gathering it in one task: points are counted per
+    leading digits of their id, whole ranges below the cut are kept, and only of the range
+    that the cut falls into are the first points taken.
     """
     points = points.drop("vector")
-    if limit is None:
-        return points
-    if limit <= sorted_up_to:
-        return points.orderBy("point_id").limit(limit)
-    prefix = F.substring("point_id", 1, _PREFIX)
-    # At most 16 ** 4 ranges, as ids are hexadecimal.
-    counts = points.groupBy(prefix.alias("prefix")).count().orderBy("prefix").collect()
-    taken, cut = 0, None
-    for c in counts:
-        if taken + c["count"] > limit:
-            cut = c.prefix
-            break
-        taken += c["count"]
-    if cut is None:
-        return points
-    whole = points.filter(prefix < cut)
-    return whole.unionByName(points.filter(prefix == cut).orderBy("point_id").limit(limit - taken))
+    if limit is not None:
+        prefix = F.substring("point_id", 1, _PREFIX)
+        # At most 16 ** 4 ranges, as ids are hexadecimal.
+        counts = points.groupBy(prefix.alias("prefix")).count().orderBy("prefix").collect()
+        taken, cut = 0, None
+        for c in counts:
+            if taken + c["count"] > limit:
+                cut = c.prefix
+                break
+            taken += c["count"]
+        if cut is not None:
+            whole = points.filter(prefix < cut)
+            points = whole.unionByName(points.filter(prefix == cut).orderBy("point_id").limit(limit - taken))
+    return points.orderBy("point_id")

@@ -230,7 +230,7 @@ def export_limit(spark, sf):
 
 @query
 def export_limit_by_range(spark, sf):
-    return first_points(_keyed(spark, sf), EXPORTED, sorted_up_to=0).select("point_id", "patent_id", "title")
+    return first_points(_keyed(spark, sf), EXPORTED).select("point_id", "patent_id", "title")
 
 
 def _arrivals(spark, sf) -> DataFrame:
@@ -490,7 +490,7 @@ def search_batch(spark, sf):
 def search_batch_blocks(spark, sf):
     """The same as too many queries for one task would be run."""
     points, queries = hashed_points(spark, sf), _benchmark_queries(spark, sf)
-    hits = S.search_batch(points, queries, limit=5, matrix_bytes=0, block_rows=150)
+    hits = S.search_batch(points, queries, limit=5, matrix_bytes=8 * EMBEDDING_DIM * 150)
     return _scored(hits, "query_id", "point_id", "rank")
 
 

@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
         return folder.rstrip("/")
-    if spark.conf.get("spark.master", "local").startswith("local"):
+    if spark.conf.get("spark.master", "").split("[")[0] == "local":
         return tempfile.mkdtemp(prefix="docketry-")
     raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
 

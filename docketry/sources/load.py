@@ -67,7 +67,7 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def _any_case(suffix: str) -> str:
+def any_case(suffix: str) -> str:
     return "".join(f"[{c}{c.upper()}]" for c in suffix)
 
 
@@ -79,7 +79,7 @@ def read_directory(spark: SparkSession, path: str, pattern: str = "*", on_unknow
     for suffix in sorted(suffixes & SUPPORTED.keys()):
         reader = _READERS[SUPPORTED[suffix]]
         options = {} if reader is read_xml else {"on_unknown": on_unknown}
-        parts.append(reader(spark, f"{path}/*.{_any_case(suffix)}", glob=pattern, **options))
+        parts.append(reader(spark, f"{path}/*.{any_case(suffix)}", glob=pattern, **options))
     unsupported = files.filter(~F.col("suffix").isin(*SUPPORTED)).select(
         SOURCE, F.concat(F.lit("unsupported:"), "suffix").alias(REASON)
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators.normalize import REASON
 from docketry.schema import RECOMMENDED_FIELDS, REQUIRED_FIELDS
-from docketry.sources.load import SUPPORTED, list_files
+from docketry.sources.load import SUPPORTED, any_case, list_files
 from docketry.sources.scan import ORDER, SOURCE, json_elements, scan_csv
 
 
@@ -17,10 +17,10 @@ def file_profile(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     Records are counted for CSV and JSON, and columns are named for CSV.
     """
     files = list_files(spark, path, pattern)
-    suffixes = {r.suffix for r in files.select("suffix").distinct().collect()}
+    suffixes = {r.suffix for r in files.select("suffix").filter(F.col("suffix").isin("csv", "json")).distinct().collect()}
     counts = None
-    for suffix in sorted(suffixes & {"csv", "json"}):
-        at = f"{path}/*.{suffix}"
+    for suffix in sorted(suffixes):
+        at = f"{path}/*.{any_case(suffix)}"
         if suffix == "csv":
             rows = scan_csv(spark, at, glob=pattern)
             names = [c for c in rows.columns if c not in (SOURCE, ORDER, REASON)]

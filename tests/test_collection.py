@@ -109,7 +109,7 @@ def test_stats_and_export(spark, kept, tmp_path):
     want = sorted(r.patent_id for r in kept.points().filter(F.col("point_id").isin(first)).collect())
     assert sorted(r.patent_id for r in spark.read.json(str(tmp_path / "j")).collect()) == want
     for n in (1, 7, 39, 40, 99):
-        cut = first_points(kept.points(), n, sorted_up_to=0)
+        cut = first_points(kept.points(), n)
         assert sorted(r.point_id for r in cut.collect()) == sorted(r.point_id for r in first_points(kept.points(), n).collect())
 
 

@@ -67,7 +67,7 @@ def test_batch_equals_single(spark, limit):
     asked = [(str(i), m[i].tolist(), None if i % 2 else "f2") for i in range(20)]
     queries = spark.createDataFrame(asked, "query_id string, vector array<float>, technology_field string")
     by_matrix = S.search_batch(frame, queries, limit)
-    by_blocks = S.search_batch(frame, queries, limit, matrix_bytes=0, block_rows=37)
+    by_blocks = S.search_batch(frame, queries, limit, matrix_bytes=1)
     for found in (by_matrix, by_blocks):
         got = {}
         for r in found.orderBy("query_id", "rank").collect():
@@ -207,3 +207,11 @@ def test_changes(spark):
 def test_heavy_key_is_folded_before_the_shuffle(spark):
     plan = latest(spark.range(10).selectExpr("id % 2 AS k", "id"), "k", [F.desc("id")])._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Final") < plan.index("Exchange hashpartitioning") < plan.index("Partial")
+
+
+def test_batch_of_mixed_sizes(spark):
+    points_ = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0])], "point_id string, vector array<float>")
+    queries = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [1.0, 0.0, 0.0])], "query_id string, vector array<float>")
+    assert sorted((r.query_id, r.point_id) for r in S.search_batch(points_, queries).collect()) == [("x", "a"), ("y", "b")]
+    with pytest.raises(ValueError):
+        S.search_batch(points_, spark.createDataFrame([("z", None)], queries.schema))
