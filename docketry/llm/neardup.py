@@ -6,7 +6,8 @@ sends each of its classes to the children named by place and hash, so two classe
 similarity s stay together in a child with probability s, and are parted only if all
 branches part them. TREES independent trees make up the recall: at s = 0.75 a pair is
 parted with probability 0.016 in the first level of a tree and 0.018 over all levels, so
-that one pair in 10**7 is missed.
+that one pair in 10**7 is missed. First-level nodes go by hashes of 32 bits, as all classes
+meet there; 16 bits of each are kept for all that follows, where they rarely agree by chance.
 
 Nodes are compared as follows, so that no group of copies is ever written out as pairs:
 1. In each first-level node all classes are paired with its smallest one only. Pairs whose
@@ -113,24 +114,34 @@ def _signatures(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-SKETCH = "doc_id bigint, key binary, n_shingles bigint, signature binary"
+SKETCH = "doc_id bigint, key binary, n_shingles bigint, signature binary, paths array<bigint>"
 
 
 def sketches(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The set's name, size and minwise hashes for each row; null key for an empty set."""
+    """The set's name, size, minwise hashes and first-level nodes for each row; null key for an
+    empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots = mix(np.arange(1, TREES + 1, dtype="uint64"))
+        picked = _picked(roots)
         for batch in batches:
             for start, stop, code, ends in shingles(as_texts(batch.column(1))):
                 starts = np.concatenate([[0], ends[:-1]]).astype("int64")
                 full = ends > starts
-                raw = _signatures(code, starts, ends).tobytes()
-                size = PLACES * 4
+                signature = _signatures(code, starts, ends)
+                paths = np.stack([
+                    path.view("int64")
+                    for root, places in zip(roots, picked)
+                    for path in _descend(np.full(len(ends), root), np.tile(places, (len(ends), 1)), signature)
+                ], axis=1)
+                raw = signature.astype("uint16").tobytes()
+                size = PLACES * 2
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(start, stop - start),
                     "key": pa.array([k if f else None for k, f in zip(_keys(code, starts, ends), full)], pa.binary()),
                     "n_shingles": pa.array(ends - starts, pa.int64()),
                     "signature": pa.array([raw[i * size:(i + 1) * size] if f else None for i, f in enumerate(full)], pa.binary()),
+                    "paths": pa.array([x if f else None for x, f in zip(paths.tolist(), full)], pa.list_(pa.int64())),
                 })
 
     return documents.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(sketch, SKETCH)
@@ -157,24 +168,12 @@ def _descend(path: np.ndarray, places: np.ndarray, signature: np.ndarray) -> lis
 
 
 def _matrix(values: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(values.to_pylist()), "uint32").reshape(len(values), PLACES)
+    return np.frombuffer(b"".join(values.to_pylist()), "uint16").reshape(len(values), PLACES)
 
 
 def first_nodes(classes: DataFrame) -> DataFrame:
     """(path, key) of each class in the first-level nodes of all trees."""
-
-    def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = mix(np.arange(1, TREES + 1, dtype="uint64"))
-        picked = _picked(roots)
-        for batch in batches:
-            if not len(batch):
-                continue
-            signature = _matrix(batch.column(1))
-            for root, places in zip(roots, picked):
-                for path in _descend(np.full(len(batch), root), np.tile(places, (len(batch), 1)), signature):
-                    yield pa.RecordBatch.from_pydict({"path": path.view("int64"), "key": batch.column(0)})
-
-    return classes.select("key", "signature").mapInArrow(branch, "path bigint, key binary")
+    return classes.select(F.explode("paths").alias("path"), "key")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -233,16 +232,13 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
 
 
-def _marked(nodes: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """Rows (path, key, root, size, others, main) of the nodes that hold several components
-    and `least` classes or more. `main` is the largest component, `others` what is not in it."""
-    rows = nodes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    parts = rows.groupBy("path", "root").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy("path").agg(
-        F.sum("n").alias("size"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most")
-    ).filter((F.col("roots") > 1) & (F.col("size") >= least))
-    sizes = sizes.select("path", "size", (F.col("size") - F.col("most.n")).alias("others"), F.col("most.root").alias("main"))
-    return rows.join(sizes, "path")
+def _sizes(rows: DataFrame, *along: str) -> DataFrame:
+    """For each node of rows (path, key, root): `size`, how many components (`roots`), its
+    largest one (`main`) and how many classes are not in that (`others`). A node's component
+    is folded before it is shuffled."""
+    parts = rows.groupBy(*along, "path", "root").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy(*along, "path").agg(F.sum("n").alias("size"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"))
+    return sizes.select(*along, "path", "size", "roots", (F.col("size") - F.col("most.n")).alias("others"), F.col("most.root").alias("main"))
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,7 +251,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     rows = saved(sketches(documents, doc_id, text), "sketches")
     classes = saved(
-        rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature")),
+        rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"), F.min("paths").alias("paths")),
         "classes",
     )
     nodes = first_nodes(classes)
@@ -285,51 +281,64 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     )
 
 
+NODE = ("path", "key", "root", "size", "others", "main")
+
+
 def _inside(nodes: DataFrame, classes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From the nodes of all depths: pairs of different components with agreeing hashes, and
-    the rows of tight nodes."""
-    signatures = classes.select("key", "signature")
+    the rows of tight nodes. Rows take their component and hashes along from the first level."""
     pairs, tight = [], []
+    rows = nodes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    # Nodes of two are done in the first level, where each meets the smallest.
+    sizes = _sizes(rows).filter("roots > 1 AND size > 2")
+    held = saved(rows.join(sizes, "path").select(*NODE).join(classes.select("key", "signature"), "key"), "marked")
     for depth in range(1, DEPTH + 1):
-        # Nodes of two are done in the first level, where each meets the smallest.
-        marked = saved(_marked(nodes, roots, 3 if depth == 1 else 2), "marked")
-        found = saved(_compared(marked.filter(F.col("size") <= SMALL).join(signatures, "key")), "pairs")
+        found = saved(_compared(held.filter(F.col("size") <= SMALL)), "pairs")
         pairs.append(found.filter("a IS NOT NULL").select("a", "b"))
         crowded = found.filter("a IS NULL").select("path").distinct()
-        tight.append(marked.join(crowded, "path", "left_semi"))
-        large = marked.filter(F.col("size") > SMALL)
+        tight.append(held.filter(F.col("size") <= SMALL).select(*NODE).join(crowded, "path", "left_semi"))
+        large = held.filter(F.col("size") > SMALL)
         if large.isEmpty():
             break
         few = F.col("others") * 4 <= SMALL
-        tight.append(large.filter(few))
+        tight.append(large.filter(few).select(*NODE))
         large = large.filter(~few)
         if depth == DEPTH:
-            tight.append(large)
+            tight.append(large.select(*NODE))
             break
-
-        def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                path = batch.column(0).to_numpy(zero_copy_only=False).view("uint64")
-                for child in _descend(path, _picked(path), _matrix(batch.column(2))):
-                    yield pa.RecordBatch.from_pydict({"parent": batch.column(0), "path": child.view("int64"), "key": batch.column(1)})
-
-        children = saved(
-            large.join(signatures, "key").select("path", "key", "signature").mapInArrow(branch, "parent bigint, path bigint, key binary"),
-            "children",
-        )
+        children = saved(_branched(large), "children")
+        sizes = saved(_sizes(children, "parent"), "sizes")
         # The chance that two classes of a node agree in a place is their mean similarity.
-        kept = children.groupBy("parent", "path").agg(F.count("*").alias("n")).groupBy("parent").agg(
-            (F.sum(F.col("n") * F.col("n")) * BRANCHES / (F.sum("n") * F.sum("n"))).alias("similarity")
+        kept = sizes.groupBy("parent").agg(
+            (F.sum(F.col("size") * F.col("size")) * BRANCHES / (F.sum("size") * F.sum("size"))).alias("similarity")
         )
         close = saved(kept.filter(F.col("similarity") >= TIGHT_SIMILARITY).select("parent"), "close")
-        tight.append(large.join(close.withColumnRenamed("parent", "path"), "path", "left_semi"))
-        nodes = children.join(close, "parent", "left_anti").select("path", "key")
+        tight.append(large.select(*NODE).join(close.withColumnRenamed("parent", "path"), "path", "left_semi"))
+        several = sizes.filter("roots > 1").join(close, "parent", "left_anti").drop("parent", "roots")
+        held = saved(children.drop("parent").join(several, "path").select(*NODE, "signature"), "marked")
     together = lambda frames: functools.reduce(DataFrame.unionByName, frames)
     return saved(together(pairs).distinct(), "pairs"), saved(together(tight), "tight")
 
 
+def _branched(rows: DataFrame) -> DataFrame:
+    """The children of nodes, with their rows' component and hashes."""
+
+    def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            path = batch.column(0).to_numpy(zero_copy_only=False).view("uint64")
+            for child in _descend(path, _picked(path), _matrix(batch.column(3))):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(child.view("int64")), *batch.columns[1:]],
+                    names=["parent", "path", "key", "root", "signature"],
+                )
+
+    return rows.select("path", "key", "root", "signature").mapInArrow(
+        branch, "parent bigint, path bigint, key binary, root binary, signature binary"
+    )
+
+
 PAIR = "a binary, b binary"
 
 
