@@ -12,7 +12,7 @@ from docketry.operators.normalize import REASON, accepted, enhance, normalize, r
 from docketry.schema import RECORD_FIELDS
 from docketry.session import spread
 from docketry.sources.markup import extract_xml
-from docketry.sources.scan import ORDER, SOURCE, scan_csv, scan_json, scan_xml
+from docketry.sources.scan import ORDER, SOURCE, csv_layouts, scan_csv, scan_json, scan_xml
 
 SUPPORTED = {"csv": "csv", "json": "json", "xml": "xml", "rdf": "xml"}
 
@@ -33,9 +33,13 @@ def _loaded(raw: DataFrame, on_unknown: str) -> Loaded:
 def read_csv(
     spark: SparkSession, path: str | list[str], on_unknown: str = "reject", multi_line: bool = True, **options
 ) -> Loaded:
-    raw = scan_csv(spark, path, multi_line=multi_line, **options)
-    # A file that may hold line breaks in cells is read by one task, however large.
-    return _loaded(spread(raw) if multi_line else raw, on_unknown)
+    """Files of different headers are read by header, each by its own."""
+    parts = []
+    for paths in csv_layouts(spark, path, options.get("glob", "*")):
+        raw = scan_csv(spark, paths, multi_line=multi_line, **options)
+        # A file that may hold line breaks in cells is read by one task, however large.
+        parts.append(_loaded(spread(raw) if multi_line else raw, on_unknown))
+    return Loaded(*(reduce(DataFrame.unionByName, side) for side in zip(*parts)))
 
 
 def read_json(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketry.operators.normalize import REASON
 from docketry.schema import RECOMMENDED_FIELDS, REQUIRED_FIELDS
 from docketry.sources.load import SUPPORTED, any_case, list_files
-from docketry.sources.scan import ORDER, SOURCE, json_elements, scan_csv
+from docketry.sources.scan import ORDER, SOURCE, csv_layouts, json_elements, scan_csv
 
 
 def file_profile(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -22,10 +22,13 @@ def file_profile(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     for suffix in sorted(suffixes):
         at = f"{path}/*.{any_case(suffix)}"
         if suffix == "csv":
-            rows = scan_csv(spark, at, glob=pattern)
-            names = [c for c in rows.columns if c not in (SOURCE, ORDER, REASON)]
-            columns = F.array(*[F.lit(c) for c in names])
-            part = rows.groupBy(SOURCE).agg(F.count("*").alias("records")).withColumn("columns", columns)
+            part = None
+            for paths in csv_layouts(spark, at, pattern):
+                rows = scan_csv(spark, paths, glob=pattern)
+                names = [c for c in rows.columns if c not in (SOURCE, ORDER, REASON)]
+                columns = F.array(*[F.lit(c) for c in names])
+                counted = rows.groupBy(SOURCE).agg(F.count("*").alias("records")).withColumn("columns", columns)
+                part = counted if part is None else part.unionByName(counted)
         else:
             stored = spark.read.option("pathGlobFilter", pattern).text(at, wholetext=True)
             size = F.size(json_elements(F.col("value"), strict=False))

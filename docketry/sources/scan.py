@@ -30,6 +30,40 @@ def in_order(raw: DataFrame) -> DataFrame:
     return raw.withColumn(ORDER, F.monotonically_increasing_id())
 
 
+def _is_utf8(encoding: str) -> bool:
+    return encoding.lower().replace("_", "-") in ("utf-8", "utf8")
+
+
+def _declared(content: Column) -> Column:
+    """The encoding that an XML file names in its first line or by a UTF-16 mark, else null."""
+    head = F.decode(F.substring(content, 1, 200), "ISO-8859-1")
+    named = F.upper(F.regexp_extract(head, r"""^\s*<\?xml[^>]*?encoding\s*=\s*["']([\w.-]+)["']""", 1))
+    marked = F.hex(F.substring(content, 1, 2)).isin("FEFF", "FFFE")
+    return F.when(marked, "UTF-16").otherwise(F.nullif(named, F.lit("")))
+
+
+def _whole_texts(reader, path: str | list[str], encoding: str, declared=None) -> DataFrame:
+    """Each file as one text `value`. Bytes that are wrong in the encoding fail the job."""
+    charset = F.lit(encoding.upper().replace("_", "-").replace("UTF8", "UTF-8"))
+    stored = reader.format("binaryFile").load(path)
+    if declared is not None:
+        charset = F.coalesce(declared(F.col("content")), charset)
+    return stored.select(F.call_function("decode", "content", charset).alias("value"), _file())
+
+
+def csv_layouts(spark: SparkSession, path: str | list[str], glob: str = "*") -> list[str | list[str]]:
+    """The paths to read together: all of `path` where its CSV files have one header, else the
+    files of each header."""
+    lines = spark.read.option("pathGlobFilter", glob).text(path)
+    first = lines.select("value", _file(), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias(ORDER))
+    headers = first.filter("start = 0").groupBy(SOURCE).agg(F.min_by("value", ORDER).alias("header"))
+    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list(SOURCE)).alias("files")).orderBy("header")
+    # One header is the rule, and then no file names need to be fetched.
+    if headers.select("header").distinct().limit(2).count() < 2:
+        return [path]
+    return [r.files for r in groups.collect()]
+
+
 def scan_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -41,7 +75,7 @@ def scan_csv(
     """CSV with a header row; blank cells become empty text.
 
     Every file below `path` must have the same header: another one fails the job, since
-    its cells would land in the wrong columns. A row longer than the header is set
+    its cells would land in the wrong columns (`csv_layouts` parts such files). A row longer than the header is set
     aside; `strict` sets shorter rows aside too. `multi_line=False` lets Spark split
     large files where no quoted cell holds a line break.
     """
@@ -149,13 +183,16 @@ def scan_json(
 
     A document that is no JSON fails the job, unless the session ignores corrupt files.
     """
-    reader = spark.read.option("pathGlobFilter", glob).option("encoding", encoding)
-    if lines:
+    reader = spark.read.option("pathGlobFilter", glob)
+    if lines and _is_utf8(encoding):
         stored = reader.text(path).filter(F.trim("value") != "")
         return _fields(stored.select(F.try_parse_json("value").alias("v"), _file()), on_unknown)
+    if lines:
+        # The text reader knows UTF-8 only, the JSON reader any encoding.
+        stored = reader.options(encoding=encoding, lineSep="\n", singleVariantColumn="v").json(path)
+        return _fields(stored.select("v", _file()), on_unknown)
     spark_skips = spark.conf.get("spark.sql.files.ignoreCorruptFiles", "false") == "true"
-    documents = reader.text(path, wholetext=True).select("value", _file())
-    return json_records(documents, on_unknown, strict=not spark_skips)
+    return json_records(_whole_texts(reader, path, encoding), on_unknown, strict=not spark_skips)
 
 
 def _elements(value: Column, tag: str) -> Column:
@@ -183,10 +220,13 @@ def scan_xml(
 
     Without `row_tag` each file is looked at as a whole: its `patent-document` elements,
     else its `patent` elements, else each document it holds. With `row_tag` the file is
-    cut at that closing tag while it is read, so Spark can split it.
+    cut at that closing tag while it is read, so Spark can split it; such files must be in
+    UTF-8. For whole files the encoding that their first line names goes before `encoding`.
     """
-    reader = spark.read.option("pathGlobFilter", glob).option("encoding", encoding)
+    reader = spark.read.option("pathGlobFilter", glob)
     if row_tag:
+        if not _is_utf8(encoding):
+            raise ValueError("files cut at a row_tag must be in UTF-8; read others whole")
         return in_order(cut_xml(reader, path, row_tag))
     value = F.col("value")
     documents = F.when(
@@ -197,4 +237,5 @@ def scan_xml(
     for tag in reversed(XML_ROW_TAGS):
         elements = _elements(value, tag)
         found = F.when(F.size(elements) > 0, elements).otherwise(found)
-    return in_order(reader.text(path, wholetext=True).select(F.explode(found).alias("xml"), _file()))
+    stored = _whole_texts(reader, path, encoding, _declared)
+    return in_order(stored.select(F.explode(found).alias("xml"), SOURCE))

@@ -58,10 +58,41 @@ def test_csv_unknown_column(spark, tmp_path):
     assert read_csv(spark, path, on_unknown="ignore").records.count() == 1
 
 
-def test_csv_files_with_other_headers_fail(spark, tmp_path):
-    path = put(tmp_path, a__csv="patent_id,title\nP1,t\n", b__csv="title,patent_id\nt,P2\n")
-    with pytest.raises(Exception, match="CSV header does not conform"):
-        read_csv(spark, path).records.collect()
+def test_csv_files_with_other_headers(spark, tmp_path):
+    path = put(
+        tmp_path, a__csv="patent_id,title\nP1,t\n", b__CSV="title,patent_id,country\nu,P2,FR\n",
+        c__csv="patent_id,title\nP3,v\n", d__csv="patent_id,title,colour\nP4,w,red\n",
+    )
+    for records, rejects in (read_csv(spark, path), read_directory(spark, path)):
+        assert rows(records, "patent_id", "title", "country") == [("P1", "t", "US"), ("P2", "u", "FR"), ("P3", "v", "US")]
+        assert rows(rejects, "reject_reason") == [("unknown:colour",)]
+    got = {r.file_name: (r.records, r.columns) for r in file_profile(spark, path).collect()}
+    assert got == {
+        "a.csv": (1, ["patent_id", "title"]), "b.CSV": (1, ["title", "patent_id", "country"]),
+        "c.csv": (1, ["patent_id", "title"]), "d.csv": (1, ["patent_id", "title", "colour"]),
+    }
+
+
+@pytest.mark.parametrize("encoding", ["ISO-8859-1", "UTF-16", "utf-8"])
+def test_encodings(spark, tmp_path, encoding):
+    name = "Über été"  # ids stay as read, while texts are cleaned
+    record = json.dumps({"patent_id": name, "title": "t"}, ensure_ascii=False)
+    (tmp_path / "a.json").write_bytes(f"[{record}]".encode(encoding))
+    found = read_json(spark, str(tmp_path / "a.json"), encoding=encoding).records
+    assert rows(found, "patent_id") == [(name,)]
+    (tmp_path / "a.xml").write_bytes(document(name).encode(encoding))
+    assert rows(read_xml(spark, str(tmp_path / "a.xml"), encoding=encoding).records, "patent_id") == [(name,)]
+    (tmp_path / "b.xml").write_bytes(f'<?xml version="1.0" encoding="{encoding}"?>{document(name)}'.encode(encoding))
+    assert rows(read_xml(spark, str(tmp_path / "b.xml")).records, "patent_id") == [(name,)]
+    if encoding != "UTF-16":  # lines of UTF-16 cannot be told apart by one byte
+        (tmp_path / "l.json").write_bytes(f"{record}\n\n{record.replace('Über', 'Aber')}\n".encode(encoding))
+        found = read_json(spark, str(tmp_path / "l.json"), encoding=encoding, lines=True).records
+        assert rows(found, "patent_id") == [("Aber été",), (name,)]
+
+
+def test_cut_xml_is_utf8(spark, tmp_path):
+    with pytest.raises(ValueError, match="UTF-8"):
+        read_xml(spark, str(tmp_path), row_tag="patent-document", encoding="ISO-8859-1")
 
 
 def test_last_of_equal_rows_is_known(spark, tmp_path):
