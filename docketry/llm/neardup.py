@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.batches import as_texts, slices
@@ -45,6 +45,8 @@ TIGHT_SIMILARITY, TIGHT_PAIRS = 0.3, 8
 #: Agreeing hashes from which a pair is checked; at 75 % similarity fewer happen once in 10**7.
 AGREE = 70
 BLOCK_ROWS, COLUMNS = 1024, 4096
+#: Bits of the broadcast bitmap of ids, 16 MB.
+MARK_BITS = 27
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -189,27 +191,46 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
+def _marked(ids: DataFrame) -> DataFrame:
+    """(cell, bits): a bitmap of 2**MARK_BITS bits with a hash of each id set. At most
+    2**(MARK_BITS - 15) rows of 4 KB, whatever the number of ids."""
+    placed = ids.select(*_place(F.col("doc_id")))
+    # Ids are dealt before they are summed, as a task's partial bitmaps would be larger.
+    return placed.repartition("cell").groupBy("cell").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def _place(doc_id: Column) -> tuple[Column, Column]:
+    place = F.pmod(F.xxhash64(doc_id), F.lit(1 << MARK_BITS))
+    return F.shiftright(place, 15).cast("int").alias("cell"), (place % 32768).alias("bit")
+
+
 def full_sets(keys: DataFrame, classes: DataFrame, documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, items): the whole shingle sets of the given classes, from the texts."""
+    """(key, items): the whole shingle sets of the given classes, from the texts.
+
+    Texts stay where they are: a bitmap of the wanted ids, of a fixed size, is broadcast and
+    most other rows drop out at the scan. Those that slip through go by the join on key, so
+    the more ids are wanted, the less is saved, but the result is the same.
+    """
     wanted = classes.select("key", "doc_id").join(keys.select("key").distinct(), "key")
     wanted = saved(wanted.select("doc_id", F.col("key").alias("wanted")), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop, code, ends in shingles(as_texts(batch.column(1))):
+            for start, stop, code, ends in shingles(as_texts(batch.column(0))):
                 starts = np.concatenate([[0], ends[:-1]]).astype("int64")
                 yield pa.RecordBatch.from_pydict({
-                    "wanted": batch.column(0).slice(start, stop - start),
                     "key": pa.array(_keys(code, starts, ends), pa.binary()),
                     "items": pa.array([code[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()),
                 })
 
-    texts = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("wanted", "text").mapInArrow(
-        sets, "wanted binary, key binary, items binary"
-    )
-    # An id may stand for several texts; equal ones of a class need one set.
-    return saved(found.filter("wanted = key").groupBy("key").agg(F.min("items").alias("items")), "sets")
+    marked = F.broadcast(saved(_marked(wanted), "marked_ids"))
+    texts = documents.select(*_place(F.col(doc_id).cast("bigint")), F.col(text).alias("text")).join(marked, "cell")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright("bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    texts = texts.filter(byte.bitwiseAND(F.pow(F.lit(2), F.col("bit") % 8).cast("int")) != 0)
+    found = texts.select("text").mapInArrow(sets, "key binary, items binary")
+    # Copies of a text need one set.
+    own = found.join(wanted.select(F.col("wanted").alias("key")), "key", "left_semi")
+    return saved(own.groupBy("key").agg(F.min("items").alias("items")), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
