@@ -203,7 +203,7 @@ def ranked(source: str, limit: int, where: str = "true", partition: str = "") ->
 TEXTS = """texts AS (
   SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages)"""
 
-STORED = "stored AS (SELECT rec.*, e.embedding::double[] AS vector FROM rec JOIN embeddings e ON e.vec_id = rec.doc_id)"
+STORED = "stored AS (SELECT rec.*, e.embedding::double[] AS vector FROM rec JOIN embeddings e ON e.vec_id = rec.doc_id % (SELECT count(*) FROM embeddings))"
 
 TURNS = """turns AS (
   SELECT CASE WHEN turn < 6 THEN 'C' || conv_id END AS patent_id, CASE WHEN role <> 'system' THEN text END AS title, role AS status
@@ -356,6 +356,11 @@ def all_oracles() -> dict[str, str]:
         "enhance_records": main,
         "stream_load": csv_main,
         "src_xml": with_(BASE, f"SELECT patent_id, {XML_TITLE} AS title, {xml_filed}, country, technology_field FROM rec"),
+        "stream_xml": with_(BASE, f"SELECT patent_id, {XML_TITLE} AS title, {xml_filed}, country, technology_field FROM rec"),
+        "stream_json": main,
+        "stream_rejects": with_(BASE, """SELECT * FROM (SELECT CASE WHEN quality = 0 THEN 'unknown:extra'
+            WHEN toxic = 1 OR title = '' THEN 'required:title' END AS reject_reason, count(*) AS rows FROM rec GROUP BY 1)
+          WHERE reject_reason IS NOT NULL"""),
         "xml_fields": with_(BASE, f"""SELECT patent_id, {XML_TITLE} AS title, {clean("abstract")} AS abstract, {clean("description")} AS description,
           {joined(claims_of(XML_SECTION))} AS claims, {joined(keep(each(clean, "inventors"), "e <> ''"))} AS inventors,
           {joined(keep(each(clean, "assignees"), "e <> ''"))} AS assignees, {xml_filed},

@@ -38,6 +38,7 @@ from docketry.sources.profile import file_profile, quality_report
 from docketry.sources.sample import sample_record
 from docketry.sources.scan import ORDER, SOURCE, json_records, scan_csv
 from docketry.sources.write import write_csv, write_json
+from docketry.streaming import loads
 from docketry.streaming.loads import stream_raw, stream_records, upsert_stream, write_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -667,6 +668,35 @@ def stream_load(spark, sf):
     return _flat(spark.read.schema(RECORD_SCHEMA).parquet(out), *_MAIN)
 
 
+@query
+def stream_json(spark, sf):
+    path, checkpoint, out = (fresh_folder(spark, x) for x in ("json", "progress", "streamed"))
+    write_json(plain_records(spark, sf), path)
+    write_records(stream_records(spark, path, "json"), out, checkpoint).awaitTermination()
+    return _flat(spark.read.schema(RECORD_SCHEMA).parquet(out), *_MAIN)
+
+
+@query
+def stream_xml(spark, sf):
+    path, checkpoint, out = (fresh_folder(spark, x) for x in ("xml", "progress", "streamed"))
+    write_xml(spread_records(spark, sf), path)
+    write_records(stream_records(spark, path, "xml"), out, checkpoint).awaitTermination()
+    found = spark.read.schema(RECORD_SCHEMA).parquet(out)
+    return _flat(found, "patent_id", "title", "filing_date", "publication_date", "country", "technology_field")
+
+
+@query
+def stream_rejects(spark, sf):
+    """Records with an unknown key or without a title, told by the stream."""
+    path, checkpoint, out = (fresh_folder(spark, x) for x in ("json", "progress", "rejected"))
+    source = spread_records(spark, sf).withColumn("title", F.when(F.col("toxic") == 1, "").otherwise(F.col("title")))
+    extra = F.when(F.col("quality") == 0, "x").alias("extra")
+    source.select(F.to_json(F.struct(*RECORD_FIELDS, extra)).alias("value")).write.text(path)
+    found = loads.stream_rejects(spark, path, "json")
+    write_records(found, out, checkpoint).awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).groupBy("reject_reason").agg(F.count("*").alias("rows"))
+
+
 @query
 def stream_upsert(spark, sf):
     kept = Collection(spark, fresh_folder(spark, "collection"), HashingEmbedder(EMBEDDING_DIM))

@@ -82,9 +82,10 @@ def hashed_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Records with the vector that `embeddings` has for them."""
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    found = records(spark, sf).join(vectors, "doc_id")
+    """All records, each with a vector of `embeddings`: of those there are fewer, which are
+    given out in turn."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    found = records(spark, sf).join(vectors, F.col("doc_id") % F.lit(vectors.count()) == F.col("vec_id"))
     return found.select(*RECORD_FIELDS, record.point_id().alias("point_id"), "vector")
 
 

@@ -42,10 +42,13 @@ def _declared(content: Column) -> Column:
     return F.when(marked, "UTF-16").otherwise(F.nullif(named, F.lit("")))
 
 
+_BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def _whole_texts(reader, path: str | list[str], encoding: str, declared=None) -> DataFrame:
     """Each file as one text `value`. Bytes that are wrong in the encoding fail the job."""
     charset = F.lit(encoding.upper().replace("_", "-").replace("UTF8", "UTF-8"))
-    stored = reader.format("binaryFile").load(path)
+    stored = reader.schema(_BINARY).format("binaryFile").load(path)
     if declared is not None:
         charset = F.coalesce(declared(F.col("content")), charset)
     return stored.select(F.call_function("decode", "content", charset).alias("value"), _file())
@@ -79,20 +82,24 @@ def scan_csv(
     aside; `strict` sets shorter rows aside too. `multi_line=False` lets Spark split
     large files where no quoted cell holds a line break.
     """
-    options = {
-        "header": "true",
-        "encoding": encoding,
-        "escape": '"',
-        "multiLine": str(multi_line).lower(),
-        "pathGlobFilter": glob,
-        "ignoreLeadingWhiteSpace": "false",
-        "ignoreTrailingWhiteSpace": "false",
-    }
-    columns = spark.read.options(**options).csv(path).columns
+    reader = spark.read.options(encoding=encoding, multiLine=str(multi_line).lower(), pathGlobFilter=glob, **CSV_OPTIONS)
+    columns = reader.csv(path).columns
+    return in_order(csv_rows(reader, path, columns, strict))
+
+
+CSV_OPTIONS = {
+    "header": "true",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
+def csv_rows(reader, path: str | list[str], columns: list[str], strict: bool = False) -> DataFrame:
+    """The rows that a batch or stream reader finds in files of this header."""
     layout = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     rows = (
-        spark.read.options(**options)
-        .option("enforceSchema", "false")
+        reader.option("enforceSchema", "false")
         .option("columnPruning", "false")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _BAD_ROW)
@@ -106,11 +113,11 @@ def scan_csv(
         spare = ", ".join(f"c{i} string" for i in range(len(columns) + 1))
         again = F.from_csv(_BAD_ROW, spare, {"escape": '"', "multiLine": "true"})
         wrong_width = again[f"c{len(columns)}"].isNotNull()
-    return in_order(rows.select(
+    return rows.select(
         *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns],
         F.when(wrong_width, "width").alias(REASON),
         _file(),
-    ))
+    )
 
 
 def _variant_list(v: Column, name: str) -> Column:
@@ -144,15 +151,15 @@ def json_elements(value: Column, strict: bool = True) -> Column:
     return found
 
 
-def _fields(elements: DataFrame, on_unknown: str) -> DataFrame:
-    """Record columns of a frame of variants `v`."""
+def _fields(elements: DataFrame, on_unknown: str, ordered: bool = True) -> DataFrame:
+    """Record columns of a frame of variants `v`; a stream's rows have no order yet."""
     v = F.col("v")
     keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
     unknown = F.array_sort(F.array_except(keys, F.array(*[F.lit(c) for c in RECORD_FIELDS])))
     reason = F.when(keys.isNull(), "not an object")
     if on_unknown == "reject":
         reason = reason.when(F.size(unknown) > 0, F.concat(F.lit("unknown:"), F.concat_ws(",", unknown)))
-    return in_order(elements).select(
+    return (in_order(elements) if ordered else elements).select(
         *[
             _variant_list(v, c).alias(c)
             if c in LIST_FIELDS
@@ -161,10 +168,16 @@ def _fields(elements: DataFrame, on_unknown: str) -> DataFrame:
         ],
         reason.alias(REASON),
         SOURCE,
-        ORDER,
+        *([ORDER] if ordered else []),
     )
 
 
+def json_lines(reader, path: str | list[str], on_unknown: str = "reject", ordered: bool = True) -> DataFrame:
+    """The records that a batch or stream reader finds in UTF-8 files of a record per line."""
+    stored = reader.text(path).filter(F.trim("value") != "")
+    return _fields(stored.select(F.try_parse_json("value").alias("v"), _file()), on_unknown, ordered)
+
+
 def json_records(documents: DataFrame, on_unknown: str = "reject", strict: bool = True) -> DataFrame:
     """The raw frame of a frame with one JSON document per row in `value`."""
     elements = F.explode(json_elements(F.col("value"), strict))
@@ -185,8 +198,7 @@ def scan_json(
     """
     reader = spark.read.option("pathGlobFilter", glob)
     if lines and _is_utf8(encoding):
-        stored = reader.text(path).filter(F.trim("value") != "")
-        return _fields(stored.select(F.try_parse_json("value").alias("v"), _file()), on_unknown)
+        return json_lines(reader, path, on_unknown)
     if lines:
         # The text reader knows UTF-8 only, the JSON reader any encoding.
         stored = reader.options(encoding=encoding, lineSep="\n", singleVariantColumn="v").json(path)
@@ -228,6 +240,11 @@ def scan_xml(
         if not _is_utf8(encoding):
             raise ValueError("files cut at a row_tag must be in UTF-8; read others whole")
         return in_order(cut_xml(reader, path, row_tag))
+    return in_order(whole_xml(reader, path, encoding))
+
+
+def whole_xml(reader, path: str | list[str], encoding: str = "utf-8") -> DataFrame:
+    """The record elements of whole files that a batch or stream reader finds."""
     value = F.col("value")
     documents = F.when(
         F.contains(value, F.lit("<?xml")),
@@ -238,4 +255,4 @@ def scan_xml(
         elements = _elements(value, tag)
         found = F.when(F.size(elements) > 0, elements).otherwise(found)
     stored = _whole_texts(reader, path, encoding, _declared)
-    return in_order(stored.select(F.explode(found).alias("xml"), SOURCE))
+    return stored.select(F.explode(found).alias("xml"), SOURCE)

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from docketry.operators.normalize import accepted, enhance, normalize
+from docketry.operators.normalize import REASON, accepted, enhance, normalize, rejected
 from docketry.plans.collection import Collection
 from docketry.schema import LIST_FIELDS, RECORD_FIELDS
 from docketry.session import spread
 from docketry.sources.markup import extract_xml
-from docketry.sources.scan import ORDER, XML_ROW_TAGS, cut_xml, in_order
+from docketry.sources.scan import CSV_OPTIONS, ORDER, SOURCE, csv_rows, cut_xml, in_order, json_lines, whole_xml
 
-_CELLS = T.StructType([T.StructField(c, T.StringType()) for c in RECORD_FIELDS])
 _TYPED = T.StructType([
     T.StructField(c, T.ArrayType(T.StringType()) if c in LIST_FIELDS else T.StringType()) for c in RECORD_FIELDS
 ])
@@ -26,40 +25,48 @@ def stream_raw(
     format: str = "csv",
     max_files: int = 1000,
     columns: list[str] | None = None,
+    row_tag: str | None = None,
 ) -> DataFrame:
-    """Rows of a folder that files keep arriving in: csv, json (a record per line), xml
-    (`patent-document` elements) or parquet.
+    """Rows of a folder that files keep arriving in, found as the batch readers do: csv,
+    json (a record per line), xml (whole files, or cut at `row_tag`) or parquet.
 
     `columns` gives the header of the CSV files when it is not the whole record layout.
     `max_files` bounds one micro-batch.
     """
     reader = spark.readStream.option("maxFilesPerTrigger", max_files)
     if format == "csv":
-        layout = _CELLS if columns is None else T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        raw = (
-            reader.schema(layout)
-            .options(header="true", escape='"', multiLine="true", enforceSchema="false")
-            .options(ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
-            .csv(path)
-        )
-        return raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in raw.columns])
-    if format in ("json", "parquet"):
-        return reader.schema(_TYPED).format(format).load(path)
+        return csv_rows(reader.options(multiLine="true", **CSV_OPTIONS), path, columns or list(RECORD_FIELDS))
+    if format == "json":
+        return json_lines(reader, path, ordered=False)
+    if format == "parquet":
+        stored = reader.schema(_TYPED).format(format).load(path)
+        return stored.select("*", F.col("_metadata.file_path").alias(SOURCE))
     if format == "xml":
-        return cut_xml(reader, path, XML_ROW_TAGS[0]).select("xml")
+        return cut_xml(reader, path, row_tag) if row_tag else whole_xml(reader, path)
     raise ValueError("format is csv, json, xml or parquet")
 
 
+def _checked(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Normal rows with a `reject_reason`, by the steps of the batch readers."""
+    keep = (*(c for c in (SOURCE,) if c in raw.columns), *keep)
+    return extract_xml(raw, keep=keep) if "xml" in raw.columns else normalize(raw, keep=keep)
+
+
 def _records(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The same steps as the batch readers; a file read by one task is spread first."""
-    if "xml" in raw.columns:
-        return accepted(extract_xml(raw, keep=keep))
-    return enhance(accepted(normalize(spread(raw), keep=keep)))
+    """The records among the rows; what is not cleaned as it is extracted is cleaned here."""
+    found = accepted(_checked(raw if "xml" in raw.columns else spread(raw), keep)).drop(SOURCE)
+    return found if "xml" in raw.columns else enhance(found)
+
+
+def stream_records(spark: SparkSession, path: str, format: str = "csv", **options) -> DataFrame:
+    """The records of such a folder, as a stream; `options` are those of `stream_raw`."""
+    return _records(stream_raw(spark, path, format, **options))
 
 
-def stream_records(spark: SparkSession, path: str, format: str = "csv", max_files: int = 1000, columns: list[str] | None = None) -> DataFrame:
-    """The records of such a folder, as a stream."""
-    return _records(stream_raw(spark, path, format, max_files, columns))
+def stream_rejects(spark: SparkSession, path: str, format: str = "csv", **options) -> DataFrame:
+    """The rows of such a folder that are no records, with their file and `reject_reason`, as
+    a stream of its own, with its own checkpoint."""
+    return rejected(_checked(stream_raw(spark, path, format, **options))).select(SOURCE, REASON)
 
 
 def write_records(records: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -75,17 +82,22 @@ def upsert_stream(
     name: str,
     available_now: bool = True,
     compact_every: int = 100,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Feed a raw stream into a collection, micro-batch by micro-batch.
 
     A micro-batch that is run again after a failure finds its own commit under the
     stream's `name` and is left out. A later row of a batch wins over an earlier one, and
     a later batch over an earlier one. The changes are folded into the snapshot after
-    every `compact_every` batches, which bounds what a reader has to merge.
+    every `compact_every` batches, which bounds what a reader has to merge. Rows that are no
+    records are kept as Parquet below `rejects` if given, a folder per micro-batch, written
+    anew if that runs again.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         label = f"{name}/{batch_id}"
+        if rejects:
+            rejected(_checked(batch)).select(SOURCE, REASON).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
         if not collection.has_batch(label):
             collection.upsert(_records(in_order(batch), keep=(ORDER,)), batch=label)
         if (batch_id + 1) % compact_every == 0:

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 from docketry import Collection, ExactFilter, HashingEmbedder
 from docketry.plans.collection import first_points
 from docketry.plans.tables import write_xml
+from docketry.sources.load import read_csv, read_json, read_xml
 from docketry.sources.sample import sample_records
 from docketry.sources.write import write_csv
-from docketry.streaming.loads import stream_raw, stream_records, upsert_stream, write_records
+from docketry.streaming.loads import stream_raw, stream_records, stream_rejects, upsert_stream, write_records
 
 
 @pytest.fixture
@@ -138,3 +139,31 @@ def test_stream(spark, tmp_path):
     # The same batches again, as after a lost checkpoint: all are known already.
     upsert_stream(raw, c, str(tmp_path / "p3"), "s", compact_every=1000).awaitTermination()
     assert c._head().version == version and c.total() == 60
+
+
+WIDE = "patent_id,title,inventors\nP1,One,Ann|Bob\nP2,Two,Cy,extra\n,None,\n"
+LINES = """{"patent_id": "P1", "title": "One", "inventors": "Ann|Bob"}
+{"patent_id": "P2", "title": "Two", "colour": "red"}
+[5]
+"""
+ELEMENTS = "<patents><patent><publication-reference><document-id><doc-number>7</doc-number></document-id></publication-reference></patent></patents>"
+
+
+@pytest.mark.parametrize("format,body", [("csv", WIDE), ("json", LINES), ("xml", ELEMENTS)])
+def test_stream_reads_as_batch(spark, tmp_path, format, body):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / f"a.{format}").write_text(body)
+    batch = {"csv": read_csv, "json": lambda s, p: read_json(s, p, lines=True), "xml": read_xml}[format](spark, str(folder))
+    header = {"columns": ["patent_id", "title", "inventors"]} if format == "csv" else {}
+    c = Collection(spark, str(tmp_path / "c"), HashingEmbedder(64))
+    raw = stream_raw(spark, str(folder), format, **header)
+    upsert_stream(raw, c, str(tmp_path / "p"), "s", rejects=str(tmp_path / "r")).awaitTermination()
+    columns = ["patent_id", "title", "inventors"]
+    assert sorted(map(tuple, c.points().select(*columns).collect())) == sorted(map(tuple, batch.records.select(*columns).collect()))
+    assert c.total() == 1
+    told = sorted(r.reject_reason for r in spark.read.parquet(str(tmp_path / "r")).collect())
+    assert told == sorted(r.reject_reason for r in batch.rejects.collect())
+    found = stream_rejects(spark, str(folder), format, **header)
+    write_records(found, str(tmp_path / "r2"), str(tmp_path / "p2")).awaitTermination()
+    assert sorted(r.reject_reason for r in spark.read.schema(found.schema).parquet(str(tmp_path / "r2")).collect()) == told
