@@ -2,14 +2,15 @@
 
 Below the collection's path:
 
-* `base/<id>`     a full snapshot, one row per point, laid out by point id
-* `changes/<id>`  what one later commit put in; `gone/<id>` the patent ids it took out
-* `commits`       one JSON row per commit, naming the folders that make up the state
+* `base/<version>-<id>`     a full snapshot, one row per point, laid out by point id
+* `changes/<version>-<id>`  what one later commit put in; `gone/...` the patent ids it took out
+* `commits`                 one JSON row per commit, naming the folders that make up the state
 
 A commit becomes visible with its row in `commits`, which Spark writes last and as a
 whole; folders of a failed commit are never named and so never read. One writer at a
 time is assumed. Reading merges the snapshot with the changes since; `compact` folds
 them into a new snapshot, so a stream of small upserts never rewrites the whole set.
+`vacuum` removes the folders that only older commits name.
 """
 
 from __future__ import annotations
@@ -91,12 +92,18 @@ class Collection:
             return None, [], [], 1
         return head.base, head.changes, head.gone, head.version + 1
 
-    def _fresh(self, kind: str) -> str:
-        return f"{kind}/{uuid.uuid4().hex}"
+    def _fresh(self, kind: str, version: int) -> str:
+        return f"{kind}/{version}-{uuid.uuid4().hex}"
 
     def _read(self, folder: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
 
+    def _read_versions(self, parts: list, schema: T.StructType) -> DataFrame:
+        """The rows of several commits in one scan, with the `_version` that their folder names."""
+        stored = self.spark.read.schema(schema).parquet(*[f"{self.path}/{p.folder}" for p in parts])
+        version = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d+)-[0-9a-f]{32}/[^/]*$", 1)
+        return stored.withColumn("_version", version.cast("long"))
+
     def points(self) -> DataFrame:
         """The current points."""
         head = self._head()
@@ -108,19 +115,13 @@ class Collection:
             return base
         state = base.withColumn("_version", F.lit(0).cast("long"))
         if head.changes:
-            puts = None
-            for c in head.changes:
-                part = self._read(c.folder, _ORDERED).withColumn("_version", F.lit(c.version).cast("long"))
-                puts = part if puts is None else puts.unionByName(part)
+            puts = self._read_versions(head.changes, _ORDERED)
             puts = latest(puts, "point_id", [F.desc("_version"), F.desc("seq")]).drop("seq")
             state = state.join(puts.select("point_id"), "point_id", "left_anti").unionByName(puts)
         if head.gone:
-            gone = None
             ids = T.StructType([T.StructField("patent_id", T.StringType())])
-            for g in head.gone:
-                part = self._read(g.folder, ids).withColumn("_gone", F.lit(g.version).cast("long"))
-                gone = part if gone is None else gone.unionByName(part)
-            gone = gone.groupBy("patent_id").agg(F.max("_gone").alias("_gone")).withColumnRenamed("patent_id", "_id")
+            gone = self._read_versions(head.gone, ids)
+            gone = gone.groupBy(F.col("patent_id").alias("_id")).agg(F.max("_version").alias("_gone"))
             dead = (F.col("patent_id") == F.col("_id")) & (F.col("_version") < F.col("_gone"))
             state = state.join(gone, dead, "left_anti")
         return state.select(*POINT_FIELDS)
@@ -139,7 +140,7 @@ class Collection:
         `seq` in the records says which of two equal points came last, else their order.
         """
         base, changes, gone, version = self._next()
-        folder = self._fresh("changes")
+        folder = self._fresh("changes", version)
         self._ordered(records).write.parquet(f"{self.path}/{folder}")
         self._commit(base, [*changes, (version, folder)], gone, version, batch)
         return self._read(folder, _ORDERED).count()
@@ -152,7 +153,7 @@ class Collection:
         if not isinstance(ids, DataFrame):
             ids = self.spark.createDataFrame([(i,) for i in ids], "patent_id string")
         base, changes, gone, version = self._next()
-        folder = self._fresh("gone")
+        folder = self._fresh("gone", version)
         ids.select("patent_id").distinct().write.parquet(f"{self.path}/{folder}")
         ids = self.spark.read.parquet(f"{self.path}/{folder}")
         hit = self.points().join(ids, "patent_id", "left_semi")
@@ -164,7 +165,7 @@ class Collection:
         first = latest(hit, "patent_id", [F.asc("point_id")]).select("point_id")
         n = first.count()
         rest = hit.join(first, "point_id", "left_anti").select(*POINT_FIELDS, F.lit(0).cast("long").alias("seq"))
-        kept = self._fresh("changes")
+        kept = self._fresh("changes", version)
         rest.write.parquet(f"{self.path}/{kept}")
         self._commit(base, [*changes, (version, kept)], [*gone, (version, folder)], version)
         return n
@@ -172,7 +173,7 @@ class Collection:
     def update(self, records: DataFrame) -> int:
         """Delete by patent id, then add; one point per patent id is left."""
         base, changes, gone, version = self._next()
-        put, out = self._fresh("changes"), self._fresh("gone")
+        put, out = self._fresh("changes", version), self._fresh("gone", version)
         points = latest(self._ordered(records), "patent_id", [F.desc("seq")])
         points.write.parquet(f"{self.path}/{put}")
         written = self._read(put, _ORDERED)
@@ -184,7 +185,7 @@ class Collection:
         """Fold all changes into a new snapshot."""
         _, _, _, version = self._next()
         partitions = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        folder = self._fresh("base")
+        folder = self._fresh("base", version)
         _by_prefix(self.points(), partitions).write.parquet(f"{self.path}/{folder}")
         self._commit(folder, [], [], version)
 
@@ -192,6 +193,25 @@ class Collection:
         _, _, _, version = self._next()
         self._commit(None, [], [], version)
 
+    def vacuum(self, keep_versions: int = 1) -> int:
+        """Remove the folders that none of the last `keep_versions` commits names, those of
+        failed commits too; returns how many. Nobody may be writing or reading older versions."""
+        commits = self._commits()
+        if commits is None:
+            return 0
+        named = set()
+        for row in commits.orderBy(F.desc("version")).limit(keep_versions).collect():
+            named |= {row.base, *(p.folder for p in [*row.changes, *row.gone])}
+        removed = 0
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for kind in ("base", "changes", "gone"):
+            folder = hadoop.Path(f"{self.path}/{kind}")
+            files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for found in files.listStatus(folder) if files.exists(folder) else []:
+                if f"{kind}/{found.getPath().getName()}" not in named:
+                    removed += files.delete(found.getPath(), True)
+        return removed
+
     def has_batch(self, batch: str) -> bool:
         commits = self._commits()
         return commits is not None and not commits.filter(F.col("batch") == batch).isEmpty()

@@ -357,6 +357,8 @@ def all_oracles() -> dict[str, str]:
         "stream_load": csv_main,
         "src_xml": with_(BASE, f"SELECT patent_id, {XML_TITLE} AS title, {xml_filed}, country, technology_field FROM rec"),
         "stream_xml": with_(BASE, f"SELECT patent_id, {XML_TITLE} AS title, {xml_filed}, country, technology_field FROM rec"),
+        "clear_collection": with_(BASE, "SELECT point_id, patent_id, title FROM rec WHERE quality = 1"),
+        "vacuum_collection": with_(BASE, "SELECT point_id, patent_id, title, CASE WHEN quality = 1 THEN 'Allowed' ELSE status END AS status FROM rec"),
         "stream_json": main,
         "stream_rejects": with_(BASE, """SELECT * FROM (SELECT CASE WHEN quality = 0 THEN 'unknown:extra'
             WHEN toxic = 1 OR title = '' THEN 'required:title' END AS reject_reason, count(*) AS rows FROM rec GROUP BY 1)

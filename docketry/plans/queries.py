@@ -660,6 +660,30 @@ def resolve_field(spark, sf):
 # --- streams and whole loads -----------------------------------------------
 
 
+@query
+def clear_collection(spark, sf):
+    """All records, cleared, then the good ones."""
+    kept = Collection(spark, fresh_folder(spark, "collection"), HashingEmbedder(EMBEDDING_DIM))
+    source = spread_records(spark, sf)
+    kept.upsert(source.select(*RECORD_FIELDS))
+    kept.clear()
+    kept.upsert(source.filter("quality = 1").select(*RECORD_FIELDS))
+    return kept.points().select("point_id", "patent_id", "title")
+
+
+@query
+def vacuum_collection(spark, sf):
+    """All records, those of one label again under another status, without older folders."""
+    kept = Collection(spark, fresh_folder(spark, "collection"), HashingEmbedder(EMBEDDING_DIM))
+    source = spread_records(spark, sf)
+    kept.upsert(source.select(*RECORD_FIELDS))
+    kept.compact()
+    kept.upsert(source.filter("quality = 1").select(*RECORD_FIELDS).withColumn("status", F.lit("Allowed")))
+    kept.compact()
+    kept.vacuum()
+    return kept.points().select("point_id", "patent_id", "title", "status")
+
+
 @query
 def stream_load(spark, sf):
     checkpoint, out = fresh_folder(spark, "progress"), fresh_folder(spark, "streamed")

@@ -72,6 +72,25 @@ def test_compact_and_clear(spark, kept):
     assert kept.total() == 3
 
 
+def test_vacuum(spark, kept, tmp_path):
+    kept.compact()
+    kept.upsert(sample_records(spark, 5).withColumn("title", F.lit("Other")))
+    before = state(kept)
+    kept.compact()
+    assert kept.vacuum(keep_versions=2) == 1  # the first change
+    assert kept.vacuum() == 2 and kept.vacuum() == 0
+    assert state(kept) == before
+    assert Collection(spark, str(tmp_path / "none")).vacuum() == 0
+
+
+def test_changes_are_read_in_one_scan(spark, kept):
+    for i in range(3):
+        kept.upsert(sample_records(spark, 1).withColumn("title", F.lit(f"Title {i}")))
+    plan = kept.points()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 2
+    assert kept.total() == 43
+
+
 def test_failed_commit_is_not_seen(spark, kept):
     before = state(kept)
     with pytest.raises(Exception):
