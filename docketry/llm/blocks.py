@@ -41,13 +41,39 @@ def by_length(rows: np.ndarray, values: pa.Array):
 
 
 def spread_blocks(ids: np.ndarray, blocks: int | np.ndarray) -> np.ndarray:
-    """The block of each id: a mixed hash, so that evenly spaced ids spread too."""
+    """The block of each id or row key: a mixed hash, so that evenly spaced ones spread too."""
     mixed = (ids.astype("uint64") ^ (ids.astype("uint64") >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     return ((mixed >> np.uint64(33)) % np.asarray(blocks).astype("uint64")).astype("int64")
 
 
+def row_keys(ids: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """What spread_blocks deals rows by: id and components, so that many rows of one id spread too."""
+    bits = np.ascontiguousarray(matrix).view("uint64")
+    factors = np.random.default_rng(1).integers(0, 2**63, matrix.shape[1]).astype("uint64") * np.uint64(2) + np.uint64(1)
+    mixed = ids.astype("uint64") * np.uint64(0xD6E8FEB86659FD93)
+    for at in range(matrix.shape[1]):
+        mixed += (bits[:, at] ^ (bits[:, at] >> np.uint64(32))) * factors[at]
+    return (mixed ^ (mixed >> np.uint64(32))).astype("int64")
+
+
+def unlike(ids: np.ndarray, asked: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Positions of rows, each id, mark and vector once; equal rows count once in every result."""
+    if len(np.unique(ids)) == len(ids):
+        return np.arange(len(ids))
+    bits = np.ascontiguousarray(np.column_stack([ids.astype("int64"), asked.astype("int64"), np.ascontiguousarray(matrix).view("int64")]))
+    return np.sort(np.unique(bits.view(np.dtype((np.void, bits.shape[1] * 8))).reshape(-1), return_index=True)[1])
+
+
+def first_of_each(row: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Positions at which a pair of a row and an id comes first."""
+    if not len(row):
+        return np.zeros(0, "int64")
+    names, code = np.unique(ids, return_inverse=True)
+    return np.sort(np.unique(row * len(names) + code, return_index=True)[1])
+
+
 def meet(points: DataFrame, queries: DataFrame, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """`compare` on each group; both sides have the GROUP columns."""
     return points.groupBy(*GROUP).cogroup(queries.groupBy(*GROUP)).applyInArrow(compare, schema)

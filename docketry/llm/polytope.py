@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.blocks import best_per_query, by_length, meet, spread_blocks, vectors
+from docketry.llm.blocks import best_per_query, by_length, first_of_each, meet, row_keys, spread_blocks, unlike, vectors
 from docketry.llm.rotations import rotate, signed_axes
 
 TABLES, PROBES, SEED = 14, 10, 7
@@ -24,7 +24,7 @@ POINT_ROWS, QUERY_ROWS = 4096, 1024
 #: Bucket sizes held by the driver: tables x signed axes for every vector length that occurs.
 MOST_BUCKETS = 1_000_000
 SCHEMA = "query_id bigint, vec_id bigint, score double"
-HASHED = "vec_id bigint, asked boolean, key bigint, rank int, data binary"
+HASHED = "vec_id bigint, asked boolean, key bigint, rank int, spread bigint, data binary"
 
 
 def hash_rows(batch: pa.RecordBatch, tables: int, probes: int, seed: int, with_data: bool) -> Iterator[pa.RecordBatch]:
@@ -35,6 +35,9 @@ def hash_rows(batch: pa.RecordBatch, tables: int, probes: int, seed: int, with_d
     for size, here, matrix in by_length(kept, values):
         length = np.sqrt((matrix**2).sum(axis=1))
         here, matrix, length = here[length > 0], matrix[length > 0], length[length > 0]
+        once = unlike(ids[here], asked[here], matrix)
+        here, matrix, length = here[once], matrix[once], length[once]
+        spread = row_keys(ids[here], matrix)
         raw = matrix.astype("<f8").tobytes()
         data = pa.array([raw[i * size * 8:(i + 1) * size * 8] if with_data else None for i in range(len(here))], pa.binary())
         for table in range(tables):
@@ -47,6 +50,7 @@ def hash_rows(batch: pa.RecordBatch, tables: int, probes: int, seed: int, with_d
                         "asked": pa.array(asked[here][row]),
                         "key": (np.int64(size) * tables + table << 20) + axes[row, rank],
                         "rank": np.full(len(row), rank, "int32"),
+                        "spread": spread[row],
                         "data": data.take(pa.array(row)),
                     })
 
@@ -96,14 +100,14 @@ def nearest(
             for batch in batches:
                 if not len(batch):
                     continue
-                ids, key = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("vec_id", "key"))
+                ids, key, spread = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("vec_id", "key", "spread"))
                 names, at = np.unique(key, return_inverse=True)
                 count = np.array([shared.value[n] for n in names.tolist()])[at]
                 mine, theirs = (count[:, 0], count[:, 1]) if of_points else (count[:, 1], count[:, 0])
                 copies = np.repeat(np.arange(len(ids)), theirs)
                 yield pa.RecordBatch.from_pydict({
                     "vec_id": ids[copies], "key": key[copies],
-                    own: spread_blocks(ids if of_points else ~ids, mine)[copies],
+                    own: spread_blocks(spread if of_points else ~spread, mine)[copies],
                     other: np.arange(len(copies)) - np.repeat(np.cumsum(theirs) - theirs, theirs),
                     "data": batch.column("data").take(pa.array(copies)),
                 })
@@ -126,22 +130,36 @@ def nearest(
 
 
 def exact_nearest(points: np.ndarray, point_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int):
-    """(position of the query, id, distance) of each query's k nearest points but its own id."""
+    """(position of the query, id, distance) of each query's k nearest ids but its own; of
+    several points of an id the nearest counts."""
     out = ([], [], [])
+    repeated = len(np.unique(point_ids)) < len(point_ids)
+    if repeated:
+        # Points of an id lie side by side, so that distances fold to ids before the cut to k.
+        sort = np.argsort(point_ids, kind="stable")
+        points, point_ids = points[sort], point_ids[sort]
+    starts = np.flatnonzero(np.r_[True, point_ids[1:] != point_ids[:-1]])
     norms = (points**2).sum(axis=1)
     for start in range(0, len(queries), 64):
         q = queries[start:start + 64]
         rough = (q**2).sum(axis=1)[:, None] + norms[None, :] - 2 * q @ points.T
         valid = query_ids[start:start + 64, None] != point_ids[None, :]
         rough = np.where(valid, rough, np.inf)
-        if len(point_ids) > k:
-            last = np.partition(rough, k - 1, axis=1)[:, k - 1, None]
+        if len(starts) > k:
+            least = np.minimum.reduceat(rough, starts, axis=1) if repeated else rough
+            last = np.partition(least, k - 1, axis=1)[:, k - 1, None]
             # The expanded form is off by rounding; all that may belong is measured exactly.
             valid &= rough <= last + 1e-9 * (1 + norms.max() + (q**2).sum(axis=1)[:, None])
         row, at = np.nonzero(valid)
-        distance = np.sqrt(((points[at] - q[row]) ** 2).sum(axis=1))
+        distance = np.zeros(len(row))
+        for part in range(0, len(row), 16_384):
+            here = np.s_[part:part + 16_384]
+            distance[here] = np.sqrt(((points[at[here]] - q[row[here]]) ** 2).sum(axis=1))
         order = np.lexsort((point_ids[at], distance, row))
         row, at, distance = row[order], at[order], distance[order]
+        if repeated:
+            once = first_of_each(row, point_ids[at])
+            row, at, distance = row[once], at[once], distance[once]
         first = np.arange(len(row)) - np.searchsorted(row, row) < k
         for held, part in zip(out, (row[first] + start, point_ids[at[first]], distance[first])):
             held.append(part)

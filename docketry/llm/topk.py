@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.blocks import best_per_query, by_length, meet, spread_blocks, vectors
+from docketry.llm.blocks import best_per_query, by_length, first_of_each, meet, row_keys, spread_blocks, unlike, vectors
 
 SCALE = 64
 #: Rows of a block of points and of queries; at least this many blocks of points, so that
@@ -33,7 +33,16 @@ def exact_top(
     points: np.ndarray, point_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(position of the query, id, score) of each query's k best points, and the share of
-    components that were read. The point with the query's own id is left out."""
+    components that were read. Points with the query's own id are left out; of several
+    points of an id the best counts."""
+    # Points of an id lie side by side, so that scores fold to ids before any cut to k.
+    first = np.arange(len(point_ids))
+    repeated = len(np.unique(point_ids)) < len(point_ids)
+    if repeated:
+        sort = np.argsort(point_ids, kind="stable")
+        points, point_ids = points[sort], point_ids[sort]
+        first = np.flatnonzero(np.r_[True, point_ids[1:] != point_ids[:-1]])
+    seeded = first[:SEEDS]
     # Sums below 2**53 are exact in doubles, which multiply fast.
     kind = "float64" if _safe(points, queries) else "int64"
     order = np.argsort(-points.astype("float64").var(axis=0), kind="stable")
@@ -47,9 +56,10 @@ def exact_top(
         q = asked[start:start + QUERIES_AT_ONCE]
         own = query_ids[start:start + QUERIES_AT_ONCE]
         least = np.full(len(q), -np.inf)
-        if len(point_ids) > SEEDS and k < SEEDS:
-            seeds = (q @ columns[:, :SEEDS]).astype("float64")
-            seeds[own[:, None] == point_ids[None, :SEEDS]] = -np.inf
+        if len(first) > SEEDS and k < SEEDS:
+            # One point of each of SEEDS ids: k ids at least reach the k-th best of them.
+            seeds = (q @ columns[:, seeded]).astype("float64")
+            seeds[own[:, None] == point_ids[None, seeded]] = -np.inf
             least = np.partition(seeds, -k, axis=1)[:, -k]
         alive, score = np.arange(len(point_ids)), np.zeros((len(q), len(point_ids)), kind)
         for c, cut in enumerate(cuts):
@@ -63,15 +73,22 @@ def exact_top(
                 alive, score = alive[useful], score[:, useful]
         valid = own[:, None] != point_ids[None, alive]
         ranked = np.where(valid, score.astype("float64"), -np.inf)
-        if len(alive) > k:
-            valid &= ranked >= np.partition(ranked, -k, axis=1)[:, -k, None]
+        held = ranked
+        if repeated and len(alive):
+            names = point_ids[alive]
+            held = np.maximum.reduceat(ranked, np.flatnonzero(np.r_[True, names[1:] != names[:-1]]), axis=1)
+        if held.shape[1] > k:
+            valid &= ranked >= np.partition(held, -k, axis=1)[:, -k, None]
         row, at = np.nonzero(valid)
         values, names = score[row, at].astype("int64"), point_ids[alive[at]]
         sort = np.lexsort((names, -values, row))
         row, values, names = row[sort], values[sort], names[sort]
+        if repeated:
+            once = first_of_each(row, names)
+            row, values, names = row[once], values[once], names[once]
         place = np.arange(len(row)) - np.searchsorted(row, row)
-        for held, part in zip(out, (row[place < k] + start, names[place < k], values[place < k])):
-            held.append(part)
+        for parts, part in zip(out, (row[place < k] + start, names[place < k], values[place < k])):
+            parts.append(part)
     total = max(1, len(point_ids) * len(columns) * -(-len(asked) // QUERIES_AT_ONCE))
     return *(np.concatenate(x) if x else np.zeros(0, "int64") for x in out), read / total
 
@@ -104,13 +121,15 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, vec_id: str = "v
             asked = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)[kept]
             for size, here, matrix in by_length(kept, values):
                 numbers = np.floor(SCALE * matrix).clip(-(2.0**62), 2.0**62).astype("<i8")
-                raw = numbers.tobytes()
+                once = unlike(ids[here], asked[here], numbers)
+                here, numbers = here[once], numbers[once]
+                raw, spread = numbers.tobytes(), row_keys(ids[here], numbers)
                 yield pa.RecordBatch.from_pydict({
                     "vec_id": ids[here],
                     "key": np.full(len(here), size, "int64"),
                     "asked": pa.array(asked[here]),
-                    "point_block": spread_blocks(ids[here], point_blocks),
-                    "query_block": spread_blocks(~ids[here], query_blocks),
+                    "point_block": spread_blocks(spread, point_blocks),
+                    "query_block": spread_blocks(~spread, query_blocks),
                     "data": pa.array([raw[i * size * 8:(i + 1) * size * 8] for i in range(len(here))], pa.binary()),
                 })
 
