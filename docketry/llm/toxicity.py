@@ -1,17 +1,21 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
-
-Terms are words and beginnings of words, each also as seen at least two and four times.
-On a bounded sample of labelled rows those terms are kept that tell the labels apart
-(chi-square); their document frequencies are counted over all documents. The examples
-lie in an inverted index of blocks with the largest weight of each term per block: the
-product of a text's weights with those maxima bounds its cosine with every example of a
-block, so blocks are opened from the largest bound down until none can hold a nearer
+"""Toxicity from the nearest labelled examples by exact cosine of TF-IDF vectors.
+
+A text's vector has every word of it: count x idf x relevance. Document frequencies are
+counted over all documents. The relevance of a term grows with its chi-square between the
+labels on a bounded sample of labelled rows and is never zero, so no word is left out of a
+vector or of its length; beginnings of words that tell the labels apart are terms too.
+Words outside the examples can match none and only lengthen the vector; they share COUNTERS
+document counters by hash, so a rare one may take the frequency of words it shares with.
+The examples lie in an inverted index: a term's postings are cut by blocks of examples, each
+piece with its largest weight. The product of a text's weights with those maxima bounds its
+cosine with every example of a block, so only blocks are opened that may hold a nearer
 example. Votes of the nearest examples, weighted by cosine and brought back to the labels'
 natural shares, are calibrated on the examples themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,12 +29,18 @@ from pyspark.sql import functions as F
 from docketry.llm.batches import as_texts, gather, slices
 from docketry.session import fresh_folder
 
-#: Bounds of the fit: examples of each label, and terms.
-EXAMPLES, TERMS = 4096, 1024
-#: Least chi-square of a term, and documents of the sample it must be in.
+#: Bound of the fit: examples of each label. Their words are all terms.
+EXAMPLES = 4096
+#: Least chi-square of a beginning, and documents of the sample that it, or a term of more
+#: than the least relevance, must be in.
 LEAST_CHI, LEAST_DOCUMENTS = 24.0, 5
+#: Relevance of a term without chi-square, and the chi-square that adds 1 to its root.
+LEAST_RELEVANCE, UNIT_CHI = 0.0025, 25.0
+COUNTERS = 1 << 20
 NEAREST, BLOCK = 25, 64
-LEVELS = (1, 2, 4)
+#: Blocks that are opened first, to tell which others need not be.
+FIRST_BLOCKS = 2
+LEVELS = (1,)
 PREFIXES = (4, 5, 6)
 BREAKS = r"[^\pL\pN]+"
 
@@ -55,7 +65,7 @@ def counted_words(texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.nda
 
 
 def term_matrix(texts: pa.Array, terms: dict[str, list[tuple[int, int]]], width: int) -> Iterator[np.ndarray]:
-    """Presence of the fitted terms, a row per text, slice by slice.
+    """Presence of given terms as a dense matrix, a row per text, slice by slice; for small checks.
 
     `terms` has for each stem its (level, position)s.
     """
@@ -81,66 +91,166 @@ def term_matrix(texts: pa.Array, terms: dict[str, list[tuple[int, int]]], width:
         yield out
 
 
+@dataclass
+class Sparse:
+    """Rows of (position, value) pairs; row i is at ptr[i]..ptr[i + 1]."""
+
+    ptr: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ptr) - 1
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.ptr))
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        lengths = np.diff(self.ptr)[rows]
+        at = gather(self.ptr[:-1][rows], lengths)
+        return Sparse(np.concatenate([[0], np.cumsum(lengths)]), self.place[at], self.value[at])
+
+
+def sparse(rows: np.ndarray | Sparse) -> Sparse:
+    if isinstance(rows, Sparse):
+        return rows
+    row, place = np.nonzero(rows)
+    return Sparse(np.searchsorted(row, np.arange(len(rows) + 1)), place, rows[row, place])
+
+
+@dataclass
+class Terms:
+    """Positions of terms: the examples' words, beginnings, then COUNTERS for other words."""
+
+    words: pa.Array
+    beginnings: dict[str, int]
+
+    @property
+    def width(self) -> int:
+        return len(self.words) + len(self.beginnings)
+
+    def counts(self, texts: pa.Array) -> Iterator[Sparse]:
+        """Count of every word and known beginning of each text, slice by slice."""
+        for start, stop, words, row, word, count in counted_words(as_texts(texts)):
+            known = pc.index_in(pa.array(words, pa.string()), value_set=self.words)
+            place = pc.fill_null(known, -1).to_numpy(zero_copy_only=False).astype("int64")
+            for i in np.flatnonzero(place < 0).tolist():
+                place[i] = self.width + zlib.crc32(words[i].encode()) % COUNTERS
+            blank = np.array([not w for w in words], bool)
+            keep = ~blank[word] if len(word) else np.zeros(0, bool)
+            begun = [[self.beginnings[t] for t in _stems(w)[1:] if t in self.beginnings] for w in words]
+            fan = np.fromiter(map(len, begun), "int64", len(begun))
+            hit = np.flatnonzero(fan[word] > 0) if len(word) else word
+            flat = np.array([t for found in begun for t in found], "int64")
+            more = flat[gather((np.cumsum(fan) - fan)[word[hit]], fan[word[hit]])] if len(hit) else flat[:0]
+            whole = self.width + COUNTERS
+            pair, back = np.unique(np.repeat(row[hit], fan[word[hit]]) * whole + more, return_inverse=True)
+            sums = np.bincount(back, np.repeat(count[hit], fan[word[hit]]), len(pair))
+            row = np.concatenate([row[keep], pair // whole])
+            place = np.concatenate([place[word[keep]], pair % whole])
+            value = np.concatenate([count[keep], sums]).astype("float64")
+            order = np.lexsort((place, row))
+            yield Sparse(np.searchsorted(row[order], np.arange(stop - start + 1)), place[order], value[order])
+
+
 @dataclass
 class Model:
-    """A fitted index; its size is bounded by EXAMPLES, TERMS and nothing else."""
+    """A fitted index; its size is bounded by the examples' words, COUNTERS and nothing else."""
 
-    terms: dict[str, list[tuple[int, int]]]
-    weights: np.ndarray  # inverse document frequency of each term
-    vectors: np.ndarray  # unit rows of the examples that have any term, sorted into blocks
+    terms: Terms | None
+    weights: np.ndarray  # idf x relevance of each term and counter
+    examples: Sparse  # unit rows of the examples that have any term, sorted into blocks
     names: np.ndarray
     votes: np.ndarray  # label times the label's natural share
     against: np.ndarray
     empty: float  # the share of label 1 among examples without any term
-    maxima: np.ndarray = field(init=False)
     calibration: tuple[float, float] = (1.0, 0.0)
+    maxima: np.ndarray = field(init=False)  # first example of each block
 
     def __post_init__(self) -> None:
-        cuts = np.arange(0, len(self.vectors), BLOCK)
-        self.maxima = np.maximum.reduceat(self.vectors, cuts, axis=0) if len(cuts) else np.zeros((0, len(self.weights)), "float32")
-
-    def unit(self, presence: np.ndarray) -> np.ndarray:
-        weighted = presence * self.weights
-        norms = np.sqrt((weighted**2).sum(axis=1, keepdims=True))
-        return (weighted / np.where(norms > 0, norms, 1)).astype("float32")
-
-    def nearest(self, units: np.ndarray, skip: np.ndarray | None = None, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray, int]:
+        rows = self.examples
+        self.maxima = np.arange(0, len(rows), BLOCK)
+        inside = rows.place < (self.terms.width if self.terms else len(self.weights))
+        order = np.argsort(rows.place[inside], kind="stable")
+        term = rows.place[inside][order].astype("int64")
+        self.example, self.weight = rows.row[inside][order].astype("int32"), rows.value[inside][order]
+        block = self.example // BLOCK
+        # Pieces: the postings of a term within a block, with the largest weight among them.
+        self.start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, "int64")
+        self.size = np.diff(np.append(self.start, len(term)))
+        self.block = block[self.start]
+        self.most = np.maximum.reduceat(self.weight, self.start) if len(term) else np.zeros(0)
+        width = len(self.weights)
+        self.pieces = np.searchsorted(term[self.start], np.arange(width + 1))
+
+    def __getstate__(self) -> tuple:
+        # Workers build the postings again, so that a broadcast holds each weight once.
+        return self.terms, self.weights, self.examples, self.names, self.votes, self.against, self.empty, self.calibration
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+
+    @property
+    def vectors(self) -> np.ndarray:
+        """The examples as a dense matrix, for small checks."""
+        out = np.zeros((len(self.examples), len(self.weights)), "float32")
+        out[self.examples.row, self.examples.place] = self.examples.value
+        return out
+
+    def unit(self, counts: np.ndarray | Sparse) -> np.ndarray | Sparse:
+        rows = sparse(counts)
+        weighted = rows.value * self.weights[rows.place]
+        norms = np.sqrt(np.bincount(rows.row, weighted**2, len(rows)))
+        rows = Sparse(rows.ptr, rows.place, (weighted / np.where(norms > 0, norms, 1)[rows.row]).astype("float32"))
+        if isinstance(counts, Sparse):
+            return rows
+        out = np.zeros(counts.shape, "float32")
+        out[rows.row, rows.place] = rows.value
+        return out
+
+    def nearest(self, units: np.ndarray | Sparse, skip: np.ndarray | None = None, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray, int]:
         """Positions and cosines of the k nearest examples (-1 where fewer), and blocks opened.
 
         `skip`: for each row an example that is left out, -1 for none. Ties go to the
         earlier example.
         """
-        best = np.full((len(units), k), -1.0, "float32")
+        units = sparse(units)
+        best = np.zeros((len(units), k), "float32")
         where = np.full((len(units), k), -1, "int64")
-        if not len(self.maxima):
-            return where, best, 0
-        bound = units @ self.maxima.T
-        order = np.argsort(-bound, axis=1, kind="stable")
-        active, opened = np.arange(len(units)), 0
-        for turn in range(bound.shape[1]):
-            block = order[active, turn]
-            # Equal cosines may go to an earlier example, so a bound that ties is opened too.
-            open_ = (bound[active, block] + 1e-6 >= best[active, -1]) & (bound[active, block] > 0)
-            active, block = active[open_], block[open_]
-            if not len(active):
-                break
-            opened += len(active)
-            for b in np.unique(block):
-                rows = active[block == b]
-                first, last = b * BLOCK, min((b + 1) * BLOCK, len(self.vectors))
-                cosine = np.round(units[rows] @ self.vectors[first:last].T, 6)
-                ids = np.broadcast_to(np.arange(first, last), cosine.shape)
-                if skip is not None:
-                    cosine = np.where(ids == skip[rows, None], -1, cosine)
-                score = np.concatenate([best[rows], cosine], axis=1)
-                place = np.concatenate([where[rows], ids], axis=1)
-                keep = np.lexsort((place, -score))[:, :k]
-                best[rows] = np.take_along_axis(score, keep, 1)
-                where[rows] = np.take_along_axis(place, keep, 1)
-        where[best <= 0] = -1
-        return where, np.maximum(best, 0), opened
-
-    def raw(self, units: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        blocks, opened = len(self.maxima), 0
+        for i in range(len(units)):
+            here = np.s_[units.ptr[i]:units.ptr[i + 1]]
+            place, value = units.place[here], units.value[here].astype("float64")
+            fan = self.pieces[place + 1] - self.pieces[place]
+            piece, value = gather(self.pieces[place], fan), np.repeat(value, fan)
+            if not len(piece):
+                continue
+            owner = self.block[piece]
+            bound = np.bincount(owner, self.most[piece] * value, blocks)
+            wanted = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
+            done = np.zeros(blocks, bool)
+            score = np.zeros(blocks * BLOCK)
+            while len(wanted):
+                done[wanted] = True
+                chosen = np.isin(owner, wanted)
+                at = gather(self.start[piece[chosen]], self.size[piece[chosen]])
+                score += np.bincount(self.example[at], self.weight[at] * np.repeat(value[chosen], self.size[piece[chosen]]), len(score))
+                if skip is not None and skip[i] >= 0:
+                    score[skip[i]] = 0
+                opened += len(wanted)
+                least = np.partition(score, -k)[-k] if len(score) > k else 0
+                # Equal rounded cosines may go to an earlier example, so a bound that ties is opened too.
+                wanted = np.flatnonzero(~done & (bound > 0) & (bound + 2e-6 >= least))
+            cosine = np.round(score, 6)
+            there = np.flatnonzero(cosine > 0)
+            if len(there) > k:
+                there = there[cosine[there] >= np.partition(cosine[there], -k)[-k]]
+            there = there[np.lexsort((there, -cosine[there]))][:k]
+            where[i, :len(there)], best[i, :len(there)] = there, cosine[there]
+        return where, best, opened
+
+    def raw(self, units: np.ndarray | Sparse, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         where, cosine, _ = self.nearest(units, skip)
         there = where >= 0
         weight = np.where(there, cosine.astype("float64") ** 2, 0)
@@ -149,14 +259,12 @@ class Model:
         share = np.where(there.any(axis=1), (for_ + 1e-3 * self.empty) / (for_ + no + 1e-3), self.empty)
         return share, where, cosine
 
-    def score(self, presence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, counts: np.ndarray | Sparse) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of label 1, and the nearest examples with their cosines."""
-        kinds, back = np.unique(presence > 0, axis=0, return_inverse=True)
-        share, where, cosine = self.raw(self.unit(kinds.astype("float32")))
+        share, where, cosine = self.raw(self.unit(counts))
         slope, shift = self.calibration
         logit = np.log(np.clip(share, 1e-4, 1 - 1e-4) / np.clip(1 - share, 1e-4, 1))
-        back = back.reshape(-1)
-        return (1 / (1 + np.exp(-(slope * logit + shift))))[back], where[back], cosine[back]
+        return 1 / (1 + np.exp(-(slope * logit + shift))), where, cosine
 
 
 def chi_square(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -165,30 +273,50 @@ def chi_square(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.n
     return (n1 + n0) * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
 
 
-def build(terms: list[tuple[str, int]], weights: np.ndarray, names, presence: np.ndarray, labels: np.ndarray, natural: tuple[float, float]) -> Model:
-    """Index and calibration from the examples' term presence (rows in order of their names)."""
-    stems: dict[str, list[tuple[int, int]]] = {}
-    for position, (stem, level) in enumerate(terms):
-        stems.setdefault(stem, []).append((level, position))
-    counts = np.bincount(labels, minlength=2).astype("float64")
-    share = np.array(natural) / np.maximum(counts, 1)
-    any_term = presence.any(axis=1)
+def relevance(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How much terms count that are in so many sample texts of each label."""
+    chi = np.where(with_1 + with_0 >= LEAST_DOCUMENTS, chi_square(with_1, with_0, n1, n0), 0)
+    return (np.sqrt(chi / UNIT_CHI) + LEAST_RELEVANCE**0.5) ** 2
+
+
+def index(terms: Terms | None, weights: np.ndarray, names, counts: np.ndarray | Sparse, labels: np.ndarray, natural: tuple[float, float]) -> Model:
+    """The index of the examples (rows in order of their names), without calibration."""
+    rows = sparse(counts)
+    sizes = np.bincount(labels, minlength=2).astype("float64")
+    share = np.array(natural) / np.maximum(sizes, 1)
+    any_term = np.diff(rows.ptr) > 0
     bare = np.bincount(labels[~any_term], minlength=2) * share
-    empty = float((bare[1] + 1e-3 * natural[1]) / (bare.sum() + 1e-3))
+    empty = float((bare[1] + 1e-3 * natural[1] / max(1, sum(natural))) / (bare.sum() + 1e-3))
     # Examples with the same strongest terms share a block, which keeps its maxima low.
-    top = np.argsort(-(presence * weights), axis=1, kind="stable")[:, :2]
-    order = np.lexsort((top[:, 1], top[:, 0]))
+    strong = rows.place[np.lexsort((rows.place, -rows.value * weights[rows.place], rows.row))]
+    first = np.minimum(rows.ptr[:-1], max(0, len(strong) - 2))
+    top = [strong[first + i] if len(strong) > 1 else np.zeros(len(rows), "int64") for i in (0, 1)]
+    order = np.lexsort((top[1], top[0]))
     order = order[any_term[order]]
-    model = Model(stems, weights, np.zeros((0, len(terms)), "float32"), np.asarray(names)[order], labels[order] * share[1], (1 - labels[order]) * share[0], empty)
-    model.vectors = model.unit(presence[order])
+    model = Model(terms, weights, rows.take(order), np.asarray(names)[order], labels[order] * share[1], (1 - labels[order]) * share[0], empty)
+    model.examples = model.unit(model.examples)
+    model.examples.place = model.examples.place.astype("int32")
     model.__post_init__()
-    if len(order):
-        raw = np.full(len(labels), empty)
-        raw[order] = model.raw(model.vectors, skip=np.arange(len(order)))[0]
-        model.calibration = platt(raw, labels, share[labels])
     return model
 
 
+def build(terms: list, weights: np.ndarray, names, counts: np.ndarray | Sparse, labels: np.ndarray, natural: tuple[float, float]) -> Model:
+    """Index and calibration, without a vocabulary, from the examples' counts of terms."""
+    model = index(None, weights, names, counts, labels, natural)
+    if len(model.examples):
+        calibrate(model, np.asarray(names), labels, natural, model.raw(model.examples, skip=np.arange(len(model.examples)))[0])
+    return model
+
+
+def calibrate(model: Model, names: np.ndarray, labels: np.ndarray, natural: tuple[float, float], votes: np.ndarray) -> None:
+    """`votes`: those of each example of the index, left out of its own."""
+    share = np.array(natural) / np.maximum(np.bincount(labels, minlength=2), 1)
+    order = np.argsort(names, kind="stable")
+    raw = np.full(len(labels), model.empty)
+    raw[order[np.searchsorted(names[order], model.names)]] = votes
+    model.calibration = platt(raw, labels, share[labels])
+
+
 def platt(raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve over the log odds of the votes."""
     x = np.log(np.clip(raw, 1e-4, 1 - 1e-4) / np.clip(1 - raw, 1e-4, 1))
@@ -274,55 +402,76 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", held_out:
     sizes = {r["given"]: r["count"] for r in sample.groupBy("given").count().collect()}
     n1, n0 = (float(sizes.get(v, 0)) for v in (1, 0))
     with_label = [F.sum(F.when(F.col("given") == v, F.col("n")).otherwise(0)).alias(name) for name, v in (("a", 1), ("b", 0))]
-    joint = told.groupBy("stem", "level").agg(*with_label)
+    joint = told.groupBy("stem").agg(*with_label)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     cross = a * (n0 - b) - b * (n1 - a)
     chi = (n1 + n0) * cross * cross / F.greatest((a + b) * (n1 + n0 - a - b) * n1 * n0, F.lit(1e-9))
-    best = (
-        joint.withColumn("chi", chi).filter((F.col("chi") >= LEAST_CHI) & (a + b >= LEAST_DOCUMENTS))
-        .orderBy(F.desc("chi"), "stem", "level").limit(TERMS).collect()
-    )
-    terms = [(r["stem"], r["level"]) for r in best]
-    width = len(terms)
-    stems: dict[str, list[tuple[int, int]]] = {}
-    for position, (stem, level) in enumerate(terms):
-        stems.setdefault(stem, []).append((level, position))
+    # All words of the examples; beginnings if they tell the labels apart.
+    beginning = F.col("stem").endswith("*")
+    best = joint.filter(~beginning | ((chi >= LEAST_CHI) & (a + b >= LEAST_DOCUMENTS))).withColumn("beginning", beginning).toArrow()
+    best = best.sort_by([("beginning", "ascending"), ("stem", "ascending")])
+    stem = best.column("stem").combine_chunks()
+    n_words = len(stem) - (pc.sum(pc.cast(best.column("beginning"), pa.int64())).as_py() or 0)
+    terms = Terms(stem.slice(0, n_words), {t: n_words + i for i, t in enumerate(stem.slice(n_words).to_pylist())})
+    width = terms.width + COUNTERS
+    vocabulary = spark.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width + 1, "int64")
+        total, rows = np.zeros(width, "int64"), 0
         for batch in batches:
-            total[width] += len(batch)
-            if width:
-                for found in term_matrix(batch.column(0), stems, width):
-                    total[:width] += found.sum(axis=0).astype("int64")
-        yield pa.RecordBatch.from_pydict({"position": np.arange(width + 1), "n": total})
-
-    counts = documents.select("text").mapInArrow(count, "position bigint, n bigint").groupBy("position").agg(F.sum("n").alias("n"))
-    seen = {r["position"]: r["n"] for r in counts.collect()}
-    total = seen.get(width, 0)
-    weights = np.array([np.log((1 + total) / (1 + seen.get(p, 0))) + 1 for p in range(width)], "float32")
+            rows += len(batch)
+            for found in vocabulary.value.counts(batch.column(0)):
+                total += np.bincount(found.place, minlength=width)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"position": np.append(seen, width), "n": np.append(total[seen], rows)})
+
+    counts = documents.select("text").mapInArrow(count, "position bigint, n bigint").groupBy("position").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(width + 1)
+    seen[counts.column("position").to_numpy()] = counts.column("n").to_numpy()
+    known = np.full(width, LEAST_RELEVANCE)
+    if n1 + n0:
+        known[:terms.width] = relevance(best.column("a").to_numpy(), best.column("b").to_numpy(), n1, n0)
+    weights = ((np.log((1 + seen[width]) / (1 + seen[:width])) + 1) * known).astype("float32")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [*term_matrix(batch.column(1), stems, width)]
-            bits = np.packbits(np.concatenate(found) > 0, axis=1) if found else np.zeros((0, 0), "uint8")
+            places, values = [], []
+            for found in vocabulary.value.counts(batch.column(1)):
+                for at, end in zip(found.ptr[:-1], found.ptr[1:]):
+                    places.append(found.place[at:end].astype("<i4").tobytes())
+                    values.append(found.value[at:end].astype("<f4").tobytes())
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "given": batch.column(2), "bits": pa.array([r.tobytes() for r in bits], pa.binary()),
+                "doc_id": batch.column(0), "given": batch.column(2), "places": pa.array(places, pa.binary()), "counts": pa.array(values, pa.binary()),
             })
 
-    # At most twice EXAMPLES rows of TERMS bits.
-    rows = sorted(sample.select("doc_id", "text", "given").mapInArrow(present, "doc_id bigint, given int, bits binary").collect()) if width else []
-    if rows:
-        bits = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), "uint8").reshape(len(rows), -1), axis=1)[:, :width]
-    else:
-        bits = np.zeros((0, width), "uint8")
-    known = np.array([r["given"] for r in rows], "int64")
+    # At most twice EXAMPLES rows.
+    rows = sample.select("doc_id", "text", "given").mapInArrow(present, "doc_id bigint, given int, places binary, counts binary").toArrow().sort_by("doc_id")
     shares = (natural.get(0, 0), natural.get(1, 0))
-    if not rows:
+    if not len(rows):
         rate = shares[1] / sum(shares) if sum(shares) else 0.5
         none = np.zeros(0)
-        return Model(stems, weights, np.zeros((0, width), "float32"), np.zeros(0, "int64"), none, none, rate)
-    return build(terms, weights, np.array([r["doc_id"] for r in rows]), bits.astype("float32"), known, shares)
+        return Model(terms, weights, sparse(np.zeros((0, width), "float32")), np.zeros(0, "int64"), none, none, rate)
+    vocabulary.destroy()
+    joined = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+    ends = np.cumsum(pc.binary_length(rows.column("places")).to_numpy() // 4)
+    examples = Sparse(np.concatenate([[0], ends]).astype("int64"), joined("places", "<i4").astype("int64"), joined("counts", "<f4"))
+    names, given_ = rows.column("doc_id").to_numpy(), rows.column("given").to_numpy().astype("int64")
+    model = index(terms, weights, names, examples, given_, shares)
+    if not len(model.examples):
+        return model
+    # Each example's votes without its own, in tasks.
+    shared = spark.sparkContext.broadcast(model)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_pydict({"at": own, "raw": model.raw(model.examples.take(own), skip=own)[0]})
+
+    votes = spark.range(len(model.examples), numPartitions=12).mapInArrow(left_out, "at bigint, raw double").toArrow().sort_by("at")
+    shared.destroy()
+    calibrate(model, names, given_, shares, votes.column("raw").to_numpy())
+    return model
 
 
 SCORED = "struct<score: double, predicted: int, evidence: array<struct<doc_id: bigint, cosine: double>>>"
@@ -332,16 +481,16 @@ EVIDENCE = 5
 def toxicity_column(text: Column, model: Model, documents: DataFrame) -> Column:
     """score, predicted (1 from 0.5 on) and the nearest examples of a text.
 
-    Null and empty texts, and those without any fitted term, get the label's share among
-    examples without any.
+    Null and empty texts, and those that share no term with any example, get the label's
+    share among examples without any.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: pa.Array) -> pa.Array:
         model = shared.value
         scores, evidence = [np.zeros(0)], []
-        for presence in term_matrix(texts, model.terms, len(model.weights)):
-            found, where, cosine = model.score(presence)
+        for counts in model.terms.counts(texts):
+            found, where, cosine = model.score(counts)
             scores.append(found)
             for places, near in zip(where[:, :EVIDENCE], cosine[:, :EVIDENCE]):
                 evidence.append([{"doc_id": int(model.names[p]), "cosine": float(c)} for p, c in zip(places, near) if p >= 0])
