@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from docketry.llm import langid, toxicity
 from docketry.llm.chat import Template, format_conversations
+from docketry.llm.convtrie import conversation_trie
 from docketry.llm.encoding import digest_column
+from docketry.llm.filteraudit import audit
+from docketry.llm.linededup import dedup_lines
 from docketry.llm.licenses import scan_licenses, word_weights
 from docketry.llm.neardup import near_duplicates
 from docketry.llm.packing import pack
@@ -118,6 +121,19 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"), k=20)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def llm_queries() -> dict[str, Query]:
-    found = [op1_chat_formatting, op2_bpe_codec, op3_license_scan, op4_cross_polytope, op5_chosen_path, op6_toxicity, op8_language_id, op7_packing, op9_url_filter, op10_exact_top_k]
+    found = [op1_chat_formatting, op2_bpe_codec, op3_license_scan, op4_cross_polytope, op5_chosen_path, op6_toxicity, op8_language_id, op7_packing, op9_url_filter, op10_exact_top_k, op11_filter_audit, op12_conversation_trie, op13_line_dedup]
     return {f.__name__: f for f in found}
