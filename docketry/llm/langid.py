@@ -107,21 +107,21 @@ def build(languages: list[str], landmarks: np.ndarray, samples: np.ndarray, know
 def fit(documents: DataFrame, held_out: tuple[int, int] = (4, 2)) -> Model | None:
     """A model from text and lang of `documents` outside of the held-out fold; None without any.
 
-    SAMPLE texts of each language, by the hash of their id, are learned from: whole texts,
+    SAMPLE texts of each language, by the hash of id and text, are learned from: whole texts,
     as bits of their bins. Null or empty langs, null ids and texts without a letter are no samples.
     """
-    fold = ~in_fold(F.col("doc_id"), *held_out)
-    counts = documents.filter(F.col("lang").isNotNull() & fold).groupBy("lang").count().collect()
+    usable = documents.select("doc_id", "lang", "text").filter(
+        "lang IS NOT NULL AND lang <> '' AND text IS NOT NULL AND doc_id IS NOT NULL"
+    ).filter(~in_fold(F.col("doc_id"), *held_out) & F.col("text").rlike(r"\p{L}"))
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return None
     # Of a language with many texts only hashes below a bound are ranked, about SPARE times
     # SAMPLE rows however many there are; so no task gathers a language.
-    hashed = F.xxhash64("doc_id")
+    hashed = F.xxhash64("doc_id", "text")
     bounds = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], -(2.0**63) + 2.0**64 * min(1.0, SPARE * SAMPLE / r["count"]))])
     ranked = Window.partitionBy("lang").orderBy(hashed, "doc_id", "text")
-    known = documents.select("doc_id", "lang", "text").filter(
-        "lang IS NOT NULL AND lang <> '' AND text IS NOT NULL AND doc_id IS NOT NULL"
-    ).filter(fold & (hashed <= F.element_at(bounds, F.col("lang"))) & F.col("text").rlike(r"\p{L}"))
+    known = usable.filter(hashed <= F.element_at(bounds, F.col("lang")))
     sample = known.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= SAMPLE)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 ALLOW, BLOCK = "allow", "block"
 RULES = "host string, path string, verdict string"
+#: Up to the first `://`; once there, a match does not go on to a later one.
+_START = r"(?s)^(?>.*?://)"
 
 
 def _ascii_lower(text: Column) -> Column:
@@ -21,12 +23,12 @@ def _ascii_lower(text: Column) -> Column:
 
 def host_of(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end; empty without `://`."""
-    return _ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
+    return _ascii_lower(F.coalesce(F.regexp_extract(url, _START + "([^/?#]*)", 1), F.lit("")))
 
 
 def path_of(url: Column) -> Column:
     """After the host up to `?`, `#` or the end; empty without `://`."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, _START + "[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def _digest(expression: Column) -> Column:

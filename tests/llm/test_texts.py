@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from docketry.llm import langid, toxicity
 from docketry.llm.chat import Template, format_conversations, token_mask
 from docketry.llm.licenses import scan_licenses, word_weights
-from docketry.llm.queries import URL_RULES, op6_toxicity, op8_language_id
+from docketry.llm.oracle import llm_oracles
+from docketry.llm.queries import URL_RULES, llm_queries, op6_toxicity, op8_language_id
 from docketry.llm.urls import RULES, judge_urls
+from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.1"
 
@@ -67,6 +69,28 @@ def test_url_rules(spark):
     assert {r.verdict for r in judge_urls(rows, spark.createDataFrame([], RULES), default="block").collect()} == {"block"}
 
 
+def test_a_later_scheme_is_no_path(spark, tmp_path):
+    """Redirects hold a second `://`; host and path are those of the first. Also as SQL tells."""
+    urls = ["http://a.com?next=https://c.com/de/1", "http://www.example.org#x://y/es/", "x://?://a.com/de/", "http://c.com/de/?u=http://example.org/es/",
+            "://example.org/es/x", "a://b://c.com/de/1", "http://" + "a?" * 50_000 + "://c.com/de/"]
+    spark.createDataFrame([*enumerate(urls)], "page_id bigint, url string").coalesce(1).write.parquet(f"{tmp_path}/p")
+    next((tmp_path / "p").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    got = {r.page_id: r for r in llm_queries()["op9_url_filter"](spark, str(tmp_path)).collect()}
+    assert [got[i].path for i in range(len(urls))] == ["", "", "", "/de/", "/es/x", "//c.com/de/1", ""]
+    assert [got[i].verdict for i in range(4)] == ["allow", "allow", "allow", "block"]
+    _, problems = differences(spark, connect(str(tmp_path)), llm_queries()["op9_url_filter"], llm_oracles()["op9_url_filter"], str(tmp_path))
+    assert not problems, problems
+
+
+def test_rows_without_text_do_not_crowd_out_a_language(spark):
+    rows = [(i, "le chat et la maison " + str(i), "fr") for i in range(6)] + [(100 + i, "the cat and the house " + str(i), "en") for i in range(6)]
+    rows = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    nothing = spark.range(1000, 21_000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN '12 !' END AS text", "'fr' AS lang")
+    same = spark.range(20_000).selectExpr("CAST(21 AS bigint) AS doc_id", "concat('el gato y la casa ', id) AS text", "'es' AS lang")
+    model = langid.fit(rows.unionByName(nothing).unionByName(same))
+    assert model.languages == ["en", "es", "fr"]
+
+
 def test_licenses(spark):
     texts = [
         "Released under the MIT  License. mit-license", "GNU General Public License, version 3", None, "", "limit license",
