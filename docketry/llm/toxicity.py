@@ -39,7 +39,9 @@ LEAST_RELEVANCE, UNIT_CHI = 0.0025, 25.0
 COUNTERS = 1 << 20
 NEAREST, BLOCK = 25, 64
 #: Blocks that are opened first, to tell which others need not be.
-FIRST_BLOCKS = 2
+FIRST_BLOCKS = (2, 8)
+#: Terms in most examples, whose postings are kept as a matrix, and rows looked up at once.
+HEAD, TOGETHER = 256, 128
 LEVELS = (1,)
 PREFIXES = (4, 5, 6)
 BREAKS = r"[^\pL\pN]+"
@@ -126,23 +128,29 @@ class Terms:
     words: pa.Array
     beginnings: dict[str, int]
 
-    @property
-    def width(self) -> int:
-        return len(self.words) + len(self.beginnings)
+    def __post_init__(self) -> None:
+        self.width = len(self.words) + len(self.beginnings)
+        self._beginning = pa.array([b[:-1] for b in self.beginnings], pa.string()), np.fromiter(self.beginnings.values(), "int64", len(self.beginnings))
 
     def counts(self, texts: pa.Array) -> Iterator[Sparse]:
         """Count of every word and known beginning of each text, slice by slice."""
         for start, stop, words, row, word, count in counted_words(as_texts(texts)):
             known = pc.index_in(pa.array(words, pa.string()), value_set=self.words)
             place = pc.fill_null(known, -1).to_numpy(zero_copy_only=False).astype("int64")
-            for i in np.flatnonzero(place < 0).tolist():
-                place[i] = self.width + zlib.crc32(words[i].encode()) % COUNTERS
+            unseen = np.flatnonzero(place < 0)
+            place[unseen] = [self.width + zlib.crc32(words[i].encode()) % COUNTERS for i in unseen.tolist()]
             blank = np.array([not w for w in words], bool)
             keep = ~blank[word] if len(word) else np.zeros(0, bool)
-            begun = [[self.beginnings[t] for t in _stems(w)[1:] if t in self.beginnings] for w in words]
-            fan = np.fromiter(map(len, begun), "int64", len(begun))
+            # Known beginnings of each distinct word, then of each pair.
+            spelled, length = pa.array(words, pa.string()), pc.utf8_length(pa.array(words, pa.string()))
+            begun = []
+            for n in PREFIXES:
+                begin = pc.if_else(pc.greater_equal(length, n), pc.utf8_slice_codeunits(spelled, 0, n), None)
+                begun.append(pc.fill_null(pc.index_in(begin, value_set=self._beginning[0], skip_nulls=True), -1).to_numpy(zero_copy_only=False))
+            begun = np.column_stack(begun) if words else np.zeros((0, len(PREFIXES)), "int64")
+            fan = (begun >= 0).sum(axis=1)
             hit = np.flatnonzero(fan[word] > 0) if len(word) else word
-            flat = np.array([t for found in begun for t in found], "int64")
+            flat = self._beginning[1][begun[begun >= 0]]
             more = flat[gather((np.cumsum(fan) - fan)[word[hit]], fan[word[hit]])] if len(hit) else flat[:0]
             whole = self.width + COUNTERS
             pair, back = np.unique(np.repeat(row[hit], fan[word[hit]]) * whole + more, return_inverse=True)
@@ -175,6 +183,16 @@ class Model:
         order = np.argsort(rows.place[inside], kind="stable")
         term = rows.place[inside][order].astype("int64")
         self.example, self.weight = rows.row[inside][order].astype("int32"), rows.value[inside][order]
+        # Long postings are a matrix of terms and examples, the others lists.
+        often = np.bincount(term, minlength=1)
+        long = np.sort(np.argsort(-often, kind="stable")[:HEAD])
+        self.head_at = np.full(len(self.weights), -1, "int16")
+        self.head_at[long[long < len(self.weights)]] = np.arange(len(long))[long < len(self.weights)]
+        self.head = np.zeros((HEAD, len(self.maxima) * BLOCK))
+        listed = self.head_at[term] < 0
+        self.head[self.head_at[term[~listed]], self.example[~listed]] = self.weight[~listed]
+        self.head_most = self.head.reshape(HEAD, -1, BLOCK).max(axis=2, initial=0) if len(self.maxima) else np.zeros((HEAD, 0))
+        term, self.example, self.weight = term[listed], self.example[listed], self.weight[listed]
         block = self.example // BLOCK
         # Pieces: the postings of a term within a block, with the largest weight among them.
         self.start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, "int64")
@@ -218,38 +236,56 @@ class Model:
         units = sparse(units)
         best = np.zeros((len(units), k), "float32")
         where = np.full((len(units), k), -1, "int64")
-        blocks, opened = len(self.maxima), 0
-        for i in range(len(units)):
-            here = np.s_[units.ptr[i]:units.ptr[i + 1]]
-            place, value = units.place[here], units.value[here].astype("float64")
-            fan = self.pieces[place + 1] - self.pieces[place]
-            piece, value = gather(self.pieces[place], fan), np.repeat(value, fan)
-            if not len(piece):
-                continue
-            owner = self.block[piece]
-            bound = np.bincount(owner, self.most[piece] * value, blocks)
-            wanted = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
-            done = np.zeros(blocks, bool)
-            score = np.zeros(blocks * BLOCK)
-            while len(wanted):
-                done[wanted] = True
-                chosen = np.isin(owner, wanted)
-                at = gather(self.start[piece[chosen]], self.size[piece[chosen]])
-                score += np.bincount(self.example[at], self.weight[at] * np.repeat(value[chosen], self.size[piece[chosen]]), len(score))
-                if skip is not None and skip[i] >= 0:
-                    score[skip[i]] = 0
-                opened += len(wanted)
-                least = np.partition(score, -k)[-k] if len(score) > k else 0
-                # Equal rounded cosines may go to an earlier example, so a bound that ties is opened too.
-                wanted = np.flatnonzero(~done & (bound > 0) & (bound + 2e-6 >= least))
-            cosine = np.round(score, 6)
-            there = np.flatnonzero(cosine > 0)
-            if len(there) > k:
-                there = there[cosine[there] >= np.partition(cosine[there], -k)[-k]]
-            there = there[np.lexsort((there, -cosine[there]))][:k]
-            where[i, :len(there)], best[i, :len(there)] = there, cosine[there]
+        opened = 0
+        for start in range(0, len(units) if len(self.maxima) else 0, TOGETHER):
+            rows = np.s_[start:start + TOGETHER]
+            opened += self._nearest(units.take(np.arange(len(units))[rows]), None if skip is None else skip[rows], where[rows], best[rows])
         return where, best, opened
 
+    def _nearest(self, units: Sparse, skip: np.ndarray | None, where: np.ndarray, best: np.ndarray) -> int:
+        """As `nearest`, for a few rows at once, into `where` and `best`; the number of blocks opened."""
+        n, blocks, k = len(units), len(self.maxima), where.shape[1]
+        row, place, value = units.row, units.place, units.value.astype("float64")
+        column = self.head_at[place]
+        dense = np.zeros((n, self.head.shape[0]))
+        dense[row[column >= 0], column[column >= 0]] = value[column >= 0]
+        fan = self.pieces[place + 1] - self.pieces[place]
+        piece, value, row = gather(self.pieces[place], fan), np.repeat(value, fan), np.repeat(row, fan)
+        owner = self.block[piece]
+        bound = dense @ self.head_most + np.bincount(row * blocks + owner, self.most[piece] * value, n * blocks).reshape(n, blocks)
+        done = np.zeros((n, blocks), bool)
+        score = np.zeros((n, blocks * BLOCK))
+        wanted, opened = bound > 0, 0
+        for most in (*FIRST_BLOCKS, blocks):
+            if most < blocks:  # the most promising ones first, to tell which others need not be
+                order = np.argsort(np.where(wanted, -bound, 0), axis=1, kind="stable")[:, :most]
+                few = np.zeros_like(wanted)
+                np.put_along_axis(few, order, True, axis=1)
+                wanted &= few
+            for at in np.flatnonzero(wanted.any(axis=0)):
+                here = np.flatnonzero(wanted[:, at])
+                score[here, at * BLOCK:(at + 1) * BLOCK] += dense[here] @ self.head[:, at * BLOCK:(at + 1) * BLOCK]
+            chosen = wanted[row, owner]
+            sizes = self.size[piece[chosen]]
+            post = gather(self.start[piece[chosen]], sizes)
+            cell = np.repeat(row[chosen] * score.shape[1], sizes) + self.example[post]
+            score += np.bincount(cell, self.weight[post] * np.repeat(value[chosen], sizes), score.size).reshape(score.shape)
+            if skip is not None:
+                score[skip >= 0, skip[skip >= 0]] = 0
+            opened += int(wanted.sum())
+            done |= wanted
+            least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.zeros(n)
+            # Equal rounded cosines may go to an earlier example, so a bound that ties is opened too.
+            wanted = ~done & (bound > 0) & (bound + 2e-6 >= least[:, None])
+        least = np.maximum(np.round(least, 6), 1e-6)
+        for i in range(n):
+            there = np.flatnonzero(score[i] > least[i] - 1e-6)
+            cosine = np.round(score[i, there], 6)
+            there, cosine = there[cosine >= least[i]], cosine[cosine >= least[i]]
+            first = np.lexsort((there, -cosine))[:k]
+            where[i, :len(first)], best[i, :len(first)] = there[first], cosine[first]
+        return opened
+
     def raw(self, units: np.ndarray | Sparse, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         where, cosine, _ = self.nearest(units, skip)
         there = where >= 0
