@@ -39,7 +39,7 @@ from docketry.llm.batches import as_texts, gather, slices
 #: Symbols read in one window beside the lookahead.
 WINDOW = 8192
 #: Chunks, and words, whose tokens a worker remembers; it starts anew when they are more.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Texts above this many characters are encoded piece by piece.
 PIECE = 1 << 20
 #: Bytes of a word up to which many are merged at once and remembered.

@@ -22,7 +22,7 @@ from docketry.llm.bpe import encoder
 LIMIT = 4096
 END_OF_DOCUMENT = 2
 #: Pieces gathered into one batch of output.
-OUT_TOKENS = 1 << 20
+OUT_TOKENS = 1 << 17
 
 
 def lengths(n: int, limit: int = LIMIT) -> list[int]:

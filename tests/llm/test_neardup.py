@@ -118,6 +118,20 @@ def test_pipeline(spark):
     assert whole.columns == packed.columns and whole.count() == packed.count()
 
 
+def test_one_row_of_a_group_stays_whatever_its_ids(spark):
+    words = [f"word{i}" for i in range(60)]
+    near = [" ".join(words[:50 + k]) for k in range(4)]
+    rows = [(5, near[0]), (5, near[1]), (None, near[2]), (None, near[3]), (5, near[0]), (5, "quite another text of its own"), (None, "and one more without an id"),
+            (3, None), (3, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id bigint, text string, component_id string, ROW string").repartition(3)
+    stay = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert stay.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in stay.collect()), key=str)
+    assert sum(t in near for _, t in left) == 1 and next(i for i, t in left if t in near) == 5
+    assert sorted((x for x in left if x[1] not in near), key=str) == sorted((x for x in rows if x[1] not in near), key=str)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), SF).count() == 0
+
+
 def test_pipeline_on_odd_documents(spark):
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "the cat and the dog", "en", "s", 5), (2, "the cat and the dog", "en", "s", 5), (3, "!!", None, None, 2)]
