@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm import langid
 from docketry.llm import toxicity as toxic
+from docketry.llm.components import saved
 from docketry.llm.neardup import near_duplicates
 from docketry.llm.packing import pack
 from docketry.session import fresh_folder
@@ -40,10 +41,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; repeated rows of an id and text count as one."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """One document of each group of near duplicates, that of the smallest id; nulls go last.
+
+    Rows are documents of their own, whatever their ids: they are numbered as they are written
+    to the shared folder, and one row of each group stays, also among rows of one id, null ids
+    and repeated rows. Texts without a word are like no other, so all of them stay.
+    """
+    number = "row"
+    while number.lower() in {c.lower() for c in docs.columns}:
+        number += "_"
+    numbered = saved(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered.select(F.col(number).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    ids = numbered.select(F.col(number).alias("row"), "doc_id").join(groups, "row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    kept = ids.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(number))
+    return numbered.join(kept, number, "left_semi").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
