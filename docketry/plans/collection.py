@@ -36,7 +36,9 @@ POINT_SCHEMA = T.StructType(
     [*RECORD_SCHEMA.fields, T.StructField("point_id", T.StringType()), T.StructField("vector", VECTOR)]
 )
 POINT_FIELDS = tuple(POINT_SCHEMA.names)
-_ORDERED = T.StructType([*POINT_SCHEMA.fields, T.StructField("seq", T.LongType())])
+# The place at which a row was given: by file, by block of the file, by row.
+_PLACE = T.StructType([T.StructField("file", T.StringType()), T.StructField("start", T.LongType()), T.StructField("row", T.LongType())])
+_ORDERED = T.StructType([*POINT_SCHEMA.fields, T.StructField("seq", _PLACE)])
 
 _COMMIT_SCHEMA = (
     "version long, base string, changes array<struct<version:long,folder:string>>, "
@@ -131,7 +133,9 @@ class Collection:
     def _ordered(self, records: DataFrame) -> DataFrame:
         """Points of the records with the order in which they were given."""
         order = F.col("seq") if "seq" in records.columns else F.monotonically_increasing_id()
-        points = embed(records.withColumn("seq", order.cast("long")), self.embedder)
+        if "seq" not in records.columns or not isinstance(records.schema["seq"].dataType, T.StructType):
+            order = F.struct(F.lit(""), F.lit(0), order)
+        points = embed(records.withColumn("seq", order.cast(_PLACE)), self.embedder)
         return points.select(*POINT_FIELDS, "seq")
 
     def upsert(self, records: DataFrame, batch: str | None = None) -> int:
@@ -164,7 +168,7 @@ class Collection:
         # The others of these ids are put back in the same commit.
         first = latest(hit, "patent_id", [F.asc("point_id")]).select("point_id")
         n = first.count()
-        rest = hit.join(first, "point_id", "left_anti").select(*POINT_FIELDS, F.lit(0).cast("long").alias("seq"))
+        rest = hit.join(first, "point_id", "left_anti").select(*POINT_FIELDS, F.lit(None).cast(_PLACE).alias("seq"))
         kept = self._fresh("changes", version)
         rest.write.parquet(f"{self.path}/{kept}")
         self._commit(base, [*changes, (version, kept)], [*gone, (version, folder)], version)

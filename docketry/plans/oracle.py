@@ -376,6 +376,21 @@ def all_oracles() -> dict[str, str]:
           UNION ALL SELECT patent_id, {XML_TITLE}, {clean("abstract")}, technology_field, country, 'Published' FROM rec WHERE quality IS NULL"""),
         "src_csv_strict": with_(BASE, f"""SELECT patent_id, {strip("title")} AS title, country, '' AS status FROM rec
           WHERE country <> 'ES' AND coalesce(toxic, 0) <> 1"""),
+        "src_csv_split": with_(BASE, "SELECT patent_id, title, abstract, status FROM rec"),
+        "src_directory_mixed": with_(BASE + CSV_ENHANCED, """SELECT patent_id, title,
+          CASE status WHEN 'Granted' THEN 'c' WHEN 'Published' THEN 'b' ELSE 'Published' END AS status FROM enhanced"""),
+        "validate_csv": with_(BASE, """SELECT country AS kind, country <> 'ES' AS is_valid,
+            CASE WHEN country = 'ES' THEN 'rows longer than the header' ELSE '' END AS errors,
+            'missing recommended columns: abstract, inventors, assignees, filing_date'
+              || CASE WHEN country = 'FR' AND bool_or(doc_id % 2 = 0) THEN '; missing patent ids' ELSE '' END
+              || CASE WHEN country = 'DE' AND count(*) > 1 THEN '; duplicate patent ids' ELSE '' END AS warnings,
+            count(*) AS records FROM rec GROUP BY country"""),
+        "validate_json": with_(BASE, """SELECT country AS kind, country NOT IN ('DE', 'ES') AS is_valid,
+            CASE country WHEN 'DE' THEN 'invalid JSON' WHEN 'ES' THEN 'missing fields: title' ELSE '' END AS errors,
+            '' AS warnings, CASE WHEN country <> 'DE' THEN count(*) + 1 END AS records FROM rec GROUP BY country"""),
+        "validate_xml": with_(BASE, """SELECT country AS kind, country <> 'DE' AS is_valid, CASE WHEN country = 'DE' THEN 'invalid XML' ELSE '' END AS errors,
+            CASE WHEN country = 'FR' THEN 'no patent elements' ELSE '' END AS warnings,
+            CASE WHEN country = 'FR' THEN 0 ELSE count(*) END AS records FROM rec GROUP BY country"""),
         "file_profile": """SELECT * FROM (VALUES ('csv', true, (SELECT count(*) FROM documents JOIN labels USING (doc_id))),
           ('txt', false, NULL), ('xml', true, NULL)) t(suffix, supported, records)""",
         "quality_report": f"""WITH {TURNS},
@@ -392,7 +407,8 @@ def all_oracles() -> dict[str, str]:
         "roundtrip_json": with_(BASE, flat("rec")),
         "json_roundtrip": with_(BASE, flat("rec")),
         "export_limit": with_(BASE, f"SELECT point_id, patent_id, title FROM rec ORDER BY point_id LIMIT {Q.EXPORTED}"),
-        "export_limit_by_range": with_(BASE, f"SELECT point_id, patent_id, title FROM rec ORDER BY point_id LIMIT {Q.EXPORTED}"),
+        "export_limit_by_range": with_(BASE, f"""SELECT point_id, patent_id, title FROM rec
+          WHERE point_id BETWEEN '{Q.EXPORT_RANGE[0]}' AND '{Q.EXPORT_RANGE[1]}' ORDER BY point_id LIMIT {Q.EXPORTED}"""),
         "upsert_latest": with_(f"{BASE}, {ARRIVALS}", f"SELECT {CURRENT} FROM rec WHERE point_id NOT IN (SELECT point_id FROM arrivals) UNION ALL SELECT {CURRENT} FROM arrivals"),
         "update_by_id": with_(f"{BASE}, {ARRIVALS}", f"SELECT {CURRENT} FROM rec WHERE patent_id NOT IN (SELECT patent_id FROM arrivals) UNION ALL SELECT {CURRENT} FROM arrivals"),
         "delete_by_id": with_(BASE, f"SELECT {CURRENT} FROM rec WHERE coalesce(toxic, 0) <> 1"),

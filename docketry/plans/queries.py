@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from docketry.plans.tables import (
 )
 from docketry.schema import LIST_FIELDS, RECORD_FIELDS, RECORD_SCHEMA, SAVED_QUERIES
 from docketry.session import fresh_folder, spread_if_narrow
+from docketry.sources import validate
 from docketry.sources.load import read_csv, read_directory, read_json, read_xml
 from docketry.sources.markup import extract_html, extract_xml
 from docketry.sources.profile import file_profile, quality_report
@@ -51,6 +53,7 @@ PREVIEW_LIMIT = 20
 SIMILAR_TO = "D0"
 CELLS = 16
 EXPORTED = 300
+EXPORT_RANGE = ("4", "c")
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -178,6 +181,83 @@ def src_csv_strict(spark, sf):
     return rows.select("patent_id", "title", "country", "status")
 
 
+@query
+def src_csv_split(spark, sf):
+    """All documents in one CSV file, with their line breaks, which Spark cuts where it likes."""
+    path = fresh_folder(spark, "csv")
+    write_csv(records(spark, sf).orderBy("doc_id").coalesce(1), path)
+    return scan_csv(spark, path).select("patent_id", "title", "abstract", "status")
+
+
+@query
+def src_directory_mixed(spark, sf):
+    """Files of two headers and a JSON file, in which a later file writes labelled records again."""
+    path = fresh_folder(spark, "headers")
+    source = records(spark, sf)
+    again = source.filter(F.col("quality").isNotNull())
+    for name, frame in (
+        ("a", source.select("patent_id", "title", "country")),
+        ("b", again.select(F.lit("b").alias("status"), "title", "patent_id")),
+    ):
+        frame.coalesce(1).write.csv(f"{path}/{name}", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    third = again.filter(F.col("quality") == 1).select("patent_id", "title", F.lit("c").alias("status"))
+    third.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(f"{path}/c")
+    parts = [read_csv(spark, [f"{path}/a", f"{path}/b"]).records, read_json(spark, f"{path}/c", lines=True).records]
+    places = parts[0].unionByName(parts[1])
+    return changes.latest(places, "patent_id", [F.desc("seq")]).select("patent_id", "title", "status")
+
+
+def _one_file_each(lines: DataFrame, ends: list[tuple[str, str, str]], path: str) -> str:
+    """Lines (kind, value) as a file for each kind, between its first and its last line."""
+    spark = lines.sparkSession
+    kinds = spark.createDataFrame(ends, "kind string, first string, last string")
+    first = kinds.select("kind", F.lit(0).alias("at"), F.col("first").alias("value"))
+    last = kinds.select("kind", F.lit(2).alias("at"), F.col("last").alias("value")).filter("value <> ''")
+    whole = lines.select("kind", F.lit(1).alias("at"), "value").unionByName(first).unionByName(last)
+    whole.repartition("kind").sortWithinPartitions("kind", "at").select("kind", "value").write.partitionBy("kind").text(path)
+    return path
+
+
+def _verdicts(spark, folder: str, checks) -> DataFrame:
+    found = reduce(DataFrame.unionByName, checks(spark, f"{folder}/kind=*/*", "*"))
+    return found.select(
+        F.regexp_extract(SOURCE, r"kind=([^/]*)/", 1).alias("kind"), (F.size("errors") == 0).alias("is_valid"),
+        F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"), "records",
+    )
+
+
+@query
+def validate_csv(spark, sf):
+    """A file for each language: Spanish rows with a cell too many, some French ones without
+    an id, all German ones with the same."""
+    patent_id = F.when((F.col("country") == "FR") & (F.col("doc_id") % 2 == 0), "").when(F.col("country") == "DE", "D").otherwise(F.col("patent_id"))
+    title = F.concat(F.lit('"'), F.replace("title", F.lit('"'), F.lit('""')), F.lit('\n"'))
+    line = F.concat_ws(",", patent_id, title, "country", F.when(F.col("country") == "ES", "more"))
+    lines = records(spark, sf).select(F.col("country").alias("kind"), line.alias("value"))
+    ends = [(k, "patent_id,title,country", "") for k in ("EN", "FR", "DE", "ES")]
+    return _verdicts(spark, _one_file_each(lines, ends, fresh_folder(spark, "validate")), validate.csv_findings)
+
+
+@query
+def validate_json(spark, sf):
+    """A file for each language: a list, one under a wrapper key, one that is cut short, one without titles."""
+    one = F.when(F.col("country") == "ES", F.to_json(F.struct("patent_id"))).otherwise(F.to_json(F.struct("patent_id", "title")))
+    lines = records(spark, sf).select(F.col("country").alias("kind"), F.concat(one, F.lit(",")).alias("value"))
+    ends = [("EN", "[", "5]"), ("FR", '{"patents": [], "results": [', '"x"]}'), ("DE", "[", ""), ("ES", "[", "5]")]
+    return _verdicts(spark, _one_file_each(lines, ends, fresh_folder(spark, "validate")), validate.json_files)
+
+
+@query
+def validate_xml(spark, sf):
+    """A file for each language: two of patents, one of other elements, one that is not closed."""
+    one = F.to_xml(F.struct("country", "title"), {"rowTag": "patent-document"})
+    one = F.when(F.col("country") == "FR", F.replace(one, F.lit("patent-document"), F.lit("other"))).otherwise(one)
+    lines = records(spark, sf).select(F.col("country").alias("kind"), one.alias("value"))
+    ends = [(k, "<all>", "" if k == "DE" else "</all>") for k in ("EN", "FR", "DE", "ES")]
+    found = _verdicts(spark, _one_file_each(lines, ends, fresh_folder(spark, "validate")), validate.xml_files)
+    return found.withColumn("errors", F.substring("errors", 1, 11))
+
+
 @query
 def file_profile_(spark, sf):
     files = file_profile(spark, mixed_folder(spark, sf))
@@ -231,7 +311,9 @@ def export_limit(spark, sf):
 
 @query
 def export_limit_by_range(spark, sf):
-    return first_points(_keyed(spark, sf), EXPORTED).select("point_id", "patent_id", "title")
+    """The first points of a range of point ids, as one of several exports side by side takes them."""
+    inside = _keyed(spark, sf).filter(F.col("point_id").between(*EXPORT_RANGE))
+    return first_points(inside, EXPORTED).select("point_id", "patent_id", "title")
 
 
 def _arrivals(spark, sf) -> DataFrame:

@@ -13,13 +13,14 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local-mode session may fall back to a folder of this machine.
+    Where the setting is unset, a session in one process sets its own, once.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
+    if not folder and spark.conf.get("spark.master", "").split("[")[0] == "local":
+        folder = tempfile.mkdtemp(prefix="docketry-")
+        spark.conf.set(CHECKPOINT_CONF, folder)
     if folder:
         return folder.rstrip("/")
-    if spark.conf.get("spark.master", "").split("[")[0] == "local":
-        return tempfile.mkdtemp(prefix="docketry-")
     raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
 
 
@@ -28,6 +29,14 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/docketry/{purpose}-{uuid.uuid4().hex}"
 
 
+def saved(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame written to the shared folder and read again: it is computed once, and a lost
+    executor costs no more than reading it again."""
+    folder = fresh_folder(frame.sparkSession, purpose)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
 def spread(frame: DataFrame, partitions: int | None = None) -> DataFrame:
     """Deal rows evenly, over the session's shuffle partitions unless told otherwise.
 

@@ -12,7 +12,7 @@ from docketry.operators.normalize import REASON, accepted, enhance, normalize, r
 from docketry.schema import RECORD_FIELDS
 from docketry.session import spread
 from docketry.sources.markup import extract_xml
-from docketry.sources.scan import ORDER, SOURCE, csv_layouts, scan_csv, scan_json, scan_xml
+from docketry.sources.scan import ORDER, ORDER_TYPE, SOURCE, csv_scans, scan_json, scan_xml
 
 SUPPORTED = {"csv": "csv", "json": "json", "xml": "xml", "rdf": "xml"}
 
@@ -33,15 +33,20 @@ def _loaded(raw: DataFrame, on_unknown: str) -> Loaded:
 def read_csv(
     spark: SparkSession, path: str | list[str], on_unknown: str = "reject", multi_line: bool = True, **options
 ) -> Loaded:
-    """Files of different headers are read by header, each by its own."""
-    parts = []
-    for paths in csv_layouts(spark, path, options.get("glob", "*")):
-        raw = scan_csv(spark, paths, multi_line=multi_line, **options)
-        # A file that may hold line breaks in cells is read by one task, however large.
-        parts.append(_loaded(spread(raw) if multi_line else raw, on_unknown))
+    """Files of different headers are read by header, each by its own; no files give no rows."""
+    parts = [_loaded(raw, on_unknown) for raw in csv_scans(spark, path, multi_line=multi_line, **options)]
+    return _together(parts) if parts else nothing_loaded(spark)
+
+
+def _together(parts: list[Loaded]) -> Loaded:
     return Loaded(*(reduce(DataFrame.unionByName, side) for side in zip(*parts)))
 
 
+def nothing_loaded(spark: SparkSession) -> Loaded:
+    nothing = spark.createDataFrame([], ", ".join([*(f"{c} string" for c in RECORD_FIELDS), f"{SOURCE} string", f"{ORDER} {ORDER_TYPE}"]))
+    return _loaded(nothing, "reject")
+
+
 def read_json(
     spark: SparkSession, path: str | list[str], on_unknown: str = "reject", lines: bool = False, **options
 ) -> Loaded:
@@ -75,23 +80,26 @@ def any_case(suffix: str) -> str:
     return "".join(f"[{c}{c.upper()}]" for c in suffix)
 
 
-def read_directory(spark: SparkSession, path: str, pattern: str = "*", on_unknown: str = "reject") -> Loaded:
-    """Every supported file of a folder by its suffix; other files become rejects."""
+def read_directory(
+    spark: SparkSession, path: str, pattern: str = "*", on_unknown: str = "reject", options: dict[str, dict] | None = None
+) -> Loaded:
+    """Every supported file of a folder by its suffix; other files become rejects.
+
+    `options` has for "csv", "json" and "xml" those of the reader (`encoding`, `lines`, `row_tag`
+    and so on). The place of a record (`seq`) goes by file name over all formats.
+    """
+    if unknown := (options or {}).keys() - _READERS.keys():
+        raise ValueError(f"no reader for {sorted(unknown)}")
     files = list_files(spark, path, pattern)
-    suffixes = {r.suffix for r in files.select("suffix").distinct().collect()}
+    known = F.col("suffix").isin(*SUPPORTED)
+    suffixes = {r.suffix for r in files.filter(known).select("suffix").distinct().collect()}
     parts = []
-    for suffix in sorted(suffixes & SUPPORTED.keys()):
+    for suffix in sorted(suffixes):
         reader = _READERS[SUPPORTED[suffix]]
-        options = {} if reader is read_xml else {"on_unknown": on_unknown}
-        parts.append(reader(spark, f"{path}/*.{any_case(suffix)}", glob=pattern, **options))
-    unsupported = files.filter(~F.col("suffix").isin(*SUPPORTED)).select(
-        SOURCE, F.concat(F.lit("unsupported:"), "suffix").alias(REASON)
-    )
+        chosen = {"glob": pattern} | ({} if reader is read_xml else {"on_unknown": on_unknown}) | (options or {}).get(SUPPORTED[suffix], {})
+        parts.append(reader(spark, f"{path}/*.{any_case(suffix)}", **chosen))
+    unsupported = files.filter(~known).select(SOURCE, F.concat(F.lit("unsupported:"), "suffix").alias(REASON))
     if not parts:
-        nothing = spark.createDataFrame([], ", ".join(f"{c} string" for c in RECORD_FIELDS))
-        empty = normalize(nothing).drop(REASON).withColumn(ORDER, F.lit(0).cast("long"))
-        return Loaded(empty, unsupported)
-    return Loaded(
-        reduce(DataFrame.unionByName, [p.records for p in parts]),
-        reduce(DataFrame.unionByName, [p.rejects.select(SOURCE, REASON) for p in parts]).unionByName(unsupported),
-    )
+        return Loaded(nothing_loaded(spark).records, unsupported)
+    records, rejects = _together([Loaded(p.records, p.rejects.select(SOURCE, REASON)) for p in parts])
+    return Loaded(records, rejects.unionByName(unsupported))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketry.operators.normalize import REASON
 from docketry.schema import RECOMMENDED_FIELDS, REQUIRED_FIELDS
 from docketry.sources.load import SUPPORTED, any_case, list_files
-from docketry.sources.scan import ORDER, SOURCE, csv_layouts, json_elements, scan_csv
+from docketry.sources.scan import ORDER, SOURCE, csv_scans, json_elements
 
 
 def file_profile(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -23,8 +23,7 @@ def file_profile(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
         at = f"{path}/*.{any_case(suffix)}"
         if suffix == "csv":
             part = None
-            for paths in csv_layouts(spark, at, pattern):
-                rows = scan_csv(spark, paths, glob=pattern)
+            for rows in csv_scans(spark, at, glob=pattern):
                 names = [c for c in rows.columns if c not in (SOURCE, ORDER, REASON)]
                 columns = F.array(*[F.lit(c) for c in names])
                 counted = rows.groupBy(SOURCE).agg(F.count("*").alias("records")).withColumn("columns", columns)
@@ -37,7 +36,8 @@ def file_profile(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
                 F.when(size >= 0, size).cast("bigint").alias("records"),
                 F.lit(None).cast("array<string>").alias("columns"),
             )
-        counts = part if counts is None else counts.unionByName(part)
+        if part is not None:
+            counts = part if counts is None else counts.unionByName(part)
     if counts is None:
         counts = spark.createDataFrame([], f"{SOURCE} string, records bigint, columns array<string>")
     return files.join(counts, SOURCE, "left").select(

@@ -13,10 +13,14 @@ from pyspark.sql import types as T
 from docketry.functions import text
 from docketry.operators.normalize import REASON
 from docketry.schema import LIST_FIELDS, RECORD_FIELDS
+from docketry.sources import splits
+from docketry.sources.splits import SOURCE, START
 
-SOURCE = "source_file"
-# Place of a row among those read, so that the last of two equal records is known.
+# Place of a row among those read, so that the last of two equal records is known: by file
+# name, by the block of the file that a task read, by the row in it.
 ORDER = "seq"
+ORDER_TYPE = "struct<file: string, start: bigint, row: bigint>"
+ROW = "block_row"
 _BAD_ROW = "_bad_row"
 _WRAPPERS = ("patents", "data", "results")
 XML_ROW_TAGS = ("patent-document", "patent")
@@ -26,8 +30,16 @@ def _file() -> Column:
     return F.col("_metadata.file_path").alias(SOURCE)
 
 
+def _block() -> Column:
+    return F.col("_metadata.file_block_start").alias(START)
+
+
 def in_order(raw: DataFrame) -> DataFrame:
-    return raw.withColumn(ORDER, F.monotonically_increasing_id())
+    """With the place of each row. Numbers of rows grow within a block, whatever its task."""
+    start = F.col(START) if START in raw.columns else F.lit(0).cast("long")
+    row = F.col(ROW) if ROW in raw.columns else F.monotonically_increasing_id()
+    place = F.struct(F.col(SOURCE).alias("file"), start.alias("start"), row.alias("row"))
+    return raw.withColumn(ORDER, place).drop(START, ROW)
 
 
 def _is_utf8(encoding: str) -> bool:
@@ -54,37 +66,76 @@ def _whole_texts(reader, path: str | list[str], encoding: str, declared=None) ->
     return stored.select(F.call_function("decode", "content", charset).alias("value"), _file())
 
 
-def csv_layouts(spark: SparkSession, path: str | list[str], glob: str = "*") -> list[str | list[str]]:
-    """The paths to read together: all of `path` where its CSV files have one header, else the
-    files of each header."""
-    lines = spark.read.option("pathGlobFilter", glob).text(path)
-    first = lines.select("value", _file(), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias(ORDER))
-    headers = first.filter("start = 0").groupBy(SOURCE).agg(F.min_by("value", ORDER).alias("header"))
-    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list(SOURCE)).alias("files")).orderBy("header")
-    # One header is the rule, and then no file names need to be fetched.
-    if headers.select("header").distinct().limit(2).count() < 2:
-        return [path]
-    return [r.files for r in groups.collect()]
+def declared_texts(reader, path: str | list[str], xml: bool = False) -> DataFrame:
+    """Each file as one text `value`, UTF-8 unless an XML file names another encoding; bytes
+    that are wrong become replacement characters."""
+    stored = reader.schema(_BINARY).format("binaryFile").load(path)
+    charset = F.coalesce(_declared(F.col("content")), F.lit("UTF-8")) if xml else F.lit("UTF-8")
+    lossy = F.decode("content", "UTF-8") if not xml else F.call_function("decode", "content", charset)
+    return stored.select(lossy.alias("value"), _file())
 
 
-def scan_csv(
+def csv_scans(
     spark: SparkSession,
     path: str | list[str],
     encoding: str = "utf-8",
     strict: bool = False,
     multi_line: bool = True,
     glob: str = "*",
-) -> DataFrame:
-    """CSV with a header row; blank cells become empty text.
+) -> list[DataFrame]:
+    """A frame for each header of the CSV files below `path`; blank cells become empty text.
 
-    Every file below `path` must have the same header: another one fails the job, since
-    its cells would land in the wrong columns (`csv_layouts` parts such files). A row longer than the header is set
-    aside; `strict` sets shorter rows aside too. `multi_line=False` lets Spark split
-    large files where no quoted cell holds a line break.
+    A row longer than the header is set aside; `strict` sets shorter rows aside too. Files in
+    UTF-8 are cut by Spark, also where cells hold line breaks (`multi_line`); those in another
+    encoding that hold line breaks are read by one task each.
     """
+    if multi_line and _is_utf8(encoding):
+        found = []
+        for layout in splits.layouts(spark, path, glob):
+            stored = splits.rows(spark, layout, glob).withColumnRenamed("row", ROW)
+            found.append(in_order(_cells(stored, layout.columns, strict)))
+        return found
     reader = spark.read.options(encoding=encoding, multiLine=str(multi_line).lower(), pathGlobFilter=glob, **CSV_OPTIONS)
-    columns = reader.csv(path).columns
-    return in_order(csv_rows(reader, path, columns, strict))
+    found = []
+    for paths in _by_header(spark, path, encoding, glob):
+        found.append(in_order(csv_rows(reader, paths, reader.csv(paths).columns, strict)))
+    return found
+
+
+def _by_header(spark: SparkSession, path: str | list[str], encoding: str, glob: str) -> list[str | list[str]]:
+    """The paths to read together: all of `path` where its CSV files have one header."""
+    stored = spark.read.options(pathGlobFilter=glob, encoding=encoding, sep="\x01", quote="").schema("value string").csv(path)
+    first = stored.select("value", _file(), _block(), F.monotonically_increasing_id().alias(ROW))
+    heads = first.filter(F.col(START) == 0).groupBy(SOURCE).agg(F.min_by("value", ROW).alias("header"))
+    headers = [r.header for r in heads.select("header").distinct().orderBy("header").collect()]
+    if len(headers) < 2:
+        return [path] if headers else []
+    return [[r[0] for r in heads.filter(F.col("header") == h).select(SOURCE).orderBy(SOURCE).collect()] for h in headers]
+
+
+def scan_csv(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """CSV files of one header (see csv_scans); files of several fail."""
+    found = csv_scans(spark, path, **options)
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} headers below {path}; read_csv takes files of several")
+    return found[0]
+
+
+def _cells(stored: DataFrame, columns: list[str], strict: bool) -> DataFrame:
+    """Columns of the text of each row."""
+    names = [f"c{i} string" for i in range(len(columns))]
+    options = {"escape": '"', "multiLine": "true", "columnNameOfCorruptRecord": _BAD_ROW, "maxCharsPerColumn": "-1"}
+    # A long row fills the spare column.
+    cells = stored.withColumn("cells", F.from_csv("value", ", ".join([*names, "more string"]), options))
+    wrong = F.col("cells.more").isNotNull()
+    if strict:
+        exact = F.from_csv("value", ", ".join([*names, f"{_BAD_ROW} string"]), options)
+        wrong = wrong | exact[_BAD_ROW].isNotNull()
+    return cells.select(
+        *[F.coalesce(F.col(f"cells.c{i}"), F.lit("")).alias(c) for i, c in enumerate(columns)],
+        F.when(wrong, "width").alias(REASON),
+        SOURCE, START, ROW,
+    )
 
 
 CSV_OPTIONS = {
@@ -117,6 +168,7 @@ def csv_rows(reader, path: str | list[str], columns: list[str], strict: bool = F
         *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns],
         F.when(wrong_width, "width").alias(REASON),
         _file(),
+        _block(),
     )
 
 
@@ -175,7 +227,7 @@ def _fields(elements: DataFrame, on_unknown: str, ordered: bool = True) -> DataF
 def json_lines(reader, path: str | list[str], on_unknown: str = "reject", ordered: bool = True) -> DataFrame:
     """The records that a batch or stream reader finds in UTF-8 files of a record per line."""
     stored = reader.text(path).filter(F.trim("value") != "")
-    return _fields(stored.select(F.try_parse_json("value").alias("v"), _file()), on_unknown, ordered)
+    return _fields(stored.select(F.try_parse_json("value").alias("v"), _file(), _block()), on_unknown, ordered)
 
 
 def json_records(documents: DataFrame, on_unknown: str = "reject", strict: bool = True) -> DataFrame:
@@ -202,7 +254,7 @@ def scan_json(
     if lines:
         # The text reader knows UTF-8 only, the JSON reader any encoding.
         stored = reader.options(encoding=encoding, lineSep="\n", singleVariantColumn="v").json(path)
-        return _fields(stored.select("v", _file()), on_unknown)
+        return _fields(stored.select("v", _file(), _block()), on_unknown)
     spark_skips = spark.conf.get("spark.sql.files.ignoreCorruptFiles", "false") == "true"
     return json_records(_whole_texts(reader, path, encoding), on_unknown, strict=not spark_skips)
 
@@ -218,7 +270,7 @@ def cut_xml(reader, path: str | list[str], row_tag: str) -> DataFrame:
     opening = rf"(?s)<{row_tag}(?:\s[^>]*)?>.*"
     body = F.regexp_extract(F.concat("value", F.lit(closing)), opening, 0)
     pieces = reader.option("lineSep", closing).text(path)
-    return pieces.select(body.alias("xml"), _file()).filter(F.col("xml") != "")
+    return pieces.select(body.alias("xml"), _file(), _block()).filter(F.col("xml") != "")
 
 
 def scan_xml(

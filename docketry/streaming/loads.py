@@ -12,7 +12,7 @@ from docketry.plans.collection import Collection
 from docketry.schema import LIST_FIELDS, RECORD_FIELDS
 from docketry.session import spread
 from docketry.sources.markup import extract_xml
-from docketry.sources.scan import CSV_OPTIONS, ORDER, SOURCE, csv_rows, cut_xml, in_order, json_lines, whole_xml
+from docketry.sources.scan import CSV_OPTIONS, ORDER, SOURCE, START, csv_rows, cut_xml, in_order, json_lines, whole_xml
 
 _TYPED = T.StructType([
     T.StructField(c, T.ArrayType(T.StringType()) if c in LIST_FIELDS else T.StringType()) for c in RECORD_FIELDS
@@ -48,6 +48,7 @@ def stream_raw(
 
 def _checked(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Normal rows with a `reject_reason`, by the steps of the batch readers."""
+    raw = raw.drop(START)
     keep = (*(c for c in (SOURCE,) if c in raw.columns), *keep)
     return extract_xml(raw, keep=keep) if "xml" in raw.columns else normalize(raw, keep=keep)
 
