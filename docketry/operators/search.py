@@ -13,13 +13,15 @@ from pyspark.sql.window import Window
 
 from docketry.functions.record import abstract_preview
 from docketry.functions.vectors import cosine_matrix, cosine_to, to_matrix
+from docketry.session import saved
 
 SCORE = "similarity_score"
 LIMIT = 10
 SEMANTIC_MIN_SCORE = 0.5
 SIMILAR_LIMIT = 5
-# Bytes of one query matrix, which goes to every task; there are as many as it takes.
-QUERY_MATRIX_BYTES = 16 << 20
+# Bytes of one query matrix, and of the points a task holds while matrices pass.
+QUERY_MATRIX_BYTES = 4 << 20
+PART_BYTES = 64 << 20
 # Parts in which the hits of one query are merged before they meet.
 MERGE_PARTS = 32
 # Scores held in memory at one time.
@@ -110,13 +112,13 @@ _NO_HITS = pa.schema([("query_id", pa.string()), ("point_id", pa.string()), (SCO
 class _Best:
     """The best rows per query over the batches seen so far."""
 
-    def __init__(self, ids: Sequence[str], matrix: np.ndarray, fields: Sequence[str | None], limit: int, min_score: float):
+    def __init__(self, ids: Sequence[str], matrix: np.ndarray, fields: Sequence[str | None], limit: int, floors: np.ndarray):
         self.ids = np.array(ids, dtype=object)
         self.matrix, self.limit = matrix, limit
         self.codes = {f: i for i, f in enumerate(sorted({f for f in fields if f is not None}))}
         self.wanted = np.array([self.codes.get(f, _ANY) if f is not None else _ANY for f in fields], dtype="int64")
         # A row must reach this score to be among the best of a query.
-        self.floor = np.full(len(ids), float(min_score))
+        self.floor = np.array(floors, "float64")
         self.held = [(np.empty(0, "int64"), np.empty(0), np.empty(0, dtype=object))]
         self.waiting = 0
 
@@ -156,44 +158,82 @@ class _Best:
         return pa.record_batch(columns, schema=_NO_HITS)
 
 
-def _with_field(queries: DataFrame) -> DataFrame:
-    field = F.col("technology_field") if "technology_field" in queries.columns else F.lit(None).cast("string")
-    return queries.select(F.col("query_id").cast("string").alias("query_id"), "vector", field.alias("technology_field"))
+_BLOCK = "block bigint, dim int, ids array<string>, matrix binary, fields array<string>, floors binary"
 
 
-def _matrices(queries: DataFrame, matrix_bytes: int) -> Iterator[tuple[int, list]]:
-    """(vector size, query rows): all queries, those of one size in lots of bounded bytes.
+def _with_field(frame: DataFrame) -> Column:
+    return F.col("technology_field") if "technology_field" in frame.columns else F.lit(None).cast("string")
 
-    The lots are read one after the other; a query without a vector fails the search.
+
+def query_blocks(queries: DataFrame, block: Column, matrix_bytes: int) -> DataFrame:
+    """Queries (query_id, vector, technology_field, floor) packed to matrices of `matrix_bytes`
+    or less; queries of a matrix share `block` (made into part of its key) and the vector size."""
+    sized = queries.withColumn("dim", F.size("vector")).withColumn("name", block.cast("bigint"))
+    counts = sized.groupBy("name", "dim").agg(F.count("*").alias("n"))
+    most = F.greatest(F.lit(1), F.floor(F.lit(matrix_bytes) / (8 * F.col("dim"))))
+    cut = F.pmod(F.xxhash64("query_id"), F.ceil(F.col("n") / most).cast("bigint"))
+    dealt = sized.join(counts, ["name", "dim"]).withColumn("cut", cut)
+
+    def pack(table: pa.Table) -> pa.Table:
+        table, dim, out = table.sort_by("query_id"), table.column("dim")[0].as_py(), []
+        step = max(1, matrix_bytes // (8 * dim))  # a cut may be a little larger than the others
+        for start in range(0, len(table), step):
+            some = table.slice(start, step)
+            matrix = np.array(some.column("vector").to_pylist(), "float64").reshape(len(some), dim)
+            floors = some.column("floor").to_numpy().astype("float64")
+            out.append((some.column("name")[0].as_py(), dim, some.column("query_id").to_pylist(), matrix.tobytes(), some.column("technology_field").to_pylist(), floors.tobytes()))
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.string()), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["block", "dim", "ids", "matrix", "fields", "floors"])
+
+    return dealt.groupBy("name", "dim", "cut").applyInArrow(pack, _BLOCK)
+
+
+def meet_parts(points: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """The best `limit` points of each part for each query of the blocks that are to meet it.
+
+    `points` are rows of bounded parts (part, point_id, vector, technology_field), `asked` are
+    blocks (query_blocks) with the `part` they meet. A task holds the points of one part and
+    takes the blocks as they come, one at a time.
     """
-    sized = queries.withColumn("_size", F.coalesce(F.size("vector"), F.lit(0)))
-    sizes = sorted(r[0] for r in sized.select("_size").distinct().collect())
-    if sizes and sizes[0] <= 0:
-        raise ValueError("every query needs a vector")
-    for size in sizes:
-        most, lot = max(1, matrix_bytes // (8 * size)), []
-        for row in sized.filter(F.col("_size") == size).drop("_size").toLocalIterator():
-            lot.append(row)
-            if len(lot) == most:
-                yield size, lot
-                lot = []
-        if lot:
-            yield size, lot
-
-
-def _hits_by_matrix(points: DataFrame, rows: list, dim: int, limit: int, min_score: float) -> DataFrame:
-    """One pass over the points with all queries at hand in each task."""
-    ids = [r.query_id for r in rows]
-    matrix = np.array([r.vector for r in rows], dtype="float64").reshape(len(rows), dim)
-    shared = points.sparkSession.sparkContext.broadcast((ids, matrix, [r.technology_field for r in rows]))
+    stream = points.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    columns = ["part", "kind", "point_id", "vector", "technology_field", "dim", "ids", "matrix", "fields", "floors"]
+    dealt = stream.select(columns).repartition("part").sortWithinPartitions("part", "kind")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(*shared.value, limit, min_score)
-        for b in batches:
-            best.add(b.column(0), b.column(1), b.column(2))
-        yield best.batch()
+        part, held = None, []
+        for batch in batches:
+            parts, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])])
+            for start, stop in zip(cuts, [*cuts[1:], len(parts)]):
+                some = batch.slice(start, stop - start)
+                if parts[start] != part:
+                    part, held = parts[start], []
+                if kinds[start] == 0:
+                    held.append(some.select(["point_id", "vector", "technology_field"]))
+                    continue
+                for dim, ids, matrix, fields, floors in () if not held else zip(*(some.column(c).to_pylist() for c in columns[5:])):
+                    best = _Best(ids, np.frombuffer(matrix).reshape(len(ids), dim), fields, limit, np.frombuffer(floors))
+                    for points in held:
+                        best.add(*points.columns)
+                    yield best.batch()
+
+    return dealt.mapInArrow(scan, _HITS)
+
+
+def best_hits(hits: DataFrame, limit: int) -> DataFrame:
+    """The best `limit` hits of each query with their rank; one with hits from very many parts
+    is cut down by parts first."""
+    part = Window.partitionBy("query_id", F.pmod(F.xxhash64("point_id"), F.lit(MERGE_PARTS))).orderBy(*_order())
+    hits = hits.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= limit).drop("rank")
+    per_query = Window.partitionBy("query_id").orderBy(*_order())
+    return hits.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= limit)
+
 
-    return points.select("point_id", "vector", "technology_field").mapInArrow(scan, _HITS)
+def raised(queries: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
+    """Queries whose `floor` is the score that a further point must reach, after these hits."""
+    last = hits.filter(F.col("rank") == limit).select("query_id", F.col(SCORE).alias("reached"))
+    higher = F.greatest("floor", F.coalesce("reached", F.col("floor")))
+    return queries.join(last, "query_id", "left").select("query_id", "vector", "technology_field", higher.alias("floor"))
 
 
 def search_batch(
@@ -202,31 +242,43 @@ def search_batch(
     limit: int = LIMIT,
     min_score: float = 0.0,
     matrix_bytes: int = QUERY_MATRIX_BYTES,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """The best `limit` points of each query: query_id, point_id, score, rank.
 
-    `queries` has `query_id`, `vector` and, optionally, `technology_field`: only points of
-    that field are searched, all of them where it is null. A query meets the points whose
-    vectors have its own size; one without a vector fails the search. Queries are cut into
-    matrices of `matrix_bytes`; the points are passed over once per matrix and never
-    shuffled. Each task keeps the best rows per query, so what is shuffled is `limit` rows
-    per query and task, which are merged in two steps.
+    `queries` has `query_id`, unlike in all rows, `vector` and, optionally, `technology_field`:
+    only points of that field are searched, all of them where it is null. A query meets the
+    points whose vectors have its own size; one without a vector fails the search.
+
+    Points and queries are written to the shared folder once, vectors computed. Points are dealt
+    into parts of about `part_bytes`, queries packed to matrices of `matrix_bytes`, and each part
+    meets all matrices, one at a time. The root of the number of parts is met first: what the
+    queries reach there is their floor in the others, which keeps the hits that are shuffled
+    to about twice that root for each query and place.
     """
-    if "technology_field" not in points.columns:
-        points = points.withColumn("technology_field", F.lit(None).cast("string"))
-    hits = None
-    for dim, rows in _matrices(_with_field(queries), matrix_bytes):
-        fields = {r.technology_field for r in rows}
-        meant = points if None in fields else points.filter(F.col("technology_field").isin(*fields))
-        found = _hits_by_matrix(meant, rows, dim, limit, min_score)
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = points.sparkSession.createDataFrame([], _HITS)
-    # A query with hits from very many tasks is cut down by parts first.
-    part = Window.partitionBy("query_id", F.pmod(F.xxhash64("point_id"), F.lit(MERGE_PARTS))).orderBy(*_order())
-    hits = hits.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= limit).drop("rank")
-    per_query = Window.partitionBy("query_id").orderBy(*_order())
-    return hits.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= limit)
+    asked = saved(queries.select(
+        F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"),
+        _with_field(queries).alias("technology_field"), F.lit(float(min_score)).alias("floor"),
+    ), "queries")
+    if not asked.filter(F.col("vector").isNull() | (F.size("vector") < 1)).isEmpty():
+        raise ValueError("every query needs a vector")
+    usable = points.select("point_id", F.col("vector").cast("array<float>").alias("vector"), _with_field(points).alias("technology_field"))
+    stored = saved(usable.filter(F.size("vector") > 0), "points")
+    size = stored.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-8 * size // part_bytes))
+    seeds = int(np.ceil(np.sqrt(parts)))
+    dealt = stored.withColumn("part", F.pmod(F.xxhash64("point_id"), F.lit(parts)))
+
+    def met(low: int, high: int, asked: DataFrame) -> DataFrame:
+        blocks = query_blocks(asked, F.lit(0), matrix_bytes)
+        everywhere = blocks.withColumn("part", F.explode(F.sequence(F.lit(low).cast("bigint"), F.lit(high - 1).cast("bigint"))))
+        return meet_parts(dealt.filter((F.col("part") >= low) & (F.col("part") < high)), everywhere.drop("block"), limit)
+
+    first = saved(best_hits(met(0, seeds, asked), limit), "hits")
+    if seeds >= parts:
+        return first
+    rest = met(seeds, parts, raised(asked, first, limit))
+    return best_hits(first.drop("rank").unionByName(rest), limit)
 
 
 def text_queries(spark: SparkSession, queries: Sequence[tuple[str, str, str | None]], embedder) -> DataFrame:

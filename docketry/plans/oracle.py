@@ -317,6 +317,19 @@ BATCH_HITS = (
 )
 
 
+def _turn_queries() -> str:
+    turns = "(SELECT concat_ws('-', conv_id, turn) AS query_id, text FROM conversations)"
+    every = f"""every AS (SELECT q.query_id, r.point_id, coalesce(s.score, 0) AS score
+      FROM {turns} q CROSS JOIN rec r LEFT JOIN scores s USING (query_id, point_id))"""
+    return ",\n".join([
+        BASE,
+        hashed("pw", "rec", "point_id", COMBINED, Q.EMBEDDING_DIM),
+        hashed("qw", turns, "query_id", "text", Q.EMBEDDING_DIM),
+        scored("pw", "qw", "point_id", "query_id").strip(),
+        every,
+    ])
+
+
 def _saved() -> str:
     rows = ", ".join(f"({lit(n)}, {lit(t)}, {lit(f)})" for n, t, f in SAVED_QUERIES)
     return ",\n".join([
@@ -474,6 +487,13 @@ def all_oracles() -> dict[str, str]:
         "search_ivf": with_(nearest(), f"SELECT patent_id, rank, score FROM {ranked('near', 10, 'score >= 0')}"),
         "search_batch": with_(_batch_queries(), BATCH_HITS),
         "search_batch_blocks": with_(_batch_queries(), BATCH_HITS),
+        "search_conversations": with_(_turn_queries(), "SELECT query_id, point_id, rank, score FROM " + ranked("every", 3, "score >= 0", "PARTITION BY query_id")),
+        "similar_all": with_(f"""{BASE}, {STORED},
+          pairs AS (SELECT a.patent_id AS reference_patent_id, b.patent_id, b.point_id, round(list_cosine_similarity(a.vector, b.vector), 9) AS score
+            FROM stored a CROSS JOIN stored b),
+          best AS (SELECT * FROM {ranked("pairs", 6, "score >= 0.2", "PARTITION BY reference_patent_id")})""",
+            """SELECT reference_patent_id, patent_id, rank, score FROM best WHERE patent_id <> reference_patent_id
+            QUALIFY row_number() OVER (PARTITION BY reference_patent_id ORDER BY rank) <= 5"""),
         "search_saved": with_(_saved(), "SELECT query_id, point_id, rank, score FROM " + ranked("every", 10, "score >= 0", "PARTITION BY query_id")),
         "result_preview": with_(text_search(BASE, "rec", Q.ENGLISH), f"""SELECT rank, title, patent_id, printf('%.3f', score) AS score, technology_field,
           array_to_string(assignees, ', ') AS assignees, filing_date,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docketry.functions import classify, record, text
 from docketry.functions import filters as P
 from docketry.functions.vectors import HashingEmbedder, cosine
-from docketry.operators import changes, stats
+from docketry.operators import changes, neighbours, stats
 from docketry.operators import search as S
 from docketry.operators.cells import build_cells, search_cells
 from docketry.operators.normalize import accepted, embed, enhance, normalize
@@ -557,6 +557,24 @@ def similar_records(spark, sf):
     return _scored(found, "patent_id", "reference_patent_id", "rank")
 
 
+@query
+def similar_all(spark, sf):
+    """What is similar to every record, over pairs of cells."""
+    points = stored_points(spark, sf).select("point_id", "patent_id", "vector")
+    found = neighbours.similar_all(points, limit=5, min_score=0.2, cells=CELLS)
+    return _scored(found, "reference_patent_id", "patent_id", "rank")
+
+
+@query
+def search_conversations(spark, sf):
+    """Every turn of every conversation against all documents."""
+    turns = table(spark, sf, "conversations")
+    name = F.concat_ws("-", "conv_id", "turn")
+    queries = turns.select(name.alias("query_id"), HashingEmbedder(EMBEDDING_DIM).column(F.col("text")).alias("vector"))
+    points = embed(spread_records(spark, sf).select(*RECORD_FIELDS), HashingEmbedder(EMBEDDING_DIM))
+    return _scored(S.search_batch(points, queries, limit=3), "query_id", "point_id", "rank")
+
+
 def _benchmark_queries(spark, sf) -> DataFrame:
     b = table(spark, sf, "benchmark")
     return b.select(F.col("item_id").cast("string").alias("query_id"), HashingEmbedder().column(F.col("text")).alias("vector"))

@@ -9,6 +9,7 @@ from docketry.operators import search as S
 from docketry.operators import stats
 from docketry.operators.cells import build_cells, search_cells
 from docketry.operators.changes import delete, latest, update, upsert
+from docketry.operators.neighbours import all_neighbours, similar_all
 from docketry.operators.weights import embed_tfidf
 
 
@@ -22,7 +23,8 @@ def points(spark, n=300, dim=8, seed=3, copies=0):
 
 
 def exact(m, q, limit, min_score=0.0, able=None):
-    score = np.round(m @ q / (np.linalg.norm(m, axis=1) * np.linalg.norm(q)), 9)
+    scale = np.linalg.norm(m, axis=1) * np.linalg.norm(q)
+    score = np.round(m @ q / np.where(scale > 0, scale, 1), 9)
     order = sorted(range(len(m)), key=lambda i: (-score[i], i))
     return [f"{i:04d}" for i in order if score[i] >= min_score and (able is None or able(i))][:limit]
 
@@ -76,6 +78,28 @@ def test_batch_equals_single(spark, limit):
             assert got[q] == exact(m, m[i], limit, 0.0, None if field is None else lambda j: j % 3 == 2)
 
 
+@pytest.mark.parametrize("cells", [1, 6, 40])
+def test_neighbours_of_all_equal_single_searches(spark, cells):
+    """Tight groups, a zero vector, ties; many small matrices and parts. Pairs of cells are left out."""
+    centres = np.random.default_rng(2).normal(size=(6, 8)) * 5
+    m = np.vstack([c + np.random.default_rng(i).normal(size=(40, 8)) * 0.2 for i, c in enumerate(centres)]).astype("float32")
+    m[0], m[7] = 0, m[9]
+    rows = [(f"{i:04d}", f"D{i // 2}", m[i].tolist()) for i in range(len(m))] + [("none", "D0", None)]
+    frame = spark.createDataFrame(rows, "point_id string, patent_id string, vector array<float>").repartition(3)
+    found = all_neighbours(frame, 4, 0.1, cells=cells, matrix_bytes=8 * 8 * 7, part_bytes=8 * 8 * 15)
+    got = {}
+    for r in found.found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.point_id)
+    for i in range(len(m)):
+        assert got.get(f"{i:04d}", []) == exact(m.astype("float64"), m[i].astype("float64"), 4, 0.1), i
+    assert 0 <= found.skipped <= found.pairs and found.skipped >= {1: 0, 6: 0.1, 40: 0.5}[cells] * found.pairs
+
+
+def test_no_points_have_no_neighbours(spark):
+    frame = spark.createDataFrame([("a", "D", None), ("b", "D", [])], "point_id string, patent_id string, vector array<float>")
+    assert similar_all(frame).count() == 0
+
+
 def test_batch_without_queries(spark):
     frame, _ = points(spark, n=5)
     assert S.search_batch(frame, spark.createDataFrame([], "query_id string, vector array<float>")).count() == 0
