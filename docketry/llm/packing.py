@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.batches import give_back
 from docketry.llm.bpe import encoder
 
 LIMIT = 4096
@@ -53,6 +54,7 @@ def pack(
     bits = {1 << b: b for b in range(limit.bit_length())}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what the worker holds of earlier stages, before the vocabulary is read
         coder = encoder(tokenizer)
         for batch in batches:
             rows: list[tuple] = []

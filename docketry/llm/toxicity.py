@@ -41,7 +41,7 @@ NEAREST, BLOCK = 25, 64
 #: Blocks that are opened first, to tell which others need not be.
 FIRST_BLOCKS = (2, 8)
 #: Terms in most examples, whose postings are kept as a matrix, and rows looked up at once.
-HEAD, TOGETHER = 256, 128
+HEAD, TOGETHER = 256, 64
 LEVELS = (1,)
 PREFIXES = (4, 5, 6)
 BREAKS = r"[^\pL\pN]+"
