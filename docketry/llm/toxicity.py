@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.batches import as_texts, gather, slices
+from docketry.llm.batches import as_texts, gather, give_back, slices
 from docketry.session import fresh_folder
 
 #: Bound of the fit: examples of each label. Their words are all terms.
@@ -179,10 +179,12 @@ class Model:
     def __post_init__(self) -> None:
         rows = self.examples
         self.maxima = np.arange(0, len(rows), BLOCK)
-        inside = rows.place < (self.terms.width if self.terms else len(self.weights))
-        order = np.argsort(rows.place[inside], kind="stable")
-        term = rows.place[inside][order].astype("int64")
-        self.example, self.weight = rows.row[inside][order].astype("int32"), rows.value[inside][order]
+        inside = np.flatnonzero(rows.place < (self.terms.width if self.terms else len(self.weights))).astype("int32")
+        order = inside[np.argsort(rows.place[inside], kind="stable")]
+        term = rows.place[order].astype("int32")
+        owner = np.repeat(np.arange(len(rows), dtype="int32"), np.diff(rows.ptr))
+        self.example, self.weight = owner[order], rows.value[order]
+        del inside, order, owner
         # Long postings are a matrix of terms and examples, the others lists.
         often = np.bincount(term, minlength=1)
         long = np.sort(np.argsort(-often, kind="stable")[:HEAD])
@@ -207,7 +209,9 @@ class Model:
         return self.terms, self.weights, self.examples, self.names, self.votes, self.against, self.empty, self.calibration
 
     def __setstate__(self, state: tuple) -> None:
+        give_back()
         self.__init__(*state)
+        give_back()
 
     @property
     def vectors(self) -> np.ndarray:
