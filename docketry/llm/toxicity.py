@@ -197,6 +197,8 @@ class Model:
         term, self.example, self.weight = term[listed], self.example[listed], self.weight[listed]
         block = self.example // BLOCK
         # Pieces: the postings of a term within a block, with the largest weight among them.
+        self.inside = (self.example % BLOCK).astype("uint8")
+        del self.example
         self.start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, "int64")
         self.size = np.diff(np.append(self.start, len(term)))
         self.block = block[self.start]
@@ -254,42 +256,62 @@ class Model:
         dense = np.zeros((n, self.head.shape[0]))
         dense[row[column >= 0], column[column >= 0]] = value[column >= 0]
         fan = self.pieces[place + 1] - self.pieces[place]
-        piece, value, row = gather(self.pieces[place], fan), np.repeat(value, fan), np.repeat(row, fan)
-        owner = self.block[piece]
-        bound = dense @ self.head_most + np.bincount(row * blocks + owner, self.most[piece] * value, n * blocks).reshape(n, blocks)
+        piece, value = gather(self.pieces[place], fan), np.repeat(value, fan)
+        pair = np.repeat(row * blocks, fan) + self.block[piece]
+        bound = dense @ self.head_most + np.bincount(pair, self.most[piece] * value, n * blocks).reshape(n, blocks)
         done = np.zeros((n, blocks), bool)
-        score = np.zeros((n, blocks * BLOCK))
-        wanted, opened = bound > 0, 0
+        wanted, opened, least = bound > 0, 0, np.zeros(n)
+        # Cosines of the blocks opened first, for the k-th best so far; finds of all blocks.
+        held, finds = np.zeros((n, 0)), []
         for most in (*FIRST_BLOCKS, blocks):
             if most < blocks:  # the most promising ones first, to tell which others need not be
                 order = np.argsort(np.where(wanted, -bound, 0), axis=1, kind="stable")[:, :most]
                 few = np.zeros_like(wanted)
                 np.put_along_axis(few, order, True, axis=1)
                 wanted &= few
-            for at in np.flatnonzero(wanted.any(axis=0)):
-                here = np.flatnonzero(wanted[:, at])
-                score[here, at * BLOCK:(at + 1) * BLOCK] += dense[here] @ self.head[:, at * BLOCK:(at + 1) * BLOCK]
-            chosen = wanted[row, owner]
-            sizes = self.size[piece[chosen]]
-            post = gather(self.start[piece[chosen]], sizes)
-            cell = np.repeat(row[chosen] * score.shape[1], sizes) + self.example[post]
-            score += np.bincount(cell, self.weight[post] * np.repeat(value[chosen], sizes), score.size).reshape(score.shape)
+            asks, at = np.nonzero(wanted)
+            score = self._open(dense, piece, value, pair, wanted)
             if skip is not None:
-                score[skip >= 0, skip[skip >= 0]] = 0
-            opened += int(wanted.sum())
+                own = np.flatnonzero((skip[asks] >= 0) & (skip[asks] // BLOCK == at))
+                score[own, skip[asks[own]] % BLOCK] = 0
+            opened += len(asks)
             done |= wanted
-            least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.zeros(n)
+            if most < blocks:
+                first = np.zeros((n, most, BLOCK))
+                first[asks, np.arange(len(asks)) - np.searchsorted(asks, asks)] = score
+                held = np.concatenate([held, first.reshape(n, -1)], axis=1)
+                least = np.partition(held, -k, axis=1)[:, -k] if held.shape[1] > k else least
+            hit, inside = np.nonzero(score > np.maximum(least, 1e-6)[asks, None] - 2e-6)
+            finds.append((asks[hit], at[hit] * BLOCK + inside, np.round(score[hit, inside], 6)))
             # Equal rounded cosines may go to an earlier example, so a bound that ties is opened too.
             wanted = ~done & (bound > 0) & (bound + 2e-6 >= least[:, None])
-        least = np.maximum(np.round(least, 6), 1e-6)
-        for i in range(n):
-            there = np.flatnonzero(score[i] > least[i] - 1e-6)
-            cosine = np.round(score[i, there], 6)
-            there, cosine = there[cosine >= least[i]], cosine[cosine >= least[i]]
-            first = np.lexsort((there, -cosine))[:k]
-            where[i, :len(first)], best[i, :len(first)] = there[first], cosine[first]
+        row, there, cosine = (np.concatenate(x) for x in zip(*finds))
+        kept = cosine >= np.maximum(np.round(least, 6), 1e-6)[row]
+        row, there, cosine = row[kept], there[kept], cosine[kept]
+        order = np.lexsort((there, -cosine, row))
+        row, there, cosine = row[order], there[order], cosine[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        first = rank < k
+        where[row[first], rank[first]], best[row[first], rank[first]] = there[first], cosine[first]
         return opened
 
+    def _open(self, dense: np.ndarray, piece: np.ndarray, value: np.ndarray, pair: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Cosines with the examples of each wanted pair of a row and a block, in order of the pairs."""
+        slot = np.full(wanted.shape, -1, "int64")
+        count = int(wanted.sum())
+        slot[wanted] = np.arange(count)
+        score = np.zeros((count, BLOCK))
+        for at in np.flatnonzero(wanted.any(axis=0)):
+            here = np.flatnonzero(wanted[:, at])
+            score[slot[here, at]] = dense[here] @ self.head[:, at * BLOCK:(at + 1) * BLOCK]
+        target = slot.reshape(-1)[pair]
+        chosen = np.flatnonzero(target >= 0)
+        sizes = self.size[piece[chosen]]
+        post = gather(self.start[piece[chosen]], sizes)
+        cell = np.repeat(target[chosen] * BLOCK, sizes) + self.inside[post]
+        score += np.bincount(cell, self.weight[post] * np.repeat(value[chosen], sizes), score.size).reshape(score.shape)
+        return score
+
     def raw(self, units: np.ndarray | Sparse, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         where, cosine, _ = self.nearest(units, skip)
         there = where >= 0
