@@ -1,11 +1,12 @@
 """Exact top-k by inner product, as columnar branch-and-bound.
 
 Vectors are whole numbers, floor(scale * component). In a block of points the vectors lie
-dimension by dimension. Partial scores are summed over blocks of dimensions, those with
-most spread first. What the dimensions left can still add is at most the product of the
-lengths of both rests (Cauchy-Schwarz), so a point whose partial score plus that bound is
-below a query's running k-th best cannot enter; points that no query of the block can use
-are compacted away before the next dimensions.
+dimension by dimension, the longest first, and meet the queries chunk by chunk. Partial
+scores are summed over blocks of dimensions, those with most spread first. What the
+dimensions left can still add is at most the product of the lengths of both rests
+(Cauchy-Schwarz), so a point whose partial score plus that bound is below a query's running
+k-th best, carried from chunk to chunk, cannot enter; each query's survivors are compacted
+before the next dimensions.
 """
 
 from __future__ import annotations
@@ -20,12 +21,17 @@ from pyspark.sql import functions as F
 from docketry.llm.blocks import best_per_query, by_length, first_of_each, meet, row_keys, spread_blocks, unlike, vectors
 
 SCALE = 64
-#: Rows of a block of points and of queries; at least this many blocks of points, so that
-#: small inputs use all executors too.
-POINT_ROWS, QUERY_ROWS, LEAST_BLOCKS = 65_536, 16_384, 24
-DIMENSIONS = 16
+#: Most rows of a block of points and of queries; at least this many blocks of points, so that
+#: small inputs use several executors too.
+POINT_ROWS, QUERY_ROWS, LEAST_BLOCKS = 65_536, 16_384, 8
+#: Bytes of a block's vectors, whatever their length; an Arrow column takes 2**31.
+BLOCK_BYTES = 1 << 28
+DIMENSIONS = 8
 QUERIES_AT_ONCE = 32
-SEEDS = 256
+#: Points that meet the queries at once: few at first, so that there soon is a k-th best.
+FIRST_CHUNK, CHUNK = 128, 4096
+#: Pairs are multiplied as a matrix while more than this share of them stays.
+DENSE_SHARE, PAIRS = 0.25, 65_536
 SCHEMA = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -35,64 +41,97 @@ def exact_top(
     """(position of the query, id, score) of each query's k best points, and the share of
     components that were read. Points with the query's own id are left out; of several
     points of an id the best counts."""
-    # Points of an id lie side by side, so that scores fold to ids before any cut to k.
-    first = np.arange(len(point_ids))
-    repeated = len(np.unique(point_ids)) < len(point_ids)
-    if repeated:
-        sort = np.argsort(point_ids, kind="stable")
-        points, point_ids = points[sort], point_ids[sort]
-        first = np.flatnonzero(np.r_[True, point_ids[1:] != point_ids[:-1]])
-    seeded = first[:SEEDS]
     # Sums below 2**53 are exact in doubles, which multiply fast.
     kind = "float64" if _safe(points, queries) else "int64"
-    order = np.argsort(-points.astype("float64").var(axis=0), kind="stable")
-    columns = np.ascontiguousarray(points[:, order].T.astype(kind))
-    asked = queries[:, order].astype(kind)
+    spread = np.argsort(-points.astype("float64").var(axis=0), kind="stable")
+    longest = np.argsort(-(points.astype("float64") ** 2).sum(axis=1), kind="stable")
+    points, point_ids = points[longest], point_ids[longest]
+    columns = np.ascontiguousarray(points[:, spread].T.astype(kind))
+    asked = queries[:, spread].astype(kind)
     cuts = [*range(0, len(columns), DIMENSIONS)]
-    rest = lambda m, axis: np.stack([np.sqrt((np.delete(m, np.s_[:c], axis).astype("float64") ** 2).sum(axis)) for c in [*cuts[1:], len(columns)]])
+    rest = lambda m, axis: np.stack([np.sqrt((np.delete(m, np.s_[:c], axis).astype("float64") ** 2).sum(axis)) for c in [*cuts, len(columns)]])
     point_rest, query_rest = rest(columns, 0), rest(asked, 1)
+    chunks = [0]
+    while chunks[-1] < len(point_ids):
+        chunks.append(min(len(point_ids), chunks[-1] + min(CHUNK, max(FIRST_CHUNK, chunks[-1]))))
     read, out = 0, ([], [], [])
     for start in range(0, len(asked), QUERIES_AT_ONCE):
-        q = asked[start:start + QUERIES_AT_ONCE]
-        own = query_ids[start:start + QUERIES_AT_ONCE]
-        least = np.full(len(q), -np.inf)
-        if len(first) > SEEDS and k < SEEDS:
-            # One point of each of SEEDS ids: k ids at least reach the k-th best of them.
-            seeds = (q @ columns[:, seeded]).astype("float64")
-            seeds[own[:, None] == point_ids[None, seeded]] = -np.inf
-            least = np.partition(seeds, -k, axis=1)[:, -k]
-        alive, score = np.arange(len(point_ids)), np.zeros((len(q), len(point_ids)), kind)
-        for c, cut in enumerate(cuts):
-            block = columns[cut:cut + DIMENSIONS]
-            score += q[:, cut:cut + DIMENSIONS] @ (block if len(alive) == len(point_ids) else block[:, alive])
-            read += len(alive) * len(block)
-            bound = query_rest[c, start:start + len(q), None] * point_rest[c, alive][None, :]
-            # The slack covers rounding of the lengths.
-            useful = (score + bound * (1 + 1e-9) + 1e-6 >= least[:, None]).any(axis=0)
-            if useful.sum() < 0.9 * len(alive):
-                alive, score = alive[useful], score[:, useful]
-        valid = own[:, None] != point_ids[None, alive]
-        ranked = np.where(valid, score.astype("float64"), -np.inf)
-        held = ranked
-        if repeated and len(alive):
-            names = point_ids[alive]
-            held = np.maximum.reduceat(ranked, np.flatnonzero(np.r_[True, names[1:] != names[:-1]]), axis=1)
-        if held.shape[1] > k:
-            valid &= ranked >= np.partition(held, -k, axis=1)[:, -k, None]
-        row, at = np.nonzero(valid)
-        values, names = score[row, at].astype("int64"), point_ids[alive[at]]
-        sort = np.lexsort((names, -values, row))
-        row, values, names = row[sort], values[sort], names[sort]
-        if repeated:
-            once = first_of_each(row, names)
-            row, values, names = row[once], values[once], names[once]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        for parts, part in zip(out, (row[place < k] + start, names[place < k], values[place < k])):
-            parts.append(part)
-    total = max(1, len(point_ids) * len(columns) * -(-len(asked) // QUERIES_AT_ONCE))
+        here = np.s_[start:start + QUERIES_AT_ONCE]
+        best = Best(len(asked[here]), k)
+        for low, high in zip(chunks[:-1], chunks[1:]):
+            # Points come by falling length, so what is out of reach here is so for good.
+            if not reach(query_rest[0, here], point_rest[0, low], best.least).any():
+                break
+            part = np.s_[low:high]
+            row, at, score, some = survivors(columns[:, part], point_rest[:, part], asked[here], query_rest[:, here], best.least, cuts)
+            read += some
+            names = point_ids[low:high][at]
+            valid = query_ids[here][row] != names
+            best.add(row[valid], names[valid], score[valid].astype("int64"))
+        for parts, found in zip(out, (best.row + start, best.ids, best.scores)):
+            parts.append(found)
+    total = max(1, len(point_ids) * len(columns) * len(asked))
     return *(np.concatenate(x) if x else np.zeros(0, "int64") for x in out), read / total
 
 
+class Best:
+    """The k best ids of each of a few queries so far, and the score that a further one must reach."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.row, self.ids, self.scores = (np.zeros(0, "int64") for _ in range(3))
+
+    def add(self, row: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        row, ids, scores = (np.concatenate(x) for x in ((self.row, row), (self.ids, ids), (self.scores, scores)))
+        order = np.lexsort((ids, -scores, row))
+        row, ids, scores = row[order], ids[order], scores[order]
+        once = first_of_each(row, ids)
+        row, ids, scores = row[once], ids[once], scores[once]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        self.row, self.ids, self.scores = row[kept], ids[kept], scores[kept]
+        last = place == self.k - 1
+        self.least[row[last]] = scores[last]
+
+
+def reach(query: np.ndarray, point: np.ndarray, least: np.ndarray, score: np.ndarray | float = 0.0) -> np.ndarray:
+    """Whether a partial score can still come to `least`; the slack covers rounding of the lengths."""
+    return score + query * point * (1 + 1e-9) + 1e-6 >= least
+
+
+def survivors(
+    columns: np.ndarray, point_rest: np.ndarray, asked: np.ndarray, query_rest: np.ndarray, least: np.ndarray, cuts: list[int]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, point, score) of all pairs that reach their query's `least`, and the number of components read.
+
+    Pairs that stay many are multiplied as a matrix; few are compacted, each query's its own.
+    """
+    useful = reach(query_rest[0][:, None], point_rest[0][None, :], least[:, None])
+    score = np.zeros(useful.shape, columns.dtype)
+    row = at = values = None
+    read = 0
+    for c, cut in enumerate(cuts):
+        block, part = columns[cut:cut + DIMENSIONS], asked[:, cut:cut + DIMENSIONS]
+        if row is None and useful.sum() > DENSE_SHARE * useful.size:
+            score += part @ block
+            read += useful.size * len(block)
+            useful &= reach(query_rest[c + 1][:, None], point_rest[c + 1][None, :], least[:, None], score)
+            continue
+        if row is None:
+            row, at = np.nonzero(useful)
+            values = score[row, at]
+        for low in range(0, len(row), PAIRS):
+            some = np.s_[low:low + PAIRS]
+            values[some] += (part[row[some]] * block[:, at[some]].T).sum(axis=1)
+        read += len(row) * len(block)
+        kept = reach(query_rest[c + 1][row], point_rest[c + 1][at], least[row], values)
+        row, at, values = row[kept], at[kept], values[kept]
+    if row is None:
+        row, at = np.nonzero(useful)
+        values = score[row, at]
+    return row, at, values, read
+
+
 def _safe(a: np.ndarray, b: np.ndarray) -> bool:
     largest = [float(np.abs(x.astype("float64")).max(initial=0)) for x in (a, b)]
     return largest[0] * largest[1] * max(1, a.shape[1]) < 2**53
@@ -105,14 +144,16 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, vec_id: str = "v
     the smaller id; fewer candidates give fewer rows. Null or empty vectors and those with
     null or non-finite components take no part, nor do rows with a null id; a vector meets
     those of its own length only. A repeated id counts once per query, with its best score.
-    Scores beyond 64 bits wrap, as long sums do. Other columns are left out; no rows give
+    Whole numbers beyond 2**62 either way become that bound, as no long score could hold their
+    products; scores beyond 64 bits wrap, as long sums do. Other columns are left out; no rows give
     no rows.
     """
     rows = embeddings.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asked"))
     rows = rows.filter("vec_id IS NOT NULL")
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("asked")).alias("asked")).first()
-    point_blocks = max(LEAST_BLOCKS, -(-counts["n"] // POINT_ROWS))
-    query_blocks = max(1, -(-counts["asked"] // QUERY_ROWS))
+    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("asked")).alias("asked"), F.max(F.size("vector")).alias("size")).first()
+    most = max(1, BLOCK_BYTES // (8 * max(1, counts["size"] or 1)))
+    point_blocks = max(LEAST_BLOCKS, -(-counts["n"] // min(POINT_ROWS, most)))
+    query_blocks = max(1, -(-counts["asked"] // min(QUERY_ROWS, most)))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

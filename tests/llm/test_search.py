@@ -59,6 +59,26 @@ def test_branch_and_bound_equals_a_full_scan():
     assert exact_top(large, ids, queries, asked, 5)[2].tolist() == [s * 2**40 for s in exact_top(points, ids, queries, asked, 5)[2].tolist()]
 
 
+def test_thresholds_are_carried_over_chunks():
+    rng = np.random.default_rng(5)
+    points = rng.integers(-60, 60, (9000, 24)).astype("int64")
+    points[::3] //= 8
+    queries, ids = rng.integers(-60, 60, (40, 24)).astype("int64"), np.arange(9000) // 2  # two points of each id
+    at, found, scores, read = exact_top(points, ids, queries, np.arange(40), 7)
+    assert read < 0.6
+    full = np.maximum.reduceat(queries @ points.T, np.arange(0, 9000, 2), axis=1)
+    full[np.arange(40), np.arange(40)] = -(10**15)
+    for q in range(40):
+        best = np.lexsort((np.arange(4500), -full[q]))[:7]
+        assert found[at == q].tolist() == best.tolist() and scores[at == q].tolist() == full[q][best].tolist()
+
+
+def test_given_vectors_are_pruned():
+    ids, x = vectors()
+    whole = np.floor(64 * x).astype("int64")
+    assert exact_top(whole, ids, whole[::20], ids[::20], 20)[3] < 1
+
+
 def test_odd_vectors(spark):
     rows = spark.createDataFrame(ODD, "vec_id bigint, embedding array<float>").withColumn("score", F.lit(0)).withColumn("rank", F.lit(0))
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(rows, F.expr("vec_id % 20 = 0")).collect())
