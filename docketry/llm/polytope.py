@@ -16,13 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.blocks import best_per_query, by_length, first_of_each, meet, row_keys, spread_blocks, unlike, vectors
+from docketry.llm.blocks import best_per_query, by_length, first_of_each, meet, row_keys, unlike, vectors
 from docketry.llm.rotations import rotate, signed_axes
+from docketry.session import saved
 
 TABLES, PROBES, SEED = 14, 10, 7
 POINT_ROWS, QUERY_ROWS = 4096, 1024
-#: Bucket sizes held by the driver: tables x signed axes for every vector length that occurs.
-MOST_BUCKETS = 1_000_000
 SCHEMA = "query_id bigint, vec_id bigint, score double"
 HASHED = "vec_id bigint, asked boolean, key bigint, rank int, spread bigint, data binary"
 
@@ -73,7 +72,8 @@ def nearest(
     components and rows without an id take no part; vectors of different lengths never meet.
     Fewer candidates give fewer rows, no rows give no rows, other columns are left out.
 
-    A bucket of any size is ranked whole: it is dealt into blocks (see blocks.py).
+    A bucket of any size is ranked whole: it is dealt into blocks (see blocks.py). Points of
+    buckets that no query probes are not moved.
     """
     rows = embeddings.select(
         F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asked")
@@ -87,36 +87,23 @@ def nearest(
 
         return rows.mapInArrow(run, HASHED)
 
-    counted = hashed(False).groupBy("key").agg(F.count_if(F.col("rank") == 0).alias("points"), F.count_if(F.col("asked")).alias("asked"))
-    sizes = counted.limit(MOST_BUCKETS + 1).collect()
-    if len(sizes) > MOST_BUCKETS:
-        raise ValueError(f"more than {MOST_BUCKETS} buckets: split the table by vector length")
-    blocks = {r["key"]: (max(1, -(-r["points"] // POINT_ROWS)), max(1, -(-r["asked"] // QUERY_ROWS))) for r in sizes}
-    shared = embeddings.sparkSession.sparkContext.broadcast(blocks)
-
-    def dealt(own: str, other: str, of_points: bool):
-        """Add the row's own block and a copy for every block of the other side."""
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                ids, key, spread = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("vec_id", "key", "spread"))
-                names, at = np.unique(key, return_inverse=True)
-                count = np.array([shared.value[n] for n in names.tolist()])[at]
-                mine, theirs = (count[:, 0], count[:, 1]) if of_points else (count[:, 1], count[:, 0])
-                copies = np.repeat(np.arange(len(ids)), theirs)
-                yield pa.RecordBatch.from_pydict({
-                    "vec_id": ids[copies], "key": key[copies],
-                    own: spread_blocks(spread if of_points else ~spread, mine)[copies],
-                    other: np.arange(len(copies)) - np.repeat(np.cumsum(theirs) - theirs, theirs),
-                    "data": batch.column("data").take(pa.array(copies)),
-                })
-
-        return run
-
-    known = hashed(True)
-    points = known.filter("rank = 0").mapInArrow(dealt("point_block", "query_block", True), "vec_id bigint, key bigint, point_block bigint, query_block bigint, data binary")
-    queries = known.filter("asked").mapInArrow(dealt("query_block", "point_block", False), "vec_id bigint, key bigint, query_block bigint, point_block bigint, data binary")
+    # A row per probed bucket, written so that Spark knows its size before it joins.
+    counted = hashed(False).groupBy("key").agg(F.count_if(F.col("rank") == 0).alias("points"), F.count_if(F.col("asked")).alias("askers"))
+    blocks = lambda rows, most: F.ceil(F.col(rows) / most).cast("bigint")
+    buckets = saved(
+        counted.filter("points > 0 AND askers > 0").select("key", blocks("points", POINT_ROWS).alias("point_blocks"), blocks("askers", QUERY_ROWS).alias("query_blocks")),
+        "buckets",
+    )
+
+    def dealt(side: str, own: str, other: str, seed: int) -> DataFrame:
+        """Rows of a side with their own block, a copy for every block of the other side."""
+        rows = hashed(True).filter(side).join(buckets, "key")
+        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}s") - 1))
+        mine = F.pmod(F.xxhash64("spread", F.lit(seed)), F.col(f"{own}s"))
+        return rows.select("vec_id", "key", mine.alias(own), copies.alias(other), "data")
+
+    points = dealt("rank = 0", "point_block", "query_block", 0)
+    queries = dealt("asked", "query_block", "point_block", 1)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
