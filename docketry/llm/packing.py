@@ -43,8 +43,8 @@ def pack(
     end: int = END_OF_DOCUMENT,
     with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, bucket, ids (unless left out), ids_crc32,
-    doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
+    bucket, ids (unless left out).
 
     A null or empty text is the end token alone; rows with equal or null ids are packed
     each for itself; other columns of `documents` are not carried on; no rows give no rows.
@@ -81,7 +81,11 @@ def pack(
     pieces = documents.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(
         cut, kind + (", ids array<int>" if with_ids else "")
     )
-    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
+    return pieces.select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
+        F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"),
+        "bucket", *(["ids"] if with_ids else []),
+    )
 
 
 def _batch(rows: list[tuple], parts: list[np.ndarray], with_ids: bool) -> pa.RecordBatch:
