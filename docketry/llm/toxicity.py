@@ -39,7 +39,7 @@ LEAST_RELEVANCE, UNIT_CHI = 0.0025, 25.0
 COUNTERS = 1 << 20
 NEAREST, BLOCK = 25, 64
 #: Blocks that are opened first, to tell which others need not be.
-FIRST_BLOCKS = (2, 8)
+FIRST_BLOCKS = (6,)
 #: Terms in most examples, whose postings are kept as a matrix, and rows looked up at once.
 HEAD, TOGETHER = 256, 64
 LEVELS = (1,)
