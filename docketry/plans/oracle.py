@@ -366,6 +366,7 @@ def all_oracles() -> dict[str, str]:
         "src_csv": csv_main,
         "src_json_lines": main,
         "src_json": main,
+        "src_json_array": main,
         "enhance_records": main,
         "stream_load": csv_main,
         "src_xml": with_(BASE, f"SELECT patent_id, {XML_TITLE} AS title, {xml_filed}, country, technology_field FROM rec"),

@@ -111,6 +111,20 @@ def src_json(spark, sf):
     return _flat(enhance(accepted(normalize(raw, keep=(SOURCE, ORDER)))), *_MAIN)
 
 
+@query
+def src_json_array(spark, sf):
+    """All records in one list in one file, cut into its elements."""
+    path = fresh_folder(spark, "json")
+    one = plain_records(spark, sf).select(F.to_json(F.struct(*RECORD_FIELDS)).alias("value"))
+    # Sorted, the opening bracket is first and the closing one, with an empty record, is last.
+    lines = one.withColumn("value", F.concat("value", F.lit(","))).unionByName(
+        spark.createDataFrame([("!",), ("~",)], "value string")
+    )
+    ends = F.when(F.col("value") == "!", "[").when(F.col("value") == "~", "{}]").otherwise(F.col("value"))
+    lines.coalesce(1).sortWithinPartitions("value").select(ends).write.option("lineSep", " ").text(path)
+    return _flat(read_json(spark, path, glob="*").records, *_MAIN)
+
+
 @query
 def src_xml(spark, sf):
     path = fresh_folder(spark, "xml")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from docketry.functions import text
 from docketry.operators.normalize import REASON
 from docketry.schema import LIST_FIELDS, RECORD_FIELDS
-from docketry.sources import splits
+from docketry.sources import elements, splits
 from docketry.sources.splits import SOURCE, START
 
 # Place of a row among those read, so that the last of two equal records is known: by file
@@ -203,7 +203,7 @@ def json_elements(value: Column, strict: bool = True) -> Column:
     return found
 
 
-def _fields(elements: DataFrame, on_unknown: str, ordered: bool = True) -> DataFrame:
+def _fields(found: DataFrame, on_unknown: str, ordered: bool = True) -> DataFrame:
     """Record columns of a frame of variants `v`; a stream's rows have no order yet."""
     v = F.col("v")
     keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
@@ -211,7 +211,7 @@ def _fields(elements: DataFrame, on_unknown: str, ordered: bool = True) -> DataF
     reason = F.when(keys.isNull(), "not an object")
     if on_unknown == "reject":
         reason = reason.when(F.size(unknown) > 0, F.concat(F.lit("unknown:"), F.concat_ws(",", unknown)))
-    return (in_order(elements) if ordered else elements).select(
+    return (in_order(found) if ordered else found).select(
         *[
             _variant_list(v, c).alias(c)
             if c in LIST_FIELDS
@@ -232,8 +232,8 @@ def json_lines(reader, path: str | list[str], on_unknown: str = "reject", ordere
 
 def json_records(documents: DataFrame, on_unknown: str = "reject", strict: bool = True) -> DataFrame:
     """The raw frame of a frame with one JSON document per row in `value`."""
-    elements = F.explode(json_elements(F.col("value"), strict))
-    return _fields(documents.select(elements.alias("v"), SOURCE), on_unknown)
+    found = F.explode(json_elements(F.col("value"), strict))
+    return _fields(documents.select(found.alias("v"), SOURCE), on_unknown)
 
 
 def scan_json(
@@ -244,9 +244,11 @@ def scan_json(
     on_unknown: str = "reject",
     glob: str = "*",
 ) -> DataFrame:
-    """JSON documents, or one record per line with `lines` (which Spark can split).
+    """JSON documents, or one record per line with `lines`.
 
-    A document that is no JSON fails the job, unless the session ignores corrupt files.
+    Spark cuts documents in UTF-8 into their records; those in another encoding are read by
+    one task each. A document that is no JSON fails the job, unless the session ignores corrupt
+    files; as that takes a document as a whole, such a session reads each by one task, too.
     """
     reader = spark.read.option("pathGlobFilter", glob)
     if lines and _is_utf8(encoding):
@@ -256,10 +258,16 @@ def scan_json(
         stored = reader.options(encoding=encoding, lineSep="\n", singleVariantColumn="v").json(path)
         return _fields(stored.select("v", _file(), _block()), on_unknown)
     spark_skips = spark.conf.get("spark.sql.files.ignoreCorruptFiles", "false") == "true"
+    if _is_utf8(encoding) and not spark_skips:
+        stored = elements.records(spark, path, _WRAPPERS, glob).withColumnRenamed("row", ROW)
+        # In brackets, so that text behind a value is found.
+        one = F.get(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<variant>"), F.lit(0))
+        parsed = F.coalesce(one, F.when(F.col("value").isNotNull(), F.raise_error(F.lit("not a JSON list or object"))))
+        return _fields(stored.select(parsed.alias("v"), SOURCE, START, ROW), on_unknown)
     return json_records(_whole_texts(reader, path, encoding), on_unknown, strict=not spark_skips)
 
 
-def _elements(value: Column, tag: str) -> Column:
+def _tagged(value: Column, tag: str) -> Column:
     return F.regexp_extract_all(value, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>"), F.lit(0))
 
 
@@ -304,7 +312,7 @@ def whole_xml(reader, path: str | list[str], encoding: str = "utf-8") -> DataFra
     ).otherwise(F.array(value))
     found = documents
     for tag in reversed(XML_ROW_TAGS):
-        elements = _elements(value, tag)
-        found = F.when(F.size(elements) > 0, elements).otherwise(found)
+        tagged = _tagged(value, tag)
+        found = F.when(F.size(tagged) > 0, tagged).otherwise(found)
     stored = _whole_texts(reader, path, encoding, _declared)
     return stored.select(F.explode(found).alias("xml"), SOURCE)

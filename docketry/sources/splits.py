@@ -66,7 +66,7 @@ def _lines(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
     return stored.select("value", file.alias(SOURCE), start.alias(START))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
     """Each batch cut where another block begins; the blocks of a task follow each other."""
     for batch in batches:
         starts = batch.column(START).to_numpy(zero_copy_only=False)
@@ -87,7 +87,7 @@ def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     schema = pa.schema([(SOURCE, pa.string()), (START, pa.int64()), ("outside", pa.bool_()), ("inside", pa.bool_()), ("header", pa.string())])
-    for name, lines in _runs(batches):
+    for name, lines in runs(batches):
         values = lines.column("value")
         if name != block:
             if block is not None:
@@ -171,7 +171,7 @@ def rows(spark: SparkSession, layout: Layout, glob: str = "*") -> DataFrame:
                 out.append((value, block[0], block[1], number, kind))
             held, first, number = [], True, number + 1
 
-        for name, lines in _runs(batches):
+        for name, lines in runs(batches):
             if name != block:
                 if held:
                     row(closed=mark & OPEN_END > 0)
@@ -186,12 +186,12 @@ def rows(spark: SparkSession, layout: Layout, glob: str = "*") -> DataFrame:
                 if not within:
                     row(closed=True)
             if len(out) > 5_000:
-                yield _batch(out)
+                yield batch_of(out)
                 out = []
         if held:
             row(closed=mark & OPEN_END > 0)
         if out:
-            yield _batch(out)
+            yield batch_of(out)
 
     named = _lines(spark, layout.path, glob).withColumn("name", _name())
     pieces = named.mapInArrow(put_together, f"value string, {SOURCE} string, {START} bigint, row bigint, kind int")
@@ -199,20 +199,20 @@ def rows(spark: SparkSession, layout: Layout, glob: str = "*") -> DataFrame:
     if not (layout.marks & BEGINS).any():
         return whole
     # Only the parts of rows across blocks are moved.
-    return whole.unionByName(_stitched(pieces.filter(F.col("kind") != WHOLE)))
+    return whole.unionByName(stitched(pieces.filter(F.col("kind") != WHOLE)))
 
 
-def _batch(found: list[tuple]) -> pa.RecordBatch:
+def batch_of(found: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["value", SOURCE, START, "row", "kind"])
 
 
-def _stitched(parts: DataFrame) -> DataFrame:
+def stitched(parts: DataFrame, joint: str = "\n") -> DataFrame:
     """Rows from their parts; a row begins where its first part does."""
     order = Window.partitionBy(SOURCE).orderBy(START, "row")
     head = F.last(F.when(F.col("kind") == HEAD, F.struct(START, "row")), ignorenulls=True).over(order)
     told = parts.withColumn("head", head).groupBy(SOURCE, "head").agg(
         F.array_sort(F.collect_list(F.struct(START, "row", "value"))).alias("parts")
     )
-    value = F.array_join(F.transform("parts", lambda p: p["value"]), "\n")
+    value = F.array_join(F.transform("parts", lambda p: p["value"]), joint)
     return told.select(value.alias("value"), SOURCE, F.col(f"head.{START}").alias(START), F.col("head.row").alias("row"))
