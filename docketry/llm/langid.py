@@ -6,7 +6,8 @@ of texts of known language gives landmarks; kernel values to the landmarks, whit
 the landmarks' own kernel (Nystroem), are features of a ridge regression for each language
 against the rest. A batch of texts is a presence matrix; scoring it is two matrix products.
 
-N-grams are hashed to bins; those bins count that occur in a landmark.
+N-grams are hashed to bins. Only bins of landmarks can be shared with one, but all bins of
+a text count as what it has.
 """
 
 from __future__ import annotations
@@ -51,17 +52,24 @@ def gram_bins(texts: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray], np.
         yield start, stop, found, row
 
 
-def presence(texts: pa.Array, position: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """0/1 matrix of the bins that `position` names (-1: none), slice by slice."""
+def presence(texts: pa.Array, position: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """0/1 matrix of the bins that `position` names (-1: none), and how many bins each text has
+    in all, slice by slice."""
     for start, stop, found, row in gram_bins(texts):
         out = np.zeros((stop - start) * width, "bool")
+        others = []
         for n, bins in enumerate(found):
+            rows = row[:len(bins)].astype("int64")
+            if n:  # not across the edge of two texts
+                within = rows == row[n:]
+                rows, bins = rows[within], bins[within]
             at = position[bins]
             inside = at >= 0
-            if n:  # not across the edge of two texts
-                inside &= row[:len(bins)] == row[n:]
-            out[row[:len(bins)][inside].astype("int64") * width + at[inside]] = True
-        yield out.reshape(stop - start, width).astype("float32")
+            out[rows[inside] * width + at[inside]] = True
+            others.append(rows[~inside] * BINS + bins[~inside])
+        matrix = out.reshape(stop - start, width)
+        sizes = np.bincount(np.unique(np.concatenate(others)) // BINS, minlength=stop - start) + np.count_nonzero(matrix, axis=1)
+        yield matrix.astype("float32"), sizes
 
 
 @dataclass
@@ -73,14 +81,14 @@ class Model:
     landmarks: np.ndarray  # presence rows
     weights: np.ndarray  # kernel values to one score per language
 
-    def kernel(self, rows: np.ndarray) -> np.ndarray:
-        sizes = np.sqrt(np.maximum(rows.sum(axis=1), 1))[:, None]
-        own = np.sqrt(np.maximum(self.landmarks.sum(axis=1), 1))[None, :]
-        return rows @ self.landmarks.T / (sizes * own)
+    def kernel(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """From presence in the bins of landmarks, and the numbers of all bins of the texts."""
+        own = np.maximum(self.landmarks.sum(axis=1, dtype="float64"), 1)
+        return rows @ self.landmarks.T / np.sqrt(np.maximum(sizes, 1)[:, None] * own)
 
-    def score(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best language of each row and its share."""
-        margins = SHARPNESS * (self.kernel(rows).astype("float64") @ self.weights)
+    def score(self, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best language of each row and its share; of equal shares the first language."""
+        margins = SHARPNESS * (self.kernel(rows, sizes) @ self.weights)
         shares = np.exp(margins - margins.max(axis=1, keepdims=True))
         shares /= shares.sum(axis=1, keepdims=True)
         best = shares.argmax(axis=1)
@@ -94,10 +102,10 @@ def build(languages: list[str], landmarks: np.ndarray, samples: np.ndarray, know
     position[used] = np.arange(len(used))
     model = Model(languages, position, landmarks[:, used].astype("float32"), np.zeros((len(landmarks), len(languages))))
     # Nystroem features: kernel to the landmarks times the inverse root of theirs.
-    values, vectors = np.linalg.eigh(model.kernel(model.landmarks).astype("float64"))
+    values, vectors = np.linalg.eigh(model.kernel(model.landmarks, landmarks.sum(axis=1)))
     kept = values > 1e-6 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
-    features = model.kernel(samples[:, used].astype("float32")).astype("float64") @ whiten
+    features = model.kernel(samples[:, used].astype("float32"), samples.sum(axis=1)) @ whiten
     targets = np.where(known[:, None] == np.arange(len(languages)), 1.0, -1.0)
     gram = features.T @ features + RIDGE * len(features) * np.eye(features.shape[1])
     model.weights = whiten @ np.linalg.solve(gram, features.T @ targets)
@@ -127,7 +135,7 @@ def fit(documents: DataFrame, held_out: tuple[int, int] = (4, 2)) -> Model | Non
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed: list[bytes] = []
-            for rows in presence(as_texts(batch.column(2)), np.arange(BINS, dtype="int32"), BINS):
+            for rows, _ in presence(as_texts(batch.column(2)), np.arange(BINS, dtype="int32"), BINS):
                 packed += [r.tobytes() for r in np.packbits(rows > 0, axis=1)]
             yield pa.RecordBatch.from_pydict({"lang": batch.column(0), "rank": batch.column(1), "bits": pa.array(packed, pa.binary())})
 
@@ -145,7 +153,10 @@ PREDICTED = "struct<lang_pred: string, score: double>"
 
 
 def language_column(text: Column, model: Model | None, documents: DataFrame) -> Column:
-    """lang_pred and score of a whole text; `und` with score 0 where it is null or has no letter."""
+    """lang_pred and score of a whole text; `und` with score 0 where it is null or has no letter.
+
+    Equal texts, so repeated rows too, get equal results; no rows give none.
+    """
     if model is None:
         return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -154,8 +165,8 @@ def language_column(text: Column, model: Model | None, documents: DataFrame) ->
         model = shared.value
         texts = as_texts(texts)
         best, share = [np.zeros(0, "int64")], [np.zeros(0)]
-        for rows in presence(texts, model.position, model.landmarks.shape[1]):
-            b, s = model.score(rows)
+        for rows, sizes in presence(texts, model.position, model.landmarks.shape[1]):
+            b, s = model.score(rows, sizes)
             best.append(b)
             share.append(s)
         letters = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
