@@ -393,6 +393,8 @@ def all_oracles() -> dict[str, str]:
         "src_csv_split": with_(BASE, "SELECT patent_id, title, abstract, status FROM rec"),
         "src_directory_mixed": with_(BASE + CSV_ENHANCED, """SELECT patent_id, title,
           CASE status WHEN 'Granted' THEN 'c' WHEN 'Published' THEN 'b' ELSE 'Published' END AS status FROM enhanced"""),
+        "stream_directory": with_(BASE + CSV_ENHANCED, """SELECT patent_id, title,
+          CASE status WHEN 'Granted' THEN 'c' WHEN 'Published' THEN 'b' ELSE 'Published' END AS status FROM enhanced"""),
         "validate_csv": with_(BASE, """SELECT country AS kind, country <> 'ES' AS is_valid,
             CASE WHEN country = 'ES' THEN 'rows longer than the header' ELSE '' END AS errors,
             'missing recommended columns: abstract, inventors, assignees, filing_date'

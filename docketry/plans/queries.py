@@ -203,8 +203,7 @@ def src_csv_split(spark, sf):
     return scan_csv(spark, path).select("patent_id", "title", "abstract", "status")
 
 
-@query
-def src_directory_mixed(spark, sf):
+def _headers_folder(spark, sf) -> str:
     """Files of two headers and a JSON file, in which a later file writes labelled records again."""
     path = fresh_folder(spark, "headers")
     source = records(spark, sf)
@@ -215,7 +214,14 @@ def src_directory_mixed(spark, sf):
     ):
         frame.coalesce(1).write.csv(f"{path}/{name}", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     third = again.filter(F.col("quality") == 1).select("patent_id", "title", F.lit("c").alias("status"))
-    third.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(f"{path}/c")
+    third.coalesce(1).write.json(f"{path}/c")
+    return path
+
+
+@query
+def src_directory_mixed(spark, sf):
+    """Files of two headers and a JSON file, in which a later file writes labelled records again."""
+    path = _headers_folder(spark, sf)
     parts = [read_csv(spark, [f"{path}/a", f"{path}/b"]).records, read_json(spark, f"{path}/c", lines=True).records]
     places = parts[0].unionByName(parts[1])
     return changes.latest(places, "patent_id", [F.desc("seq")]).select("patent_id", "title", "status")
@@ -843,6 +849,15 @@ def stream_upsert(spark, sf):
     return kept.points().select("point_id", "patent_id", "title", "technology_field")
 
 
+@query
+def stream_directory(spark, sf):
+    """The files of src_directory_mixed, as a stream."""
+    kept = Collection(spark, fresh_folder(spark, "collection"), HashingEmbedder(EMBEDDING_DIM))
+    folder, progress = f"{_headers_folder(spark, sf)}/*", fresh_folder(spark, "progress")
+    loads.upsert_directory_stream(spark, folder, kept, progress, "files", options={"json": {"lines": True}}).awaitTermination()
+    return kept.points().select("patent_id", "title", "status")
+
+
 @query
 def batch_index(spark, sf):
     """CSV files to a collection, then a search in it."""

@@ -88,17 +88,37 @@ def read_directory(
     `options` has for "csv", "json" and "xml" those of the reader (`encoding`, `lines`, `row_tag`
     and so on). The place of a record (`seq`) goes by file name over all formats.
     """
-    if unknown := (options or {}).keys() - _READERS.keys():
-        raise ValueError(f"no reader for {sorted(unknown)}")
     files = list_files(spark, path, pattern)
     known = F.col("suffix").isin(*SUPPORTED)
     suffixes = {r.suffix for r in files.filter(known).select("suffix").distinct().collect()}
+    places = {s: f"{path}/*.{any_case(s)}" for s in suffixes}
+    unsupported = files.filter(~known).select(SOURCE, F.concat(F.lit("unsupported:"), "suffix").alias(REASON))
+    return _by_suffix(spark, places, unsupported, on_unknown, options, pattern)
+
+
+def read_files(
+    spark: SparkSession, paths: list[str], on_unknown: str = "reject", options: dict[str, dict] | None = None
+) -> Loaded:
+    """As read_directory, of the files that are named."""
+    places: dict[str, list[str]] = {}
+    for path in paths:
+        name = path.rsplit("/", 1)[-1]
+        places.setdefault(name.rsplit(".", 1)[-1].lower() if "." in name else "", []).append(path)
+    others = [(path, f"unsupported:{s}") for s in places if s not in SUPPORTED for path in places[s]]
+    unsupported = spark.createDataFrame(others, f"{SOURCE} string, {REASON} string")
+    return _by_suffix(spark, {s: p for s, p in places.items() if s in SUPPORTED}, unsupported, on_unknown, options, "*")
+
+
+def _by_suffix(
+    spark: SparkSession, places: dict[str, str | list[str]], unsupported: DataFrame, on_unknown: str, options: dict[str, dict] | None, pattern: str
+) -> Loaded:
+    if unknown := (options or {}).keys() - _READERS.keys():
+        raise ValueError(f"no reader for {sorted(unknown)}")
     parts = []
-    for suffix in sorted(suffixes):
+    for suffix, path in sorted(places.items()):
         reader = _READERS[SUPPORTED[suffix]]
         chosen = {"glob": pattern} | ({} if reader is read_xml else {"on_unknown": on_unknown}) | (options or {}).get(SUPPORTED[suffix], {})
-        parts.append(reader(spark, f"{path}/*.{any_case(suffix)}", **chosen))
-    unsupported = files.filter(~known).select(SOURCE, F.concat(F.lit("unsupported:"), "suffix").alias(REASON))
+        parts.append(reader(spark, path, **chosen))
     if not parts:
         return Loaded(nothing_loaded(spark).records, unsupported)
     records, rejects = _together([Loaded(p.records, p.rejects.select(SOURCE, REASON)) for p in parts])

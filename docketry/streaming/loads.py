@@ -11,6 +11,7 @@ from docketry.operators.normalize import REASON, accepted, enhance, normalize, r
 from docketry.plans.collection import Collection
 from docketry.schema import LIST_FIELDS, RECORD_FIELDS
 from docketry.session import spread
+from docketry.sources.load import read_files
 from docketry.sources.markup import extract_xml
 from docketry.sources.scan import CSV_OPTIONS, ORDER, SOURCE, START, csv_rows, cut_xml, in_order, json_lines, whole_xml
 
@@ -106,3 +107,39 @@ def upsert_stream(
 
     writer = raw.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def upsert_directory_stream(
+    spark: SparkSession,
+    path: str,
+    collection: Collection,
+    checkpoint: str,
+    name: str,
+    available_now: bool = True,
+    compact_every: int = 100,
+    rejects: str | None = None,
+    max_files: int = 1000,
+    options: dict[str, dict] | None = None,
+) -> StreamingQuery:
+    """Feed a folder where files of any supported format and header arrive into a collection.
+
+    The stream is of file names, at most `max_files` in a micro-batch, which is read as
+    `read_files` does with its `options`: each file by its suffix and its own header, later
+    files of a batch over earlier ones by name. For the rest see upsert_stream; files of other
+    formats are among the `rejects`.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        label = f"{name}/{batch_id}"
+        found = read_files(batch.sparkSession, sorted(r.path for r in batch.collect()), options=options)
+        if rejects:
+            found.rejects.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        if not collection.has_batch(label):
+            collection.upsert(found.records, batch=label)
+        if (batch_id + 1) % compact_every == 0:
+            collection.compact()
+
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    arriving = spark.readStream.schema(schema).format("binaryFile").option("maxFilesPerTrigger", max_files).load(path)
+    writer = arriving.select("path").writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

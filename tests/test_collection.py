@@ -7,7 +7,7 @@ from docketry.plans.tables import write_xml
 from docketry.sources.load import read_csv, read_json, read_xml
 from docketry.sources.sample import sample_records
 from docketry.sources.write import write_csv
-from docketry.streaming.loads import stream_raw, stream_records, stream_rejects, upsert_stream, write_records
+from docketry.streaming.loads import stream_raw, stream_records, stream_rejects, upsert_directory_stream, upsert_stream, write_records
 
 
 @pytest.fixture
@@ -186,3 +186,21 @@ def test_stream_reads_as_batch(spark, tmp_path, format, body):
     found = stream_rejects(spark, str(folder), format, **header)
     write_records(found, str(tmp_path / "r2"), str(tmp_path / "p2")).awaitTermination()
     assert sorted(r.reject_reason for r in spark.read.schema(found.schema).parquet(str(tmp_path / "r2")).collect()) == told
+
+
+def test_directory_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("patent_id,title\nP1,t\nP2,t\n")
+    (folder / "b.CSV").write_text("status,title,patent_id\nGranted,t,P1\n,,P3\n")
+    (folder / "c.json").write_text('{"data": [{"patent_id": "P4", "title": "t"}, 5]}')
+    (folder / "d.pdf").write_text("x")
+    c = Collection(spark, str(tmp_path / "c"), HashingEmbedder(8))
+    run = lambda: upsert_directory_stream(spark, str(folder), c, str(tmp_path / "p"), "s", rejects=str(tmp_path / "r")).awaitTermination()
+    run()
+    got = {r.patent_id: r.status for r in c.points().collect()}
+    assert got.keys() == {"P1", "P2", "P4"} and got["P1"] == "Granted"
+    assert sorted(r.reject_reason for r in spark.read.parquet(str(tmp_path / "r")).collect()) == ["not an object", "required:title", "unsupported:pdf"]
+    (folder / "e.csv").write_text("title,patent_id\nt,P5\n")
+    run()
+    assert {r.patent_id for r in c.points().collect()} == {"P1", "P2", "P4", "P5"}
