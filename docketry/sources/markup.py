@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from docketry.batches import slices
 from docketry.functions import classify, text
 from docketry.operators.normalize import REASON
 from docketry.schema import (
@@ -84,9 +86,17 @@ def _xml_parts(xml: str | None) -> dict:
     }
 
 
+def _parts(batches: Iterator[pa.Array], read: Callable[[str | None], dict], layout: T.StructType) -> Iterator[pa.Array]:
+    """What `read` finds in each text, handed on slice by slice."""
+    kind = to_arrow_type(layout)
+    for texts in batches:
+        for start, stop in slices(texts):
+            yield pa.array(map(read, texts.slice(start, stop - start).to_pylist()), kind)
+
+
 @F.arrow_udf(_XML_PARTS)
-def _xml_udf(xml: pa.Array) -> pa.Array:
-    return pa.array(map(_xml_parts, xml.to_pylist()), to_arrow_type(_XML_PARTS))
+def _xml_udf(xml: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _parts(xml, _xml_parts, _XML_PARTS)
 
 
 def _record(fields: dict[str, Column]) -> list[Column]:
@@ -209,8 +219,8 @@ def _html_parts(html: str | None) -> dict:
 
 
 @F.arrow_udf(_HTML_PARTS)
-def _html_udf(html: pa.Array) -> pa.Array:
-    return pa.array(map(_html_parts, html.to_pylist()), to_arrow_type(_HTML_PARTS))
+def _html_udf(html: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _parts(html, _html_parts, _HTML_PARTS)
 
 
 # The shapes a publication number may take, tried in this order.

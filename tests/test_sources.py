@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry.operators.normalize import normalize
 from docketry.schema import RECORD_FIELDS
 from docketry.sources.load import read_csv, read_directory, read_json, read_xml
+from docketry.sources import markup
 from docketry.sources.markup import extract_html, extract_xml
 from docketry.sources.profile import file_profile, quality_report
 from docketry.sources.sample import sample_records
@@ -243,3 +245,11 @@ def test_round_trips(spark, tmp_path):
     back = normalize(scan_csv(spark, str(tmp_path / "c")), keep=("source_file", "seq"))
     assert rows(back, "patent_id", "claims", "inventors", "legal_status") == want
     assert rows(spark.read.schema(records.schema).json(str(tmp_path / "j")), "patent_id", "claims", "inventors", "legal_status") == want
+
+
+@pytest.mark.parametrize("read,layout", [(markup._xml_parts, markup._XML_PARTS), (markup._html_parts, markup._HTML_PARTS)])
+def test_markup_of_a_batch_is_read_by_slices(read, layout):
+    texts = pa.array([f"<p>{'x' * (3 << 20)}{i}</p>" for i in range(3)] + [None])
+    parts = list(markup._parts(iter([texts]), read, layout))
+    assert len(parts) == 3 and sum(map(len, parts)) == 4
+    assert all(x[n] == y[n] for x, y in zip((r for p in parts for r in p.to_pylist()), map(read, texts.to_pylist())) for n in y)
