@@ -113,8 +113,8 @@ def _chain(table: pa.Table) -> pa.Table:
 
 
 class Layout(NamedTuple):
-    """Files of one header: what to read, and of all blocks of all files the hashed names, in
-    order, with how each begins and ends (9 bytes for each block)."""
+    """Files of one header: what to read, and of all their blocks the hashed names, in order,
+    with how each begins and ends (9 bytes for each block)."""
 
     columns: list[str]
     path: str | list[str]
@@ -135,25 +135,33 @@ def _name():
 def layouts(spark: SparkSession, path: str | list[str], glob: str = "*") -> list[Layout]:
     """The layouts of all CSV files below `path`, in order of their headers; a header is one
     line. Files without a line have none."""
-    functions = _lines(spark, path, glob).mapInArrow(
-        _functions, f"{SOURCE} string, {START} bigint, outside boolean, inside boolean, header string"
-    )
-    chained = functions.groupBy(SOURCE).applyInArrow(
-        _chain, f"{SOURCE} string, {START} bigint, begins boolean, open_end boolean, header string"
-    )
-    told = saved(chained, "csv-blocks")
+    told = _chained(spark, path, glob)
     heads = told.filter("header IS NOT NULL").groupBy("header").agg(F.count("*").alias("files")).orderBy("header").collect()
     marks = F.when(F.col("begins"), BEGINS).otherwise(0) + F.when(F.col("open_end"), OPEN_END).otherwise(0)
-    blocks = told.select(_name().alias("name"), marks.alias("marks")).toArrow().sort_by("name")
-    names, marked = blocks.column("name").to_numpy(), blocks.column("marks").to_numpy().astype("uint8")
     out = []
     for head in heads:
-        # One header is the rule, and then no file names need to be fetched.
-        files = path if len(heads) == 1 else [r[0] for r in told.filter(F.col("header") == head.header).select(SOURCE).orderBy(SOURCE).collect()]
+        # One header is the rule, and then no file names need to be fetched. Files read without
+        # the others are cut into blocks of another size: their blocks are told anew.
+        files, own = path, told
+        if len(heads) > 1:
+            files = [r[0] for r in told.filter(F.col("header") == head.header).select(SOURCE).orderBy(SOURCE).collect()]
+            own = _chained(spark, files, glob)
+        blocks = own.select(_name().alias("name"), marks.alias("marks")).toArrow().sort_by("name")
+        names, marked = blocks.column("name").to_numpy(), blocks.column("marks").to_numpy().astype("uint8")
         out.append(Layout(next(csv.reader([head.header]), []), files, names, marked))
     return out
 
 
+def _chained(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
+    functions = _lines(spark, path, glob).mapInArrow(
+        _functions, f"{SOURCE} string, {START} bigint, outside boolean, inside boolean, header string"
+    )
+    chained = functions.groupBy(SOURCE).applyInArrow(
+        _chain, f"{SOURCE} string, {START} bigint, begins boolean, open_end boolean, header string"
+    )
+    return saved(chained, "csv-blocks")
+
+
 def rows(spark: SparkSession, layout: Layout, glob: str = "*") -> DataFrame:
     """The text of each row but the headers (`value`), its file, and its place there: the block
     in which it begins and its number among the rows of that block."""

@@ -114,3 +114,10 @@ def test_options_of_a_directory(spark, tmp_path):
     assert sorted(r.title for r in found.filter("patent_id < 'P4'").collect()) == ["Mo bel", "x", "y"]
     with pytest.raises(ValueError, match="no reader"):
         read_directory(spark, str(tmp_path), options={"xlsx": {}})
+
+
+def test_files_of_two_headers_are_cut_by_themselves(spark, tmp_path, small_blocks):
+    (tmp_path / "a.csv").write_text("patent_id,title\n" + "".join(f'A{i},"t\n{i}"\n' for i in range(90)))
+    (tmp_path / "b.csv").write_text("title,patent_id\n" + "".join(f'"t\n{i}",B{i}\n' for i in range(9)))
+    got = sorted(r.patent_id for r in read_csv(spark, str(tmp_path)).records.collect())
+    assert got == sorted([f"A{i}" for i in range(90)] + [f"B{i}" for i in range(9)])
