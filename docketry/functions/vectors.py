@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.batches import slices
+
 VECTOR = T.ArrayType(T.FloatType())
 DEFAULT_DIM = 384
 # Scores are rounded so that equal vectors tie and the key decides, whatever the
@@ -55,6 +57,13 @@ def cosine_matrix(matrix: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return np.round(matrix @ queries.T / scale, SCORE_DIGITS)
 
 
+def cosine_pairs(matrix: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Cosine of each row with the query row at the same place; 0 where one of them is zero."""
+    scale = np.sqrt(np.einsum("ij,ij->i", matrix, matrix)) * np.sqrt(np.einsum("ij,ij->i", queries, queries))
+    scale[scale == 0] = 1.0
+    return np.round(np.einsum("ij,ij->i", matrix, queries) / scale, SCORE_DIGITS)
+
+
 def cosine_to(vector: Column, query: Sequence[float]) -> Column:
     """Cosine of a vector column with one fixed vector; null where lengths differ."""
     fixed = np.asarray(query, dtype="float64").reshape(1, -1)
@@ -107,9 +116,16 @@ class HashingEmbedder:
         counts = np.bincount(cells, minlength=len(texts) * self.dim)
         return counts.reshape(len(texts), self.dim).astype("float32")
 
+    def _by_slices(self, texts: pa.Array) -> np.ndarray:
+        """Counts of a whole batch; words are held for a slice of its texts at a time."""
+        counts = np.empty((len(texts), self.dim), "float32")
+        for start, stop in slices(texts):
+            counts[start:stop] = self._count(texts.slice(start, stop - start))
+        return counts
+
     def column(self, text: Column) -> Column:
         def embed(texts: pa.Array) -> pa.Array:
-            counts = self._count(texts)
+            counts = self._by_slices(texts)
             offsets = pa.array(np.arange(len(texts) + 1, dtype="int32") * self.dim)
             return pa.ListArray.from_arrays(offsets, pa.array(counts.ravel()))
 

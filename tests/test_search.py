@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +240,11 @@ def test_batch_of_mixed_sizes(spark):
     assert sorted((r.query_id, r.point_id) for r in S.search_batch(points_, queries).collect()) == [("x", "a"), ("y", "b")]
     with pytest.raises(ValueError):
         S.search_batch(points_, spark.createDataFrame([("z", None)], queries.schema))
+
+
+def test_words_are_counted_by_slices(monkeypatch):
+    texts, sizes, embedder = pa.array(["a b " * (1 << 20), None, "b " * (1 << 20), "c"]), [], HashingEmbedder(8)
+    count = HashingEmbedder._count
+    monkeypatch.setattr(HashingEmbedder, "_count", lambda self, some: (sizes.append(len(some)), count(self, some))[1])
+    found = embedder._by_slices(texts)
+    assert sizes == [2, 2] and (found == count(embedder, texts)).all() and found.dtype == "float32"
