@@ -242,6 +242,24 @@ def test_batch_of_mixed_sizes(spark):
         S.search_batch(points_, spark.createDataFrame([("z", None)], queries.schema))
 
 
+@pytest.mark.parametrize("floor", [-1.0, 0.0, 0.9])
+def test_only_pairs_that_may_reach_the_floor_are_scored(monkeypatch, floor):
+    rng = np.random.default_rng(1)
+    m, q = rng.normal(size=(2000, 16)).astype("float32").astype("float64"), rng.normal(size=(30, 16))
+    m[5], m[6], m[7:9] = 0, q[0].astype("float32"), m[9]
+    names = [f"{i:04d}" for i in range(len(m))]
+    scored = []
+    of_all = S._Best._scores
+    monkeypatch.setattr(S._Best, "_scores", lambda self, matrix, r, q: (scored.append(len(r)), of_all(self, matrix, r, q))[1])
+    best = S._Best([str(i) for i in range(30)], q, [None] * 30, 4, np.full(30, floor))
+    best.add(pa.array(names), pa.array(m.tolist(), pa.list_(pa.float32())), pa.nulls(len(m), pa.string()))
+    got = {}
+    for r in best.batch().to_pylist():
+        got.setdefault(int(r["query_id"]), []).append(r["point_id"])
+    assert all(got.get(i, []) == exact(m, q[i], 4, floor) for i in range(30))
+    assert floor < 0.9 or sum(scored) < 100
+
+
 def test_words_are_counted_by_slices(monkeypatch):
     texts, sizes, embedder = pa.array(["a b " * (1 << 20), None, "b " * (1 << 20), "c"]), [], HashingEmbedder(8)
     count = HashingEmbedder._count
