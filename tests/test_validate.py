@@ -1,3 +1,8 @@
+import tracemalloc
+
+import pyarrow as pa
+
+from docketry.sources import validate
 from docketry.sources.validate import validate_files
 
 
@@ -53,3 +58,15 @@ def test_no_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.csv").write_text("patent_id,title\n")
     assert validate_files(spark, f"{tmp_path}/sub").collect()[0].errors == ["no rows"]
+
+
+def test_xml_is_checked_without_a_tree():
+    text = "<r>" + "<a>x</a>" * 400_000 + "</r>"
+    documents = pa.array([text, text[:-4], "", None, "<r>&nbsp;</r>"])
+    tracemalloc.start()
+    found = validate._xml_error(documents).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0] is None and found[1] == "invalid XML: ParseError 3 in line 1" == found[2] == found[3]
+    assert found[4] == "invalid XML: ParseError 11 in line 1"
+    assert peak < len(text)
