@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from docketry.plans.tables import (
     xml_layout,
 )
 from docketry.schema import LIST_FIELDS, RECORD_FIELDS, RECORD_SCHEMA, SAVED_QUERIES
-from docketry.session import fresh_folder, spread_if_narrow
+from docketry.session import fresh_folder, saved, spread_if_narrow
 from docketry.sources import validate
 from docketry.sources.load import read_csv, read_directory, read_json, read_xml
 from docketry.sources.markup import extract_html, extract_xml
@@ -198,7 +199,8 @@ def src_csv_strict(spark, sf):
 def src_csv_split(spark, sf):
     """All documents in one CSV file, with their line breaks, which Spark cuts where it likes."""
     path = fresh_folder(spark, "csv")
-    write_csv(records(spark, sf).orderBy("doc_id").coalesce(1), path)
+    # One file takes one task, which only copies what all cores have made.
+    write_csv(saved(records(spark, sf), "rows").coalesce(1), path)
     return scan_csv(spark, path).select("patent_id", "title", "abstract", "status")
 
 
