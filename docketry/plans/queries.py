@@ -115,13 +115,16 @@ def src_json(spark, sf):
 def src_json_array(spark, sf):
     """All records in one list in one file, cut into its elements."""
     path = fresh_folder(spark, "json")
-    one = plain_records(spark, sf).select(F.to_json(F.struct(*RECORD_FIELDS)).alias("value"))
-    # Sorted, the opening bracket is first and the closing one, with an empty record, is last.
-    lines = one.withColumn("value", F.concat("value", F.lit(","))).unionByName(
-        spark.createDataFrame([("!",), ("~",)], "value string")
-    )
-    ends = F.when(F.col("value") == "!", "[").when(F.col("value") == "~", "{}]").otherwise(F.col("value"))
-    lines.coalesce(1).sortWithinPartitions("value").select(ends).write.option("lineSep", " ").text(path)
+    one = plain_records(spark, sf).select(F.concat(F.to_json(F.struct(*RECORD_FIELDS)), F.lit(",")).alias("value"))
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"value": ["["]})
+        yield from batches
+        yield pa.RecordBatch.from_pydict({"value": ["{}]"]})
+
+    # One file takes one task, which only copies what all cores have made.
+    lines = saved(one, "lines").coalesce(1).mapInArrow(bracketed, "value string")
+    lines.write.option("lineSep", " ").text(path)
     return _flat(read_json(spark, path, glob="*").records, *_MAIN)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docketry.batches import slices
 from docketry.session import saved
 
 SOURCE = "source_file"
@@ -29,6 +30,8 @@ _MARK = "﻿"
 WHOLE, HEAD, MIDDLE, TAIL = range(4)
 #: Of a block: it begins inside of a cell; its file ends there, inside of one.
 BEGINS, OPEN_END = 1, 2
+#: What readers of bytes hold is several numbers for each byte.
+_RUN_BYTES = 1 << 20
 
 
 def ends_inside(line: str, inside: bool) -> bool:
@@ -67,14 +70,17 @@ def _lines(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
-    """Each batch cut where another block begins; the blocks of a task follow each other."""
+    """Each batch cut where another block begins, and into slices of `_RUN_BYTES`; the blocks of
+    a task follow each other."""
     for batch in batches:
         starts = batch.column(START).to_numpy(zero_copy_only=False)
         names = batch.column(SOURCE).dictionary_encode().indices.to_numpy(zero_copy_only=False)
         cuts = [0, *(1 + np.flatnonzero((starts[1:] != starts[:-1]) | (names[1:] != names[:-1]))).tolist(), len(starts)]
         for i, j in zip(cuts, cuts[1:]):
             if i < j:
-                yield (batch.column(SOURCE)[i].as_py(), int(starts[i])), batch.slice(i, j - i)
+                name, run = (batch.column(SOURCE)[i].as_py(), int(starts[i])), batch.slice(i, j - i)
+                for start, stop in slices(run.column("value"), _RUN_BYTES):
+                    yield name, run.slice(start, stop - start)
 
 
 def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,12 +4,13 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 
-from docketry.sources import elements
+from docketry.sources import elements, splits
 from docketry.sources.load import read_json
 from tests.test_splits import small_blocks  # noqa: F401
 
@@ -92,3 +93,13 @@ def test_elements_of_any_kind(spark, tmp_path):
     records, rejects = read_json(spark, str(tmp_path))
     assert [r.patent_id for r in records.collect()] == ["P1"]
     assert sorted(r.reject_reason for r in rejects.collect()) == ["not an object"] * 4 + ["required:patent_id"]
+
+
+def test_a_batch_is_taken_by_slices():
+    n, size = 40, 100_000
+    batch = pa.RecordBatch.from_pydict({
+        "value": [b'{"a": "' + b"x" * size + b'"'] * n, splits.SOURCE: ["f"] * n, splits.START: pa.array([0] * n, pa.int64()),
+    })
+    found = list(splits.runs(iter([batch])))
+    assert {name for name, _ in found} == {("f", 0)} and sum(len(x) for _, x in found) == n
+    assert max(x.column("value").nbytes for _, x in found) < 2 << 20 and len(found) > 3
