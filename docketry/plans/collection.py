@@ -283,20 +283,21 @@ def first_points(points: DataFrame, limit: int | None = None) -> DataFrame:
 
     A limit of any size is cut without gathering it in one task: points are counted per
     leading digits of their id, whole ranges below the cut are kept, and only of the range
-    that the cut falls into are the first points taken.
+    that the cut falls into are the first points taken. Points without an id are the last.
     """
     points = points.drop("vector")
     if limit is not None:
         prefix = F.substring("point_id", 1, _PREFIX)
         # At most 16 ** 4 ranges, as ids are hexadecimal.
-        counts = points.groupBy(prefix.alias("prefix")).count().orderBy("prefix").collect()
+        counts = points.groupBy(prefix.alias("prefix")).count().orderBy(F.asc_nulls_last("prefix")).collect()
         taken, cut = 0, None
         for c in counts:
             if taken + c["count"] > limit:
-                cut = c.prefix
+                cut = c
                 break
             taken += c["count"]
         if cut is not None:
-            whole = points.filter(prefix < cut)
-            points = whole.unionByName(points.filter(prefix == cut).orderBy("point_id").limit(limit - taken))
+            whole = points.filter(prefix.isNotNull() if cut.prefix is None else prefix < cut.prefix)
+            edge = points.filter(prefix.eqNullSafe(F.lit(cut.prefix))).orderBy("point_id")
+            points = whole.unionByName(edge.limit(limit - taken))
     return points.orderBy("point_id")

@@ -142,6 +142,13 @@ def test_export_by_range_takes_the_first_of_all(spark, tmp_path):
     assert len(both[0]) == 300 and both[0] == both[1] and both[0][0][0] in "0123"
 
 
+@pytest.mark.parametrize("limit,ids", [(2, 2), (5, 5), (6, 5), (8, 5)])
+def test_points_without_an_id_are_the_last_of_the_first(spark, limit, ids):
+    points = spark.createDataFrame([(f"{i}0000{i}", i) for i in range(5)] + [(None, 5), (None, 6), (None, 7)], "point_id string, n int")
+    found = [r.point_id for r in first_points(points, limit).collect()]
+    assert len(found) == limit and sorted(x for x in found if x) == [f"{i}0000{i}" for i in range(ids)]
+
+
 def test_xml_stream(spark, tmp_path):
     source = sample_records(spark, 12).withColumn("claims", F.array(F.lit("One claim that is long enough"))).repartition(3)
     write_xml(source, str(tmp_path / "in"))
