@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The last row per key.
+def latest(rows: DataFrame, key: str | list[str], order: list[Column]) -> DataFrame:
+    """The last row per key, or per several columns.
 
     Spark drops all but the first row of each key in every task before it shuffles, so
     a key with very many rows costs no more than the others.

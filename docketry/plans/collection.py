@@ -30,6 +30,7 @@ from docketry.operators import stats
 from docketry.operators.changes import latest
 from docketry.operators.normalize import embed
 from docketry.schema import RECORD_SCHEMA
+from docketry.session import saved
 from docketry.sources.write import WRITERS
 
 POINT_SCHEMA = T.StructType(
@@ -47,14 +48,28 @@ _COMMIT_SCHEMA = (
 # Searches for up to this many points fetch the other columns by point id afterwards.
 FETCH_BY_KEY = 1000
 _PREFIX = 4
+# A compaction folds the rows of points put more often than this before it deals them out, and
+# broadcasts up to this many ids taken out; with more it moves rows twice.
+MANY = 1000
+FEW_GONE = 100_000
 _SHORT_LIST = 10
 
 
-def _by_prefix(points: DataFrame, partitions: int) -> DataFrame:
-    """Sorted files over even ranges of the point id, which is a uniform hash."""
+def _part(partitions: int) -> Column:
+    """Even ranges of the point id, which is a uniform hash."""
     prefix = F.conv(F.substring("point_id", 1, _PREFIX), 16, 10).cast("int")
-    part = F.floor(prefix * F.lit(partitions) / F.lit(16**_PREFIX)).cast("int")
-    return points.repartitionById(partitions, part).sortWithinPartitions("point_id")
+    return F.floor(prefix * F.lit(partitions) / F.lit(16**_PREFIX)).cast("int")
+
+
+def _by_prefix(points: DataFrame, partitions: int) -> DataFrame:
+    """Sorted files over even ranges of the point id."""
+    return points.repartitionById(partitions, _part(partitions)).sortWithinPartitions("point_id")
+
+
+def _alive(state: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the points that were put before their patent id was taken out."""
+    dead = (F.col("patent_id") == F.col("_id")) & (F.col("_version") < F.col("_gone"))
+    return state.join(gone, dead, "left_anti")
 
 
 def _id_in(ids: list[str]) -> Column:
@@ -121,13 +136,14 @@ class Collection:
             puts = latest(puts, "point_id", [F.desc("_version"), F.desc("seq")]).drop("seq")
             state = state.join(puts.select("point_id"), "point_id", "left_anti").unionByName(puts)
         if head.gone:
-            ids = T.StructType([T.StructField("patent_id", T.StringType())])
-            gone = self._read_versions(head.gone, ids)
-            gone = gone.groupBy(F.col("patent_id").alias("_id")).agg(F.max("_version").alias("_gone"))
-            dead = (F.col("patent_id") == F.col("_id")) & (F.col("_version") < F.col("_gone"))
-            state = state.join(gone, dead, "left_anti")
+            state = _alive(state, self._gone(head))
         return state.select(*POINT_FIELDS)
 
+    def _gone(self, head) -> DataFrame:
+        """Patent ids taken out, with the last commit that did."""
+        gone = self._read_versions(head.gone, T.StructType([T.StructField("patent_id", T.StringType())]))
+        return gone.groupBy(F.col("patent_id").alias("_id")).agg(F.max("_version").alias("_gone"))
+
     # --- writes ---
 
     def _ordered(self, records: DataFrame) -> DataFrame:
@@ -145,7 +161,7 @@ class Collection:
         """
         base, changes, gone, version = self._next()
         folder = self._fresh("changes", version)
-        self._ordered(records).write.parquet(f"{self.path}/{folder}")
+        self._ordered(records).write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
         self._commit(base, [*changes, (version, folder)], gone, version, batch)
         return self._read(folder, _ORDERED).count()
 
@@ -158,7 +174,7 @@ class Collection:
             ids = self.spark.createDataFrame([(i,) for i in ids], "patent_id string")
         base, changes, gone, version = self._next()
         folder = self._fresh("gone", version)
-        ids.select("patent_id").distinct().write.parquet(f"{self.path}/{folder}")
+        ids.select("patent_id").distinct().write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
         ids = self.spark.read.parquet(f"{self.path}/{folder}")
         hit = self.points().join(ids, "patent_id", "left_semi")
         if not first_only:
@@ -170,7 +186,7 @@ class Collection:
         n = first.count()
         rest = hit.join(first, "point_id", "left_anti").select(*POINT_FIELDS, F.lit(None).cast(_PLACE).alias("seq"))
         kept = self._fresh("changes", version)
-        rest.write.parquet(f"{self.path}/{kept}")
+        rest.write.option("compression", "zstd").parquet(f"{self.path}/{kept}")
         self._commit(base, [*changes, (version, kept)], [*gone, (version, folder)], version)
         return n
 
@@ -179,9 +195,9 @@ class Collection:
         base, changes, gone, version = self._next()
         put, out = self._fresh("changes", version), self._fresh("gone", version)
         points = latest(self._ordered(records), "patent_id", [F.desc("seq")])
-        points.write.parquet(f"{self.path}/{put}")
+        points.write.option("compression", "zstd").parquet(f"{self.path}/{put}")
         written = self._read(put, _ORDERED)
-        written.select("patent_id").write.parquet(f"{self.path}/{out}")
+        written.select("patent_id").write.option("compression", "zstd").parquet(f"{self.path}/{out}")
         self._commit(base, [*changes, (version, put)], [*gone, (version, out)], version)
         return written.count()
 
@@ -190,9 +206,43 @@ class Collection:
         _, _, _, version = self._next()
         partitions = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         folder = self._fresh("base", version)
-        _by_prefix(self.points(), partitions).write.parquet(f"{self.path}/{folder}")
+        self._folded(partitions).write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
         self._commit(folder, [], [], version)
 
+    def _folded(self, partitions: int) -> DataFrame:
+        """The current points in the layout of a snapshot.
+
+        The snapshot and all changes are dealt to its ranges, where the last row of each point is
+        known, so that whole rows are moved once. Many rows of one point are folded before.
+        """
+        head = self._head()
+        if head is None or not head.changes:
+            return _by_prefix(self.points(), partitions)
+        gone = self._gone(head).limit(FEW_GONE + 1) if head.gone else None
+        if gone is not None and gone.count() > FEW_GONE:
+            return _by_prefix(self.points(), partitions)
+        state = self._without_repeats(self._read_versions(head.changes, _ORDERED)).withColumn("_own", F.lit(None).cast("long"))
+        if head.base:
+            # Points without an id replace none of the snapshot.
+            own = F.when(F.col("point_id").isNull(), F.monotonically_increasing_id())
+            base = self._read(head.base, POINT_SCHEMA).withColumns({"_version": F.lit(0).cast("long"), "seq": F.lit(None).cast(_PLACE), "_own": own})
+            state = state.unionByName(base)
+        dealt = state.withColumn("_part", F.coalesce(_part(partitions), F.lit(0))).repartitionById(partitions, "_part")
+        state = latest(dealt, ["_part", "point_id", "_own"], [F.desc("_version"), F.desc("seq")])
+        if gone is not None:
+            state = _alive(state, F.broadcast(gone))
+        return state.sortWithinPartitions("point_id").select(*POINT_FIELDS)
+
+    def _without_repeats(self, puts: DataFrame) -> DataFrame:
+        """Of points put more than MANY times the last row only; others may be left with several.
+        Only ids are moved to find these points, and there are few by nature."""
+        many = puts.filter("point_id IS NOT NULL").groupBy("point_id").count().filter(F.col("count") > MANY).select("point_id")
+        many = saved(many, "many")
+        if many.isEmpty():
+            return puts
+        last = latest(puts.join(many, "point_id", "left_semi"), "point_id", [F.desc("_version"), F.desc("seq")])
+        return puts.join(many, "point_id", "left_anti").unionByName(last.select(*puts.columns))
+
     def clear(self) -> None:
         _, _, _, version = self._next()
         self._commit(None, [], [], version)

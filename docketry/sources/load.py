@@ -56,8 +56,7 @@ def read_json(
 
 def read_xml(spark: SparkSession, path: str | list[str], row_tag: str | None = None, **options) -> Loaded:
     """XML fields are cleaned as they are extracted and get no further treatment."""
-    raw = scan_xml(spark, path, row_tag=row_tag, **options)
-    found = extract_xml(raw if row_tag else spread(raw), keep=(SOURCE, ORDER))
+    found = extract_xml(scan_xml(spark, path, row_tag=row_tag, **options), keep=(SOURCE, ORDER))
     return Loaded(accepted(found).drop(SOURCE), rejected(found))
 
 

@@ -6,6 +6,8 @@ A raw frame has record columns (all of the file's own columns for CSV), `source_
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from docketry.functions import text
 from docketry.operators.normalize import REASON
 from docketry.schema import LIST_FIELDS, RECORD_FIELDS
+from docketry.session import saved, spread
 from docketry.sources import elements, splits
 from docketry.sources.splits import SOURCE, START
 
@@ -291,20 +294,21 @@ def scan_xml(
     """The XML text of each record in a column `xml`.
 
     Without `row_tag` each file is looked at as a whole: its `patent-document` elements,
-    else its `patent` elements, else each document it holds. With `row_tag` the file is
-    cut at that closing tag while it is read, so Spark can split it; such files must be in
-    UTF-8. For whole files the encoding that their first line names goes before `encoding`.
+    else its `patent` elements, else each document it holds. Spark cuts files in UTF-8 whose
+    elements follow each other; one task each reads files of other encodings, of neither element,
+    or with an element that is not closed before the next one begins. With `row_tag` all files are
+    cut at that closing tag, unseen; such files must be in UTF-8. For whole files the encoding
+    that their first line names goes before `encoding`.
     """
-    reader = spark.read.option("pathGlobFilter", glob)
     if row_tag:
         if not _is_utf8(encoding):
             raise ValueError("files cut at a row_tag must be in UTF-8; read others whole")
-        return in_order(cut_xml(reader, path, row_tag))
-    return in_order(whole_xml(reader, path, encoding))
+        return in_order(cut_xml(spark.read.option("pathGlobFilter", glob), path, row_tag))
+    return reduce(DataFrame.unionByName, _xml_parts(spark, path, encoding, glob))
 
 
 def whole_xml(reader, path: str | list[str], encoding: str = "utf-8") -> DataFrame:
-    """The record elements of whole files that a batch or stream reader finds."""
+    """The record elements of whole files, each file read by one task."""
     value = F.col("value")
     documents = F.when(
         F.contains(value, F.lit("<?xml")),
@@ -316,3 +320,56 @@ def whole_xml(reader, path: str | list[str], encoding: str = "utf-8") -> DataFra
         found = F.when(F.size(tagged) > 0, tagged).otherwise(found)
     stored = _whole_texts(reader, path, encoding, _declared)
     return stored.select(F.explode(found).alias("xml"), SOURCE)
+
+
+def _from_openings(reader, path: str | list[str], tag: str) -> DataFrame:
+    """The text behind each `<tag` up to the next one; before these what a file begins with."""
+    return reader.option("lineSep", f"<{tag}").text(path)
+
+
+def _xml_kinds(reader, path: str | list[str], tag: str) -> DataFrame:
+    """For each file whether no element of the name begins in it (`none`), or each ends before the
+    next one begins (`cut`; the last may lack its end), or neither can be said (`odd`)."""
+    value = F.col("value")
+    begins = F.substring(value, 1, 1).rlike(r"[\s>]")
+    ends = F.when(begins, value.rlike(rf"(?s)^(?:\s[^>]*)?>.*?</{tag}\s*>")).otherwise(False)
+    place = F.struct(START, ROW)
+    told = _from_openings(reader, path, tag).select(
+        _file(), _block(), F.monotonically_increasing_id().alias(ROW), F.is_valid_utf8(value).alias("valid"),
+        begins.alias("begins"), ends.alias("ends"), F.contains(value, F.lit(f"</{tag}")).alias("closing"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.substring(value.cast("binary"), 1, 200)).alias("head"),
+    ).groupBy(SOURCE).agg(
+        F.min_by(F.struct("begins", "closing", "head"), place).alias("first"),
+        F.max_by(F.col("begins") & ~F.col("ends"), place).alias("last_is_open"),
+        F.count_if("begins").alias("begins"), F.count_if("ends").alias("ends"), F.bool_and("valid").alias("valid"),
+    )
+    n = F.col("begins") - F.col("first.begins").cast("int")
+    unclosed = n - F.col("ends")
+    plain = F.coalesce(_declared(F.col("first.head")), F.lit("UTF-8")).isin("UTF-8", "UTF8") & F.col("valid")
+    return told.select(SOURCE, F.when(~plain, "odd").when(n == 0, "none").when(
+        ~F.col("first.closing") & (F.col("ends") > 0) & ((unclosed == 0) | ((unclosed == 1) & F.col("last_is_open"))), "cut"
+    ).otherwise("odd").alias("kind"))
+
+
+def _xml_parts(spark: SparkSession, path: str | list[str], encoding: str, glob: str) -> list[DataFrame]:
+    """What `whole_xml` finds, cut by Spark in the files where that gives the same elements. A
+    first reading tells these files; names are fetched only where files differ."""
+    reader = spark.read.option("pathGlobFilter", glob)
+    parts, whole, left = [], [], path
+    for tag in XML_ROW_TAGS if _is_utf8(encoding) else ():
+        told = saved(_xml_kinds(spark.read.option("pathGlobFilter", glob), left, tag), "xml-files")
+        kinds = {r.kind for r in told.select("kind").distinct().collect()}
+        files = {k: left if len(kinds) == 1 else [r[0] for r in told.filter(F.col("kind") == k).select(SOURCE).orderBy(SOURCE).collect()] for k in kinds}
+        if "cut" in files:
+            pieces = _from_openings(spark.read.option("pathGlobFilter", glob), files["cut"], tag)
+            element = F.regexp_extract(F.concat(F.lit(f"<{tag}"), "value"), rf"(?s)^<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", 0)
+            parts.append(in_order(pieces.select(element.alias("xml"), _file(), _block()).filter(F.col("xml") != "")))
+        if "odd" in files:
+            whole.append(files["odd"])
+        left = files.get("none", None if kinds else left)
+        if left is None:
+            break
+    if left is not None:
+        whole.append(left)
+    # The elements of a whole file come out of one task.
+    return parts + [spread(in_order(whole_xml(reader, files, encoding))) for files in whole]
