@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from docketry.operators.normalize import normalize
 from docketry.schema import RECORD_FIELDS
+from docketry.sources import markup, scan
 from docketry.sources.load import read_csv, read_directory, read_json, read_xml
-from docketry.sources import markup
 from docketry.sources.markup import extract_html, extract_xml
 from docketry.sources.profile import file_profile, quality_report
 from docketry.sources.sample import sample_records
@@ -253,3 +253,31 @@ def test_markup_of_a_batch_is_read_by_slices(read, layout):
     parts = list(markup._parts(iter([texts]), read, layout))
     assert len(parts) == 3 and sum(map(len, parts)) == 4
     assert all(x[n] == y[n] for x, y in zip((r for p in parts for r in p.to_pylist()), map(read, texts.to_pylist())) for n in y)
+
+
+def test_xml_files_are_cut_where_that_gives_what_whole_files_do(spark, tmp_path):
+    pad = f"<p>{'x' * 300}</p>"
+    many = lambda tag, opening="": "".join(f"<{tag}{opening}>{n}é</{tag}>{pad}" for n in range(6))
+    bodies = {
+        "cut": ["<?xml version='1.0'?>\n<all>" + many("patent-document") + "</all>", "<all>" + many("patent-document", "\n a='1'") + "<patent-document>" + pad],
+        "none": ["\n<patent-documents>" + many("patent", " a='1'") + "</patent-documents>", "<?xml version='1.0'?><a/><?xml version='1.0'?><b/>", "<a/>"],
+        "odd": [
+            "<all>" + many("patent-document") + "<patent-document>" + pad + many("patent-document") + "</all>",
+            "<!-- <patent-document> -->" + many("patent-document"), "</patent-document>" + many("patent-document"),
+            "<patent-document>" + pad + "<patent-document>", "<?xml version='1.0' encoding='ISO-8859-1'?>" + many("patent-document"),
+        ],
+    }
+    for kind, texts in bodies.items():
+        for i, body in enumerate(texts):
+            (tmp_path / f"{kind}{i}.xml").write_bytes(body.encode("ISO-8859-1" if "ISO" in body else "utf-8"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        told = {r.source_file.rsplit("/", 1)[-1][:-5]: r.kind for r in scan._xml_kinds(spark.read, str(tmp_path), "patent-document").collect()}
+        assert told == {kind: kind for kind in bodies}
+        found = sorted((r.source_file, r.xml) for r in scan.scan_xml(spark, str(tmp_path)).collect())
+        assert found == sorted((r.source_file, r.xml) for r in scan.whole_xml(spark.read, str(tmp_path)).collect())
+        parts = scan.scan_xml(spark, str(tmp_path / "cut0.xml")).select(F.spark_partition_id()).distinct().count()
+        assert len(found) > 40 and parts > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
