@@ -220,3 +220,76 @@ def test_directory_stream(spark, tmp_path):
     (folder / "e.csv").write_text("title,patent_id\nt,P5\n")
     run()
     assert {r.patent_id for r in c.points().collect()} == {"P1", "P2", "P4", "P5"}
+
+
+def test_compact_moves_whole_rows_once(spark, kept, monkeypatch):
+    once = "shufflepartitionidpassthrough"
+    assert kept._folded(3)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    kept.compact(3)
+    kept.upsert(sample_records(spark, 5).withColumn("status", F.lit("Allowed")))
+    kept.delete(["US10000007"])
+    plan = kept._folded(3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(once) == 1 and "SortMergeJoin" not in plan
+    before = state(kept)
+    files = kept._folded(3).select("point_id", F.spark_partition_id().alias("at")).collect()
+    assert len({(r.at, int(r.point_id[:4], 16) * 3 // 16**4) for r in files}) == 3
+    # More ids taken out than are broadcast, and points put often.
+    monkeypatch.setattr("docketry.plans.collection.FEW_GONE", 0)
+    monkeypatch.setattr("docketry.plans.collection.MANY", 1)
+    kept.compact(3)
+    assert state(kept) == before and len(before) == 39
+    for s in ("first", "last"):
+        kept.upsert(sample_records(spark, 2).withColumn("status", F.lit(s)))
+    kept.compact(3)
+    assert [r.status for r in kept.points().orderBy("patent_id").limit(2).collect()] == ["last", "last"] and kept.total() == 39
+
+
+def test_points_without_an_id_outlive_a_compaction_as_before(spark, kept):
+    for s in ("first", "last"):
+        kept.upsert(sample_records(spark, 1).withColumns({"title": F.lit(None).cast("string"), "status": F.lit(s)}))
+        kept.compact(3)
+    assert sorted(r.status for r in kept.points().filter("point_id IS NULL").collect()) == ["first", "last"] and kept.total() == 42
+
+
+@pytest.mark.parametrize("format", ["csv", "xml"])
+def test_arriving_files_are_cut(spark, tmp_path, format):
+    source = sample_records(spark, 40).withColumn("abstract", F.lit("one\n\"two\"\n" + "x" * 500)).coalesce(1)
+    (write_csv if format == "csv" else write_xml)(source, str(tmp_path / "in"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        raw = stream_raw(spark, str(tmp_path / "in"), format)
+        paths = [str(p) for p in (tmp_path / "in").glob("part-*")]
+        rows = raw.read(spark, paths)
+        assert len(paths) == 1 and rows.schema.names == raw.schema.names and rows.select(F.spark_partition_id()).distinct().count() > 4
+        out, found = str(tmp_path / "out"), stream_records(spark, str(tmp_path / "in"), format)
+        for progress in ("p", "p", "q"):
+            # A stream that goes on finds nothing new; one from the beginning adds its own rows.
+            write_records(found, out, str(tmp_path / progress)).awaitTermination()
+        stored = spark.read.parquet(out)
+        assert stored.columns == found.schema.names and stored.count() == 80 and stored.select("patent_id").distinct().count() == 40
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_a_batch_that_runs_again_replaces_its_files(spark, tmp_path):
+    write_csv(sample_records(spark, 6), str(tmp_path / "in"))
+    found = stream_records(spark, str(tmp_path / "in"))
+    write_records(found, str(tmp_path / "out"), str(tmp_path / "p")).awaitTermination()
+    for commit in (tmp_path / "p" / "commits").iterdir():
+        commit.unlink()
+    write_records(found, str(tmp_path / "out"), str(tmp_path / "p")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_csv_stream_of_another_header_fails(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("patent_id,name\nP1,One\n")
+    with pytest.raises(Exception, match="header"):
+        write_records(stream_records(spark, str(tmp_path / "in"), columns=["patent_id", "title"]), str(tmp_path / "out"), str(tmp_path / "p")).awaitTermination()
+
+
+def test_json_stream_moves_no_rows(spark, tmp_path):
+    (tmp_path / "a.json").write_text(LINES)
+    found = stream_records(spark, str(tmp_path), "json")
+    assert "Repartition" not in found._jdf.queryExecution().optimizedPlan().toString()
