@@ -37,6 +37,8 @@ LEAST_CHI, LEAST_DOCUMENTS = 24.0, 5
 #: Relevance of a term without chi-square, and the chi-square that adds 1 to its root.
 LEAST_RELEVANCE, UNIT_CHI = 0.0025, 25.0
 COUNTERS = 1 << 20
+#: Text taken at once: what is held of it is several numbers for each word and each posting.
+SLICE = 1 << 20
 NEAREST, BLOCK = 25, 64
 #: Blocks that are opened first, to tell which others need not be.
 FIRST_BLOCKS = (6,)
@@ -55,7 +57,7 @@ def _stems(word: str) -> list[str]:
 def counted_words(texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray, np.ndarray]]:
     """For each slice of texts: its first and last row, its distinct words, and for each
     pair of a row and a word in it: row, word, count."""
-    for start, stop in slices(texts):
+    for start, stop in slices(texts, SLICE):
         words = pc.split_pattern_regex(pc.utf8_lower(texts.slice(start, stop - start)), BREAKS)
         lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
