@@ -292,4 +292,4 @@ def test_csv_stream_of_another_header_fails(spark, tmp_path):
 def test_json_stream_moves_no_rows(spark, tmp_path):
     (tmp_path / "a.json").write_text(LINES)
     found = stream_records(spark, str(tmp_path), "json")
-    assert "Repartition" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in found._jdf.queryExecution().analyzed().toString()
