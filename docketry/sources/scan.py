@@ -45,6 +45,12 @@ def in_order(raw: DataFrame) -> DataFrame:
     return raw.withColumn(ORDER, place).drop(START, ROW)
 
 
+def _once(c: Column) -> Column:
+    """The value, computed once for each row. Spark copies what makes a column into each filter on
+    it, where a text would be parsed again for every use, but not past rows that are exploded."""
+    return F.explode(F.array(c))
+
+
 def _is_utf8(encoding: str) -> bool:
     return encoding.lower().replace("_", "-") in ("utf-8", "utf8")
 
@@ -281,7 +287,7 @@ def cut_xml(reader, path: str | list[str], row_tag: str) -> DataFrame:
     opening = rf"(?s)<{row_tag}(?:\s[^>]*)?>.*"
     body = F.regexp_extract(F.concat("value", F.lit(closing)), opening, 0)
     pieces = reader.option("lineSep", closing).text(path)
-    return pieces.select(body.alias("xml"), _file(), _block()).filter(F.col("xml") != "")
+    return pieces.select(_once(body).alias("xml"), _file(), _block()).filter(F.col("xml") != "")
 
 
 def scan_xml(
@@ -363,7 +369,7 @@ def _xml_parts(spark: SparkSession, path: str | list[str], encoding: str, glob:
         if "cut" in files:
             pieces = _from_openings(spark.read.option("pathGlobFilter", glob), files["cut"], tag)
             element = F.regexp_extract(F.concat(F.lit(f"<{tag}"), "value"), rf"(?s)^<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", 0)
-            parts.append(in_order(pieces.select(element.alias("xml"), _file(), _block()).filter(F.col("xml") != "")))
+            parts.append(in_order(pieces.select(_once(element).alias("xml"), _file(), _block()).filter(F.col("xml") != "")))
         if "odd" in files:
             whole.append(files["odd"])
         left = files.get("none", None if kinds else left)

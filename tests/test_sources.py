@@ -281,3 +281,11 @@ def test_xml_files_are_cut_where_that_gives_what_whole_files_do(spark, tmp_path)
         assert len(found) > 40 and parts > 3
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_xml_elements_are_cut_out_once(spark, tmp_path):
+    folder = put(tmp_path, a__xml="<all><patent-document>1</patent-document><patent-document>2</patent-document></all>")
+    for tag in (None, "patent-document"):
+        found = read_xml(spark, folder, row_tag=tag).records
+        assert found._jdf.queryExecution().optimizedPlan().toString().count(".*") == 1
+    assert rows(scan.scan_xml(spark, folder), "xml") == [(f"<patent-document>{i}</patent-document>",) for i in (1, 2)]
