@@ -135,7 +135,7 @@ def _cells(stored: DataFrame, columns: list[str], strict: bool) -> DataFrame:
     names = [f"c{i} string" for i in range(len(columns))]
     options = {"escape": '"', "multiLine": "true", "columnNameOfCorruptRecord": _BAD_ROW, "maxCharsPerColumn": "-1"}
     # A long row fills the spare column.
-    cells = stored.withColumn("cells", F.from_csv("value", ", ".join([*names, "more string"]), options))
+    cells = stored.select("*", _once(F.from_csv("value", ", ".join([*names, "more string"]), options)).alias("cells"))
     wrong = F.col("cells.more").isNotNull()
     if strict:
         exact = F.from_csv("value", ", ".join([*names, f"{_BAD_ROW} string"]), options)

@@ -10,7 +10,7 @@ lines together to rows, block by block; only a row that lies across blocks is mo
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -168,47 +168,52 @@ def _chained(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame
     return saved(chained, "csv-blocks")
 
 
-def rows(spark: SparkSession, layout: Layout, glob: str = "*") -> DataFrame:
-    """The text of each row but the headers (`value`), its file, and its place there: the block
-    in which it begins and its number among the rows of that block."""
+def _put_together(batches: Iterator[pa.RecordBatch], mark_of: Callable[[int], int]) -> Iterator[pa.RecordBatch]:
+    """Rows out of the lines of blocks, handed on by `_RUN_BYTES` of text."""
+    block, held, within, first, number, mark = None, [], False, True, 0, 0
+    out: list[tuple] = []
+    size = 0
 
-    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, within, first, number, mark = None, [], False, True, 0, 0
-        out: list[tuple] = []
-
-        def row(closed: bool) -> None:
-            nonlocal held, first, number
-            kind = (WHOLE if closed else HEAD) if first else (TAIL if closed else MIDDLE)
-            value = "\n".join(held).removesuffix("\r")
-            header = first and number == 0 and block[1] == 0
-            if not header and (value or kind != WHOLE):
-                out.append((value, block[0], block[1], number, kind))
-            held, first, number = [], True, number + 1
-
-        for name, lines in runs(batches):
-            if name != block:
-                if held:
-                    row(closed=mark & OPEN_END > 0)
-                block, number, mark = name, 0, layout.mark(lines.column("name")[0].as_py())
-                within = mark & BEGINS > 0
-                first = not within
-            values = lines.column("value")
-            for line, quoted in zip(values.to_pylist(), pc.match_substring(values, '"').to_pylist()):
-                held.append(line)
-                if quoted:
-                    within = ends_inside(line, within)
-                if not within:
-                    row(closed=True)
-            if len(out) > 5_000:
-                yield batch_of(out)
-                out = []
-        if held:
-            row(closed=mark & OPEN_END > 0)
-        if out:
+    def row(closed: bool) -> None:
+        nonlocal held, first, number, size
+        kind = (WHOLE if closed else HEAD) if first else (TAIL if closed else MIDDLE)
+        value = "\n".join(held).removesuffix("\r")
+        header = first and number == 0 and block[1] == 0
+        if not header and (value or kind != WHOLE):
+            out.append((value, block[0], block[1], number, kind))
+            size += len(value)
+        held, first, number = [], True, number + 1
+
+    for name, lines in runs(batches):
+        if name != block:
+            if held:
+                row(closed=mark & OPEN_END > 0)
+            block, number, mark = name, 0, mark_of(lines.column("name")[0].as_py())
+            within = mark & BEGINS > 0
+            first = not within
+        values = lines.column("value")
+        for line, quoted in zip(values.to_pylist(), pc.match_substring(values, '"').to_pylist()):
+            held.append(line)
+            if quoted:
+                within = ends_inside(line, within)
+            if not within:
+                row(closed=True)
+        if size > _RUN_BYTES or len(out) > 5_000:
             yield batch_of(out)
+            out, size = [], 0
+    if held:
+        row(closed=mark & OPEN_END > 0)
+    if out:
+        yield batch_of(out)
+
 
+def rows(spark: SparkSession, layout: Layout, glob: str = "*") -> DataFrame:
+    """The text of each row but the headers (`value`), its file, and its place there: the block
+    in which it begins and its number among the rows of that block."""
     named = _lines(spark, layout.path, glob).withColumn("name", _name())
-    pieces = named.mapInArrow(put_together, f"value string, {SOURCE} string, {START} bigint, row bigint, kind int")
+    pieces = named.mapInArrow(
+        lambda batches: _put_together(batches, layout.mark), f"value string, {SOURCE} string, {START} bigint, row bigint, kind int"
+    )
     whole = pieces.filter(F.col("kind") == WHOLE).drop("kind")
     if not (layout.marks & BEGINS).any():
         return whole

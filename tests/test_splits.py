@@ -4,6 +4,7 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -121,3 +122,21 @@ def test_files_of_two_headers_are_cut_by_themselves(spark, tmp_path, small_block
     (tmp_path / "b.csv").write_text("title,patent_id\n" + "".join(f'"t\n{i}",B{i}\n' for i in range(9)))
     got = sorted(r.patent_id for r in read_csv(spark, str(tmp_path)).records.collect())
     assert got == sorted([f"A{i}" for i in range(90)] + [f"B{i}" for i in range(9)])
+
+
+def test_cells_are_taken_apart_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("patent_id,title,status\nP1,t\nP2,t,x,y\n,t,x\n")
+    found = read_csv(spark, str(tmp_path))
+    assert found.records._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+    assert [(r.patent_id, r.status) for r in found.records.collect()] == [("P1", "")]
+    assert sorted(r.reject_reason for r in found.rejects.collect()) == ["required:patent_id", "width"]
+
+
+def test_long_rows_are_handed_on_by_bytes():
+    values = ["id,title", *(f"{i}," + "x" * 200_000 for i in range(40))]
+    lines = pa.RecordBatch.from_pydict({
+        "value": values, splits.SOURCE: ["a"] * len(values), splits.START: [0] * len(values), "name": [1] * len(values),
+    })
+    found = list(splits._put_together(iter([lines]), lambda name: 0))
+    assert max(f.nbytes for f in found) < 3 << 20
+    assert [v for f in found for v in f.column("value").to_pylist()] == values[1:]
