@@ -236,7 +236,7 @@ def _fields(found: DataFrame, on_unknown: str, ordered: bool = True) -> DataFram
 def json_lines(reader, path: str | list[str], on_unknown: str = "reject", ordered: bool = True) -> DataFrame:
     """The records that a batch or stream reader finds in UTF-8 files of a record per line."""
     stored = reader.text(path).filter(F.trim("value") != "")
-    return _fields(stored.select(F.try_parse_json("value").alias("v"), _file(), _block()), on_unknown, ordered)
+    return _fields(stored.select(_once(F.try_parse_json("value")).alias("v"), _file(), _block()), on_unknown, ordered)
 
 
 def json_records(documents: DataFrame, on_unknown: str = "reject", strict: bool = True) -> DataFrame:

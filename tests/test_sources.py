@@ -14,6 +14,7 @@ from docketry.sources.profile import file_profile, quality_report
 from docketry.sources.sample import sample_records
 from docketry.sources.scan import scan_csv
 from docketry.sources.write import write_csv, write_json
+from docketry.streaming import loads
 
 
 def put(folder, **files):
@@ -289,3 +290,11 @@ def test_xml_elements_are_cut_out_once(spark, tmp_path):
         found = read_xml(spark, folder, row_tag=tag).records
         assert found._jdf.queryExecution().optimizedPlan().toString().count(".*") == 1
     assert rows(scan.scan_xml(spark, folder), "xml") == [(f"<patent-document>{i}</patent-document>",) for i in (1, 2)]
+
+
+def test_a_stream_parses_json_lines_once(spark, tmp_path):
+    raw = scan.json_lines(spark.read, put(tmp_path, a__json='{"patent_id": "P1", "title": "t"}\n[5\n\n{"patent_id": "P2"}\n'), ordered=False)
+    found = loads._records(raw)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert rows(found, "patent_id", "title") == [("P1", "t")]
+    assert sorted(r.reject_reason for r in loads._rejects(raw).collect()) == ["not an object", "required:title"]
