@@ -266,3 +266,52 @@ def test_words_are_counted_by_slices(monkeypatch):
     monkeypatch.setattr(HashingEmbedder, "_count", lambda self, some: (sizes.append(len(some)), count(self, some))[1])
     found = embedder._by_slices(texts)
     assert sizes == [2, 2] and (found == count(embedder, texts)).all() and found.dtype == "float32"
+
+
+@pytest.mark.parametrize("part_bytes", [200, 64 << 20])
+def test_only_hits_of_a_batch_are_shuffled(spark, part_bytes):
+    """In one pass, and with the root of 96 parts first."""
+    frame, m = points(spark, copies=30)
+    queries = spark.createDataFrame([(str(i), m[i].tolist()) for i in range(40)], "query_id string, vector array<float>")
+    found = S.search_batch(frame, queries, 7, matrix_bytes=8 * 8 * 15, part_bytes=part_bytes)
+    moved = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Repartition" in x]
+    assert not moved and "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.point_id)
+    assert all(got[str(i)] == exact(m, m[i], 7) for i in range(40))
+
+
+def test_no_block_of_neighbours_is_moved_to_others(spark):
+    frame, m = points(spark, n=200)
+    found = all_neighbours(frame, 5, 0.1, cells=3, matrix_bytes=8 * 8 * 20).found
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == ["query_id", "point_id", S.SCORE, "rank"]
+
+
+def test_first_rows_give_floors():
+    """Without a floor not every pair is scored."""
+    rng, scored = np.random.default_rng(4), []
+    m, q = rng.normal(size=(5000, 16)), rng.normal(size=(50, 16))
+    best = S._Best([str(i) for i in range(50)], q, [None] * 50, 3, np.full(50, -1.0))
+    of_all = best._scores
+    best._scores = lambda matrix, r, q: (scored.append(len(r)), of_all(matrix, r, q))[1]
+    m = m.astype("float32")
+    best.add(pa.array([f"{i:04d}" for i in range(5000)]), pa.array(m.tolist(), pa.list_(pa.float32())), pa.nulls(5000, pa.string()))
+    got = {}
+    for r in best.batch().to_pylist():
+        got.setdefault(int(r["query_id"]), []).append(r["point_id"])
+    assert all(got[i] == exact(m.astype("float64"), q[i], 3, -1.0) for i in range(50))
+    assert sum(scored) < 5000 * 50 / 10
+
+
+def test_hits_seen_elsewhere_leave_less_room():
+    """Of ties with a hit seen elsewhere the smallest ids are kept; a null id comes first."""
+    m = np.array([[1.0, 0.0], [1.0, 0.1], [1.0, 0.1], [1.0, 0.1], [0.0, 1.0], [np.inf, 0.0]], "float32")
+    tie = float(np.round(1 / np.hypot(1, np.float32(0.1).astype("float64")), 9))
+    kept = {}
+    for name, seen in {"none": [-np.inf] * 3, "one": [1.0, tie, -np.inf], "all": [1.0, 1.0, 1.0]}.items():
+        best = S._Best(["q"], np.array([[1.0, 0.0]]), None, 3, np.full(1, -1.0), np.array([seen]))
+        best.meet(pa.array(["z", "c", None, "b", "a", "x"]), m, None)
+        kept[name] = [r["point_id"] for r in best.batch().to_pylist()]
+    assert kept == {"none": ["z", None, "b"], "one": ["z", None], "all": ["z"]}
