@@ -1,11 +1,12 @@
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from docketry import BatchEmbedder, ExactFilter, HashingEmbedder, RecordFilter
 from docketry.functions import filters as P
-from docketry.functions.vectors import cosine, cosine_to
+from docketry.functions.vectors import cosine, cosine_to, words_of
 from docketry.operators import search as S
 from docketry.operators import stats
 from docketry.operators.cells import build_cells, search_cells
@@ -315,3 +316,31 @@ def test_hits_seen_elsewhere_leave_less_room():
         best.meet(pa.array(["z", "c", None, "b", "a", "x"]), m, None)
         kept[name] = [r["point_id"] for r in best.batch().to_pylist()]
     assert kept == {"none": ["z", None, "b"], "one": ["z", None], "all": ["z"]}
+
+
+def test_vectors_of_points_are_computed_once(spark, monkeypatch):
+    plans = {}
+    of_all = S.saved
+    monkeypatch.setattr(S, "saved", lambda frame, purpose: (plans.setdefault(purpose, frame._jdf.queryExecution().executedPlan().toString()), of_all(frame, purpose))[1])
+    texts = spark.createDataFrame([("a", "x y"), ("b", "y z"), ("c", None)], "point_id string, text string")
+    embedded = texts.withColumn("vector", HashingEmbedder(8).column(F.col("text")))
+    found = S.search_batch(embedded, embedded.select(F.col("point_id").alias("query_id"), "vector"), 1)
+    assert sorted(r.query_id for r in found.collect()) == ["a", "b", "c"]
+    assert plans["points"].count("ArrowEvalPython") == 1
+
+
+def test_words_are_found_on_bytes(monkeypatch):
+    pool = [*map(chr, range(0x250)), "ß", "İ", "ก", "्", "中", "٣", "Ⅷ", "²", "\U0001d400", "\U0001f600", " ", "́"]
+    rng = np.random.default_rng(0)
+    texts = [None, "", "..", *("".join(rng.choice(pool, rng.integers(0, 40))) for _ in range(500)), "", "end"]
+    split = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(pa.array(texts), "")), r"[^\p{L}\p{N}]+").to_pylist()
+    want = [(i, w) for i, words in enumerate(split) for w in words if w]
+    monkeypatch.setattr(pc, "split_pattern_regex", None)
+    for start in (0, 1, 200):
+        some = pa.array(texts).slice(start)
+        row, words = words_of(pc.utf8_lower(pc.fill_null(some, "")))
+        assert list(zip((row + start).tolist(), words.to_pylist())) == [x for x in want if x[0] >= start]
+        assert (words_of(some.fill_null("").slice(1))[0] >= 0).all()
+    count = HashingEmbedder(16)._count(pa.array(texts))
+    assert count.sum() == len(want) and count.dtype == "float32"
+    assert HashingEmbedder(4)._count(pa.array([], pa.string())).shape == (0, 4)
